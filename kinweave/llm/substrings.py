@@ -145,7 +145,6 @@ def _window_rows(df: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Da
 
     ``wanted`` has ``(__id, __hash, starts, sizes)``, one row for each text concerned.
     """
-    keys = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text):
@@ -163,7 +162,7 @@ def _window_rows(df: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Da
                 names=[id_col, "text_hash", "window", "start"],
             )
 
-    joined = df.join(wanted, keys).select(id_col, text, "__hash", "starts", "sizes")
+    joined = _with_runs(df, wanted, id_col, text)
     return joined.mapInArrow(run, schema_of(df, [id_col], "text_hash long, window long, start int"))
 
 
@@ -214,7 +213,7 @@ def factors(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
     )
     whole = held.where(F.col("low") < F.col(id_col)).select(id_col, "text_hash", "start", "size")
     boundary = held.where((F.col("low") == F.col(id_col)) & F.col("several"))
-    rows = checkpoint(_window_rows(df, _small(checkpoint(_ranges(boundary, id_col))), id_col, text))
+    rows = checkpoint(_window_rows(df, checkpoint(_ranges(boundary, id_col)), id_col, text))
     earliest = rows.groupBy("window").agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"))
     earliest = checkpoint(earliest.where("low < high").select("window", "low"))
     parts = rows.join(earliest, "window").where(F.col("low") < F.col(id_col))
@@ -222,10 +221,20 @@ def factors(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
     return marked, checkpoint(_ranges(whole.union(parts), id_col))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its runs take a few MB at most, else as it is."""
-    held = df.agg(F.sum(F.lit(64) + F.size("starts") * 8)).first()[0] or 0
-    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+def _with_runs(df: DataFrame, runs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The rows of ``df`` that have runs, with ``__hash``, ``starts`` and ``sizes``.
+
+    Runs of a few MB are broadcast.  Else their keys alone may fit; they then drop the texts
+    without runs before the others are shuffled.  Beyond that all texts are shuffled.
+    """
+    rows, held = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(64) + F.size("starts") * 8), F.lit(0))).first()
+    texts = df.select(id_col, text, F.xxhash64(text).alias("__text_hash"))
+    keys = (F.col(id_col) == F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    if held <= BROADCAST_BYTES:
+        runs = F.broadcast(runs)
+    elif rows * 64 <= BROADCAST_BYTES:
+        texts = texts.join(F.broadcast(runs.select("__id", "__hash")), keys, "left_semi")
+    return texts.join(runs, keys).select(id_col, text, "__hash", "starts", "sizes")
 
 
 def remove_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -273,13 +282,8 @@ def remove_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text")
                 names=[id_col, "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
-    of_text = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
     ddl = "n_words long, n_removed long, kept_sha256 string, kept string"
-    cut = (
-        df.join(_small(runs), of_text)
-        .select(id_col, text, "starts", "sizes")
-        .mapInArrow(run, schema_of(df, [id_col], ddl))
-    )
+    cut = _with_runs(df, runs, id_col, text).mapInArrow(run, schema_of(df, [id_col], ddl))
     return untouched.unionByName(cut)
 
 

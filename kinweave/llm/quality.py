@@ -86,7 +86,9 @@ def base_counts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     ).drop("__sorted")
     gaps = "transform(__places, (p, j) -> if(j = 0, 5, least(5, p - __places[greatest(j - 1, 0)])))"
     covered = F.coalesce(F.expr(f"aggregate({gaps}, 0L, (a, x) -> a + x)"), F.lit(0).cast("long"))
-    return placed.withColumn("n_repeat_words", covered).drop("__places")
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words")]
+    # A filter on a result is never pushed below a generator, so it can't repeat this work for each of its terms.
+    return placed.select(*keep, F.inline(F.array(F.struct(*counts))))
 
 
 def frequent_lines(

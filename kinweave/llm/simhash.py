@@ -57,14 +57,16 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, fp)`` with the fingerprint as a signed long."""
+    """``(id, text_hash, fp)`` with the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text):
             fps = np.array([fingerprint(t) for t in as_bytes(piece.column(text))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column(id_col), pa.array(fps)], names=[id_col, "fp"])
+            columns = [piece.column(id_col), piece.column("__hash"), pa.array(fps)]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "text_hash", "fp"])
 
-    return df.select(id_col, text).mapInArrow(run, schema_of(df, [id_col], "fp long"))
+    rows = df.select(id_col, text, F.xxhash64(text).alias("__hash"))
+    return rows.mapInArrow(run, schema_of(df, [id_col], "text_hash long, fp long"))
 
 
 class BKTree:
@@ -188,7 +190,8 @@ def _shard_keys() -> list:
 
 
 def components(fps: DataFrame, id_col: str = "doc_id", radius: int = 3) -> DataFrame:
-    """``(id, fp, component_id)`` for the ``(id, fp)`` rows of :func:`fingerprints`.
+    """The rows of :func:`fingerprints` with ``group``, the smallest fingerprint of their
+    component, and ``component_id``, the smallest id in it.
 
     ``fps`` is read three times and should be a checkpoint or a table.
     """
@@ -198,25 +201,33 @@ def components(fps: DataFrame, id_col: str = "doc_id", radius: int = 3) -> DataF
     groups = connected_components(links, ends, vertex="fp")
     joined = checkpoint(first.join(groups, "fp"))
     smallest = joined.groupBy("comp").agg(F.min("first").alias("component_id"))
-    of_linked = joined.join(smallest, "comp").select("fp", "component_id")
-    by_fp = checkpoint(
-        first.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    )
-    return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    of_linked = joined.join(smallest, "comp").select("fp", "component_id", "comp")
+    group = F.coalesce("comp", "fp").alias("group")
+    own = F.when(F.col("comp").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")
+    by_fp = checkpoint(first.join(of_linked, "fp", "left").select("fp", group, own))
+    return fps.join(by_fp, "fp").select(*fps.columns, "group", "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
-    """``(id, fp, component_id)`` of every row; texts are read once."""
+    """``(id, text_hash, fp, group, component_id)`` of every row; texts are read once."""
     return components(checkpoint(fingerprints(df, id_col, text)), id_col, radius)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 3) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of their group, each id once."""
+    """One row of ``df`` for each group: one with the group's smallest id.
+
+    If several rows of a group have that id, one text of theirs stays, once.
+    """
     found = checkpoint(near_duplicates(df, id_col, text, radius))
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept"))
-    out = df.join(kept.distinct(), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = kept.groupBy("__kept").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col])
+    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = checkpoint(
+        first.groupBy("group", F.col("component_id").alias("__kept")).agg(
+            F.min("text_hash").alias("__hash"), F.count(F.lit(1)).alias("__n")
+        )
+    )
+    matches = F.col(id_col).eqNullSafe(F.col("__kept")) & (F.xxhash64(text) == F.col("__hash"))
+    out = df.join(kept, matches, "left_semi")
+    return out if kept.where("__n > 1").isEmpty() else out.dropDuplicates([id_col, text])
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

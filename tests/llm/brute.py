@@ -123,7 +123,7 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def simhash_groups(rows, radius=3):
+def simhash_groups(rows, radius=3, survivors=False):
     prints = sorted({simhash(t) for _, t in rows})
     group = {p: p for p in prints}
 
@@ -141,4 +141,6 @@ def simhash_groups(rows, radius=3):
         g = root(simhash(text))
         if doc is not None:
             smallest[g] = min(doc, smallest.get(g, doc))
+    if survivors:
+        return [smallest.get(g) for g in {root(p) for p in prints}]
     return [(doc, f"{simhash(t):016x}", smallest.get(root(simhash(t)))) for doc, t in rows]

@@ -93,11 +93,12 @@ def hop_distance(weighted: DataFrame, pairs: DataFrame, max_rounds: int = 1000)
             a.where("side = 0").select("qid", "v").join(b.where("side = 1").select("qid", "v"), ["qid", "v"]).select("qid", F.lit(d).alias("hops"))
             for a, b, d in near
         ]
-        hit = checkpoint(reduce(DataFrame.union, hits).groupBy("qid").agg(F.min("hops").alias("hops")))
-        met.append(hit)
+        hit = reduce(DataFrame.union, hits).groupBy("qid").agg(F.min("hops").alias("hops"))
+        sides = level.groupBy("qid").agg(F.countDistinct("side").alias("sides"))
+        status = checkpoint(sides.join(hit, "qid", "left"))
+        met.append(status.where("hops IS NOT NULL").select("qid", "hops"))
         # a query ends when it is answered or when one of its searches has nowhere to go
-        live = level.groupBy("qid").agg(F.countDistinct("side").alias("sides")).where("sides = 2")
-        live = checkpoint(live.select("qid").join(hit, "qid", "left_anti"))
+        live = status.where("hops IS NULL AND sides = 2").select("qid")
         here, before = level.join(live, "qid", "left_semi"), here.join(live, "qid", "left_semi")
     else:
         raise RoundLimitReached(f"some paths are longer than {2 * max_rounds} hops")

@@ -2,15 +2,14 @@
 
 The index holds the words of a few licence texts with their positions.  For each file
 the licence words in it are weighed by inverse document frequency, taken over the
-whole table.  The file's rarest licence words are looked up; the postings (template,
-position) of each occurrence are shifted by its place in the file, so that words of
-one copy of a template agree on the relative position at which it would start.  A
-start that enough weight supports is verified: the template's mandatory key phrases must
-stand, word for word, where the start puts them.
+whole table.  The rarest word of a template's mandatory key phrases is its anchor; each
+occurrence of an anchor is looked up, and the posting (template, position) is shifted by
+its place in the file to the start that a copy would have there.  A start is verified:
+the key phrases must stand, word for word, where it puts them.  Then all words of the
+template vote: those that stand in their place must have enough of its weight.  As every
+copy holds its anchor, no other licence in the file can take a template's votes.
 
-A key phrase is a template of its own as well.  Its rarest word is its anchor, every
-occurrence of the anchor is looked up, and the whole phrase is compared there, so no
-place of a phrase is missed however short the file.
+A base phrase is a template of its own as well, with itself as key.
 
 Edge cases: a null text has no words; empty tables give empty results; repeated rows
 give equal rows; ties in frequency go to the word that sorts first.
@@ -79,9 +78,12 @@ TEMPLATES = {
 #: Labels that the templates above share with another name.
 _SAME_LABEL = {"gpl-3-notice": "gpl-3"}
 
-#: A file's rarest licence words that vote for template starts.
+#: A template's heaviest words that the bar for its votes is taken from.
 RAREST = 24
 
+#: The share of their weight that the words in place must have.
+BAR = 0.3
+
 
 @dataclass(frozen=True)
 class Template:
@@ -125,48 +127,35 @@ def frequencies(df: DataFrame, text: str = "text") -> dict[bytes, int]:
 
 
 class Index:
-    """Postings of licence words, their weights, and the anchor of every key phrase."""
+    """Weights of licence words, the postings of every template's anchor, and the bar for its votes."""
 
     def __init__(self, found: list[Template], counts: dict[bytes, int]):
         rows = counts.get(b"", 0)
         self.templates = found
         self.idf = {w: math.log((1 + rows) / (1 + counts.get(w, 0))) + 1e-6 for t in found for w in t.words}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.bars = []
         for k, t in enumerate(found):
-            for at, w in enumerate(t.words):
-                self.postings[w].append((k, at))
-            if t.base:
-                at = min(range(len(t.words)), key=lambda i: (-self.idf[t.words[i]], t.words[i], i))
-                self.anchors[t.words[at]].append((k, at))
+            at = min((o + i for o, key in t.keys for i in range(len(key))), key=lambda i: (-self.idf[t.words[i]], t.words[i], i))
+            self.anchors[t.words[at]].append((k, at))
+            self.bars.append(BAR * sum(sorted((self.idf[w] for w in t.words), reverse=True)[:RAREST]))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int, int]], list[tuple[str, int, int, float]]]:
         """``(template, start, length)`` of base phrases, and ``(label, start, end, score)`` of all matches."""
-        known = self.idf
-        places = [(at, w) for at, w in enumerate(words) if w in known]
-        base = []
-        for at, w in places:
-            for k, offset in self.anchors.get(w, ()):
+        anchors, base, matches = self.anchors, [], []
+        for at, w in enumerate(words):
+            for k, offset in anchors.get(w, ()):
                 t, start = self.templates[k], at - offset
-                if start >= 0 and tuple(words[start : start + len(t.words)]) == t.words:
+                if not all(start + o >= 0 and tuple(words[start + o : start + o + len(key)]) == key for o, key in t.keys):
+                    continue
+                if t.base:
                     base.append((k, start, len(t.words)))
+                    continue
+                same = [w for i, w in enumerate(t.words) if 0 <= start + i < len(words) and words[start + i] == w]
+                if sum(self.idf[w] for w in same) >= self.bars[k]:
+                    matches.append((t.label, max(0, start), min(len(words), start + len(t.words)), len(same) / len(t.words)))
         base.sort(key=lambda b: (b[1], b[0]))
-        matches = [(self.templates[k].label, start, start + n, 1.0) for k, start, n in base]
-        rare = set(sorted({w for _, w in places}, key=lambda w: (-known[w], w))[:RAREST])
-        votes: Counter = Counter()
-        for at, w in places:
-            if w in rare:
-                for k, offset in self.postings[w]:
-                    if not self.templates[k].base:
-                        votes[k, at - offset] += known[w]
-        for (k, start), weight in votes.items():
-            t = self.templates[k]
-            most = sum(sorted((known[w] for w in t.words), reverse=True)[:RAREST])
-            if weight < 0.3 * most:
-                continue
-            if all(start + o >= 0 and tuple(words[start + o : start + o + len(key)]) == key for o, key in t.keys):
-                same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words))
-                matches.append((t.label, max(0, start), min(len(words), start + len(t.words)), same / len(t.words)))
+        matches += [(self.templates[k].label, start, start + n, 1.0) for k, start, n in base]
         return base, sorted(matches, key=lambda m: (m[1], m[2], m[0]))
 
 

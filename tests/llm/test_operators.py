@@ -93,6 +93,18 @@ def test_license_templates(spark):
     assert labels[1] == "bsd" and labels[2] == "" and labels[3] == "gpl-3" and labels[4] == "" and labels[12] == ""
 
 
+def test_license_templates_together(spark):
+    """No licence takes the place of another in a file that holds several."""
+    texts = {name: text for name, (text, _) in licenses.TEMPLATES.items()}
+    rows = [(1, "\n".join(texts.values())), (2, " ".join(texts[k] for k in ("mit", "apache-2", "gpl-3-notice")))]
+    rows += [(k + 10, "plain words of another kind") for k in range(20)]
+    found = {r.doc_id: r.matches for r in licenses.scan(frame(spark, rows)).collect()}
+    whole = lambda d: {m.label for m in found[d] if m.score == 1.0}
+    assert whole(1) == set(texts) - {"gpl-3-notice"}
+    assert whole(2) == {"mit", "apache-2", "gpl-3"}
+    assert sum(m.score == 1.0 for m in found[1]) == len(texts)
+
+
 def test_pii_base(table):
     rows, df = table
     found = pii.digest(pii.extract(df)).drop("spans", "n_added")

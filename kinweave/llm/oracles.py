@@ -82,9 +82,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+#: The same with one limit for hosts of every size.
+QUALITY_ANY_HOST = QUALITY.replace(f" AND COUNT(DISTINCT doc_id) > docs * {MAX_SHARE}", "")
+
 ORACLES = {
     "op3_substring_dedup": SUBSTRINGS,
     "op4_chat": CHAT,
     "op5_decontamination": DECONTAMINATION,
     "op8_quality": QUALITY,
+    "op8_quality_any_host": QUALITY_ANY_HOST,
 }

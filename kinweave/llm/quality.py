@@ -4,9 +4,10 @@ All of it is DataFrame expressions.  Lines are normalised (lower case, outer whi
 space dropped, inner white space one blank, digits 0) and hashed; for each host the
 documents that hold a line are counted, each row once.  A line that more than
 ``max(min_docs, max_share * documents of the host)`` documents hold is removed from
-all of them, and a document of which too little is left is rejected.  Because the limit
-grows with the host, a host has at most (lines per document) / ``max_share`` such
-lines; they travel as one short array per host.
+all of them, and a document of which too little is left is rejected.  With ``max_share``
+0 the limit is the same for every host, so a host may have any number of such lines:
+they stay rows, are joined with the lines of the texts, and only the places of removed
+lines come back to a document.
 
 Edge cases: a null text has no words and fails the base rules; an empty line or one
 without words is never counted; a null host is a host of its own; repeated rows are
@@ -18,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.loop import checkpoint
+from ..operators.loop import checkpoint_counted
+from .text import BROADCAST_BYTES
 
 #: White space that parts words, as a Java character class and as the characters.
 SPACE = r"[\x20\x09-\x0D]"
@@ -28,6 +30,12 @@ SPACES = " \t\n\x0b\x0c\r"
 MIN_DOCS = 20
 MAX_SHARE = 0.1
 
+#: Shares into which the documents of one line are dealt when it is joined by a shuffle.
+SALTS = 16
+
+#: Bytes that a line to remove takes in a broadcast table.
+LINE_BYTES = 64
+
 #: What must be left of a document: so many words, and this share of its words.
 LEFT_WORDS = 10
 LEFT_SHARE = 0.3
@@ -93,14 +101,46 @@ def base_counts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def frequent_lines(
     df: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE
-) -> DataFrame:
-    """``(host, frequent)``: hashes of the lines to remove, for the hosts that have any."""
+) -> tuple[DataFrame, int]:
+    """``(line)``: hashes of host and line for the lines to remove; and their number."""
     lines = F.array_distinct(F.transform(_lines(text), lambda line: F.xxhash64(_normal(line))))
     rows = df.select(_host(host).alias("host"), lines.alias("lines"))
     held = rows.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    often = held.where(F.col("n") > min_docs).join(totals, "host").where(F.col("n") > F.col("docs") * max_share)
-    return checkpoint(often.groupBy("host").agg(F.collect_list("line").alias("frequent")))
+    often = held.where(F.col("n") > min_docs)
+    if max_share > 0:
+        totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+        often = often.join(totals, "host").where(F.col("n") > F.col("docs") * max_share)
+    often, seen = checkpoint_counted(often.select(F.xxhash64("host", "line").alias("line")), n=F.count(F.lit(1)))
+    return often, seen["n"]
+
+
+def _row(id_col: str, text: str, host: str):
+    """Rows that are equal here get equal results."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text), _host(host))
+
+
+def removed_lines(df: DataFrame, id_col: str, text: str, host: str, min_docs: int, max_share: float) -> DataFrame:
+    """``(__row, removed)``: place and words of each line to remove, for the rows that have any."""
+    often, n = frequent_lines(df, text, host, min_docs, max_share)
+    split = F.split(F.coalesce(text, F.lit("")), "\n")
+    placed = F.transform(
+        split,
+        lambda line, at: F.struct(
+            at.alias("at"),
+            F.xxhash64(F.col("__host"), F.xxhash64(_normal(line))).alias("line"),
+            F.when(F.length(F.trim(line, F.lit(SPACES))) == 0, 0)
+            .otherwise(F.size(F.split(F.trim(line, F.lit(SPACES)), f"{SPACE}+")))
+            .alias("words"),
+        ),
+    )
+    rows = df.select(_row(id_col, text, host).alias("__row"), _host(host).alias("__host"), F.col(text).alias(text))
+    lines = rows.select("__row", F.inline(placed)).where("words > 0")
+    if n * LINE_BYTES <= BROADCAST_BYTES:
+        hits = lines.join(F.broadcast(often), "line", "left_semi")
+    else:
+        salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = lines.withColumn("salt", F.pmod("__row", F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"], "left_semi")
+    return hits.groupBy("__row").agg(F.collect_set(F.struct("at", "words")).alias("removed"))
 
 
 def judge(
@@ -113,19 +153,11 @@ def judge(
     keep_text: bool = False,
 ) -> DataFrame:
     """Counts and verdict for every row; with ``keep_text`` also ``clean_text``, the lines that stay."""
-    frequent = frequent_lines(df, text, host, min_docs, max_share).withColumnRenamed("host", "__host")
-    per_line = F.transform(
-        _lines(text),
-        lambda line: F.struct(
-            F.xxhash64(_normal(line)).alias("h"), F.size(F.split(F.trim(line, F.lit(SPACES)), f"{SPACE}+")).alias("w")
-        ),
-    )
-    rows = df.select(id_col, F.col(text).alias("__text"), _host(host).alias("__host"), per_line.alias("__lines"))
-    counted = base_counts(rows, "__text", [id_col, "__host", "__lines", *["__text"] * keep_text])
-    joined = counted.join(frequent, "__host", "left")
-    lost = "aggregate(filter(__lines, l -> array_contains(frequent, l.h)), 0L, (a, l) -> a + l.w)"
-    n_lines = "size(filter(__lines, l -> array_contains(frequent, l.h)))"
-    known = F.col("frequent").isNotNull()
+    removed = removed_lines(df, id_col, text, host, min_docs, max_share)
+    rows = df.select(id_col, F.col(text).alias("__text"), _row(id_col, text, host).alias("__row"))
+    counted = base_counts(rows, "__text", [id_col, "__row", *["__text"] * keep_text])
+    joined = counted.join(removed, "__row", "left")
+    known = F.col("removed").isNotNull()
     judged = joined.select(
         id_col,
         "n_words",
@@ -134,8 +166,8 @@ def judge(
         "n_dup_lines",
         "n_repeat_words",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
-        F.when(known, F.expr(n_lines)).otherwise(0).cast("long").alias("n_removed_lines"),
-        F.when(known, F.expr(lost)).otherwise(0).cast("long").alias("n_removed_words"),
+        F.when(known, F.size("removed")).otherwise(0).cast("long").alias("n_removed_lines"),
+        F.when(known, F.expr("aggregate(removed, 0L, (a, l) -> a + l.words)")).otherwise(0).cast("long").alias("n_removed_words"),
         *[_clean("__text", known).alias("clean_text")] * keep_text,
     )
     left = F.col("n_words") - F.col("n_removed_words")
@@ -144,5 +176,5 @@ def judge(
 
 
 def _clean(text: str, known):
-    stays = lambda line: ~F.coalesce(F.array_contains("frequent", F.xxhash64(_normal(line))), F.lit(False))
+    stays = lambda _, at: ~F.array_contains(F.col("removed")["at"], at)
     return F.when(known, F.array_join(F.filter(F.split(text, "\n"), stays), "\n")).otherwise(F.col(text))

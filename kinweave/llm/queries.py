@@ -68,6 +68,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_any_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With one limit for hosts of every size."""
+    return quality.judge(table(spark, sf_dir, "documents"), max_share=0.0)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
+    "op8_quality_any_host": op8_quality_any_host,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
 }

@@ -316,6 +316,24 @@ def test_quality_lines(spark):
     assert not quality.judge(other).where("n_removed_lines > 0").count()
 
 
+@pytest.mark.parametrize("limit", [0, 16 << 20])
+def test_quality_banner_of_a_large_host(spark, monkeypatch, tmp_path, limit):
+    """A banner goes from a large host too; the lines to remove may be joined by a shuffle."""
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", limit)
+    unlike = " ".join("abcdefghijklmnopqrstuvwxyz"[i] * 3 for i in range(20))
+    rows = [(i, "Read more\n" * (i % 12 == 0) + f"{unlike} {'x' * i}\n \n", "h") for i in range(400)]
+    rows += [rows[12], (None, None, None), (None, "Read more", "h"), (500, "Read more\nkept words", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op8_quality_any_host"](spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    lost = sorted(r.doc_id for r in found if r.n_removed_lines == 1 and r.doc_id is not None)
+    assert lost == sorted([*range(0, 400, 12), 12]) and all(r.n_removed_words == 2 * r.n_removed_lines for r in found)
+    clean = {r.doc_id: r.clean_text for r in quality.judge(df, max_share=0.0, keep_text=True).collect()}
+    assert clean[12] == rows[12][1].removeprefix("Read more\n") and clean[13] == rows[13][1]
+    assert clean[500] == rows[-1][1]
+
+
 def test_sharding(table, spark):
     rows, df = table
     for buckets in (sharding.BUCKET_ROWS, 5):

@@ -2,17 +2,20 @@
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers.  They are the
 seeds.  Every token that looks like an identifier (four digits or more, or an ``@``),
-seed or not, is recorded with its lexical patterns: the two words before it, and the
-word before it with the word after it.  Patterns and instances (normalised tokens)
-form a bipartite graph that Spark scores in a few rounds:
+and every maximal run of digit groups parted by blanks, hyphens, dots or brackets, seed
+or not, is recorded with its lexical patterns: the two words before it, and the word
+before it with the word after it.  Tokens of punctuation are passed on the way to the
+word before; if no word stands before, the two words after it are the pattern.  Patterns
+and instances (normalised tokens) form a bipartite graph that Spark scores in rounds:
 
 * a pattern's confidence for a kind is the smoothed share of its distinct instances
   that belong to the kind, each counted by its score;
 * an instance's score is the noisy-or of its confident patterns; seeds keep 1.
 
-Patterns that at least ``min_seeds`` distinct seed instances support and that reach
-``min_confidence`` label the other identifiers standing in them.  Texts are read
-once; the graph holds only identifier-like tokens, and all scoring is joins and sums.
+Patterns that at least ``min_seeds`` distinct instances support, seeds or high-scored
+ones, and that reach ``min_confidence`` label the other identifiers standing in them.
+Scores only rise from round to round; the loop ends when they stand still.  Texts are
+read once; the graph holds only identifier-like tokens, and all scoring is joins and sums.
 
 Edge cases: a null text counts as empty; very long texts are handled line by line;
 repeated rows yield equal rows; rows with equal id but different text stay apart by a
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.loop import checkpoint
+from ..operators.loop import RoundLimitReached, checkpoint, checkpoint_counted
 from .text import pieces, schema_of
 
 #: The kinds, in the order in which spans are listed.
@@ -43,6 +46,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TELLING = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 _DIGITS = re.compile(r"[0-9]")
+_GROUP = re.compile(r"[+().-]*[0-9][0-9().-]*")
 _TRIM = "\"'`.,;:!?()[]{}<>=|*#$%&"
 
 
@@ -82,32 +86,71 @@ def base_spans(line: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def _runs(line: str, tokens: list[tuple[int, int]], free: list[bool]) -> dict[int, int]:
+    """First and last token of every run of two or more digit groups with four digits or more."""
+    out, k = {}, 0
+    while k < len(tokens):
+        last, digits = k - 1, 0
+        while last + 1 < len(tokens) and free[last + 1]:
+            word = line[slice(*tokens[last + 1])].strip("\"'`,;:!?[]{}<>=|*#$%&" if last < k else "")
+            bare = word.rstrip(_TRIM)
+            if not _GROUP.fullmatch(bare) or last >= k and line[tokens[last][1] : tokens[last + 1][0]].strip(" "):
+                break
+            last, digits = last + 1, digits + len(_DIGITS.findall(bare))
+            if line[tokens[last][1] - 1] not in "0123456789)-.":
+                break  # a comma or the like ends the run
+        if last > k and digits >= 4:
+            out[k] = last
+        k = max(last, k) + 1
+    return out
+
+
 def _identifiers(line: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
-    """``(kind or -1, start, end, instance, patterns)`` of seeds and identifier-like tokens."""
+    """``(kind or -1, start, end, instance, patterns)`` of seeds, identifier-like tokens and runs of digit groups."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(line)]
-    clean = lambda k: line[slice(*tokens[k])].strip(_TRIM).lower() if 0 <= k < len(tokens) else ""
-    out, taken = [], sorted((a, b, kind) for kind, a, b in spans)
-    at = 0
+    words = [line[a:b].strip(_TRIM).lower() for a, b in tokens]
+    clean = lambda k: words[k] if 0 <= k < len(tokens) else ""
+    before, free = [-1], []  # the last word before each token; tokens outside the seeds
+    taken, at = sorted((a, b, kind) for kind, a, b in spans), 0
+    seeds: list[tuple[int, int, int] | None] = []
     for k, (a, b) in enumerate(tokens):
+        before.append(k if words[k] else before[k])
         while at < len(taken) and taken[at][1] <= a:
             at += 1
-        if at < len(taken) and taken[at][0] < b:
-            start, end, kind = taken[at]
-            if start < a:
-                continue  # a later token of a seed of several words
-        else:
-            word = line[a:b]
-            start = a + len(word) - len(word.lstrip(_TRIM))
-            end = b - len(word) + len(word.rstrip(_TRIM))
-            kind = -1
-            if start >= end or "@" not in word and len(_DIGITS.findall(word)) < 4:
-                continue
+        seeds.append(taken[at] if at < len(taken) and taken[at][0] < b else None)
+        free.append(seeds[k] is None)
+    runs = _runs(line, tokens, free)
+
+    def patterns(k: int, end: int) -> list[str]:
         after = k + 1
         while after < len(tokens) and tokens[after][0] < end:
             after += 1
-        w2, w1, w0 = clean(k - 2), clean(k - 1), clean(after)
-        patterns = [f"{w2} {w1} _", f"{w1} _ {w0}"] if w1 else []
-        out.append((kind, start, end, line[start:end].lower(), patterns))
+        w0, w1 = clean(after), clean(before[k])
+        if w1:
+            return [f"{clean(before[k] - 1)} {w1} _", f"{w1} _ {w0}"]
+        return [f"_ {w0} {clean(after + 1)}"] if w0 else []
+
+    out = []
+    for k, (a, b) in enumerate(tokens):
+        if seeds[k]:
+            start, end, kind = seeds[k]
+            if start < a:
+                continue  # a later token of a seed of several words
+            out.append((kind, start, end, line[start:end].lower(), patterns(k, end)))
+            continue
+        if k in runs:
+            left, right = tokens[k][0], tokens[runs[k]][1]
+            whole = line[left:right]
+            left += len(whole) - len(whole.lstrip(_TRIM.replace("(", "")))
+            right -= len(whole) - len(whole.rstrip(_TRIM))
+            out.append((-1, left, right, line[left:right].lower(), patterns(k, right)))
+        word = line[a:b]
+        start = a + len(word) - len(word.lstrip(_TRIM))
+        end = b - len(word) + len(word.rstrip(_TRIM))
+        if start >= end or "@" not in word and len(_DIGITS.findall(word)) < 4:
+            continue
+        # What stands before a run is the run's, not its first token's.
+        out.append((-1, start, end, line[start:end].lower(), patterns(k, end)[1 if k in runs else 0 :]))
     return out
 
 
@@ -159,7 +202,7 @@ def mentions(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 
 
 def confident_patterns(
-    found: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.8, smoothing: float = 0.5
+    found: DataFrame, rounds: int = 50, min_seeds: int = 3, min_confidence: float = 0.8, smoothing: float = 0.5
 ) -> DataFrame:
     """``(pattern, kind, confidence)`` of the patterns that may label unseen identifiers."""
     links = checkpoint(
@@ -168,40 +211,43 @@ def confident_patterns(
         .groupBy("pattern", "instance")
         .agg(F.max("kind").alias("seed"))
     )
-    totals = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    seeded = links.where("seed >= 0").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds"))
-    # Only patterns with enough seeds of a kind can ever label; the rest drop out of the graph here.
-    able = checkpoint(seeded.where(F.col("seeds") >= min_seeds).join(totals, "pattern"))
-    graph = checkpoint(links.join(able.select("pattern", "kind"), "pattern").select("pattern", "kind", "instance", "seed"))
-    scored = graph.withColumn("score", (F.col("seed") == F.col("kind")).cast("double"))
-    for k in range(rounds):
+    # Patterns with too few instances can never label and drop out of the graph here.
+    totals = checkpoint(links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds))
+    graph = checkpoint(links.join(totals.select("pattern"), "pattern"))
+    seeds = checkpoint(links.where("seed >= 0").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct())
+    known, last = seeds, None
+    for _ in range(rounds):
         confidence = (
-            scored.groupBy("pattern", "kind")
-            .agg(F.sum("score").alias("hits"))
-            .join(able, ["pattern", "kind"])
+            graph.join(known, "instance")
+            .groupBy("pattern", "kind")
+            .agg(F.sum("score").alias("hits"), F.count_if(F.col("score") >= min_confidence).alias("support"))
+            .where(F.col("support") >= min_seeds)
+            .join(totals, "pattern")
             .select("pattern", "kind", (F.col("hits") / (F.col("n") + smoothing)).alias("confidence"))
+            .where(F.col("confidence") >= min_confidence)
         )
-        confidence = checkpoint(confidence)
-        if k + 1 == rounds:
-            break
-        unsure = F.least(F.lit(1.0) - F.col("confidence"), F.lit(1.0))
+        confidence, seen = checkpoint_counted(confidence, n=F.count(F.lit(1)), total=F.coalesce(F.sum("confidence"), F.lit(0.0)))
+        if last and seen["n"] == last["n"] and seen["total"] - last["total"] < 1e-6:
+            return confidence
+        if not seen["n"]:
+            return confidence
+        last = seen
+        unsure = F.greatest(F.lit(1.0) - F.col("confidence"), F.lit(1e-9))
         votes = (
             graph.where("seed < 0")
-            .join(confidence.where(F.col("confidence") >= min_confidence), ["pattern", "kind"])
-            .groupBy("kind", "instance")
-            .agg((1 - F.exp(F.sum(F.log(F.greatest(unsure, F.lit(1e-9)))))).alias("vote"))
-        )
-        scored = (
-            graph.join(votes, ["kind", "instance"], "left")
-            .withColumn("score", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(F.coalesce("vote", F.lit(0.0))))
+            .join(confidence, "pattern")
+            .groupBy("instance", "kind")
+            .agg((1 - F.exp(F.sum(F.log(unsure)))).alias("score"))
         )
-    return confidence.where(F.col("confidence") >= min_confidence)
+        known = checkpoint(seeds.unionByName(votes).groupBy("instance", "kind").agg(F.max("score").alias("score")))
+    raise RoundLimitReached(f"pattern scores still rise after {rounds} rounds")
 
 
 def extract(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``(id, text_hash, base, added)`` of every row: base spans and those that patterns add.
 
-    An added span has the kind of its most confident pattern and overlaps no base span.
+    An added span has the kind of its most confident pattern, overlaps no base span and lies
+    in no other added span.
     """
     found = checkpoint(mentions(df, id_col, text))
     return found.join(
@@ -225,7 +271,9 @@ def _added(found: DataFrame, id_col: str, **options) -> DataFrame:
         .agg(F.max(F.struct("confidence", -F.col("kind"))).alias("best"))
         .select("__id", "__hash", F.struct((-F.col("best.col2")).cast("int").alias("kind"), "start", "stop").alias("span"))
     )
-    return checkpoint(best.groupBy("__id", "__hash").agg(F.sort_array(F.collect_set("span")).alias("added")))
+    spans = best.groupBy("__id", "__hash").agg(F.sort_array(F.collect_set("span")).alias("all"))
+    inside = "exists(all, o -> o.start <= s.start AND o.stop >= s.stop AND o.stop - o.start > s.stop - s.start)"
+    return checkpoint(spans.select("__id", "__hash", F.expr(f"filter(all, s -> NOT {inside})").alias("added")))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

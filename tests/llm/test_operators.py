@@ -135,6 +135,30 @@ def test_pii_patterns_find_unseen(spark):
     assert cleaned[51] == rows[-1][1]
 
 
+def test_pii_patterns_find_forms_with_blanks(spark):
+    """Runs of digit groups, places after punctuation and at line starts, and patterns that only labelled instances support."""
+    cards = ["".join(d) for d in zip("4" * 10, "0123456789", ["00000000000000"] * 10)]
+    cards = [next(f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:15]}{x}" for x in range(10) if brute.luhn(c[:15] + str(x))) for c in cards]
+    rows = [(100 + i, f"please call us at +1 (222) 333-44{i:02d} today") for i in range(60)]
+    rows += [(200 + i, f"card {c} ok") for i, c in enumerate(cards)]
+    rows += [(300 + i, f"Phone : +1 222 555 77{i:02d}\n+44 20 7946 09{i:02d} is home") for i in range(10)]
+    rows += [(400 + i, f"please call us at 555-01{i:02d} or\nfax me 555-01{i:02d}") for i in range(12)]
+    rows += [(50, "please call us at (017) 555 7713 today"), (51, "card 4111 1111 1111 1112 ok"), (52, "Phone : 5551234"), (53, "5559876 is home")]
+    rows += [(70, "fax me 777 1234."), (71, "order number 123 456 789 shipped")]
+    want = {
+        50: "please call us at [PHONE] today",
+        51: "card [CARD] ok",
+        52: "Phone : [PHONE]",
+        53: "[PHONE] is home",
+        70: "fax me [PHONE].",
+        71: "order number 123 456 789 shipped",
+    }
+    cleaned = {r.doc_id: r.text for r in pii.redact(frame(spark, rows)).collect()}
+    assert {k: cleaned[k] for k in want} == want
+    found = {r.doc_id: r.spans for r in pii.digest(pii.extract(frame(spark, rows))).collect()}
+    assert found[50] == "phone:18:32" and found[51] == "card:5:24" and found[70] == "phone:7:15" and found[71] == ""
+
+
 def test_redact_keeps_rows(table):
     rows, df = table
     found = pii.redact(df)

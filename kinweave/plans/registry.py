@@ -248,6 +248,12 @@ def _(spark, sf_dir, net):
     return prepare.friends_by_replies(_weights(net), 3)
 
 
+@query("c5_all_friends_by_replies", """=> SELECT src, ROW_NUMBER() OVER (PARTITION BY src ORDER BY out_cnt DESC, dst) AS "rank", dst, out_cnt
+    FROM weights""")
+def _(spark, sf_dir, net):
+    return prepare.friends_by_replies(_weights(net))
+
+
 @query("c6_canonical_places", "=> SELECT id, canon_id, name FROM canon_place")
 def _(spark, sf_dir, net):
     return prepare.canonical_by_name(net.place)
@@ -312,6 +318,22 @@ def _(spark, sf_dir, net):
     return prepare.members_for_forums(net.forum_member, prepare.forums_for_tags(net.forum_tag, _wanted(net)))
 
 
+def _all_wanted(net: Network) -> DataFrame:
+    """The canonical tag of every name."""
+    return prepare.canonical_by_name(net.tag).select(F.col("canon_id").alias("tag_id")).distinct()
+
+
+@query("c14_forums_for_all_tags", "=> SELECT DISTINCT f.tag_id, f.forum_id FROM forum_tag f JOIN canon_tag c ON c.id = f.tag_id")
+def _(spark, sf_dir, net):
+    return prepare.forums_for_tags(net.forum_tag, _all_wanted(net))
+
+
+@query("c15_members_for_all_tags", """=> SELECT * FROM forum_member WHERE forum_id IN
+    (SELECT f.forum_id FROM forum_tag f JOIN canon_tag c ON c.id = f.tag_id)""")
+def _(spark, sf_dir, net):
+    return prepare.members_for_forums(net.forum_member, prepare.forums_for_tags(net.forum_tag, _all_wanted(net)))
+
+
 def _fans(net: Network) -> DataFrame:
     """Forum people of every tag."""
     forums = prepare.forums_for_tags(net.forum_tag, net.tag.select(F.col("id").alias("tag_id")))
@@ -412,6 +434,34 @@ def _(spark, sf_dir, net):
     return paths.h_hop_counts(net.knows, _seeds(spark, sf_dir), 3)
 
 
+#: Balls around every person whose id is divisible by 20; they grow in number with the people.
+_MANY = """many(s, t, d) USING KEY (s, t) AS (SELECT id, id, 0 FROM person WHERE id % 20 = 0
+    UNION SELECT b.s, k.dst, MIN(b.d) + 1 FROM many b JOIN knows k ON k.src = b.t WHERE b.d < 3 AND NOT EXISTS
+    (SELECT 1 FROM recurring.many r WHERE r.s = b.s AND r.t = k.dst) GROUP BY 1, 2)"""
+
+
+def _many(net: Network) -> DataFrame:
+    return net.person.where(F.col("id") % 20 == 0).select(F.col("id").alias("source"))
+
+
+@query("g7_within_hops_many", f"""{_MANY} => SELECT a.id AS qid, m.d IS NOT NULL AS within FROM person a JOIN person b ON b.id = a.id + 7
+    LEFT JOIN many m ON m.s = a.id AND m.t = b.id WHERE a.id % 20 = 0""")
+def _(spark, sf_dir, net):
+    ends = net.person.select(F.col("id").alias("b"))
+    pairs = _many(net).select(F.col("source").alias("qid"), F.col("source").alias("a"), (F.col("source") + 7).alias("b")).join(ends, "b")
+    return paths.within_hops(net.knows, pairs.select("qid", "a", "b"), 3)
+
+
+@query("g8_h_hop_many", f"{_MANY} => SELECT s AS source, t AS id, d FROM many")
+def _(spark, sf_dir, net):
+    return paths.h_hop(net.knows, _many(net), 3)
+
+
+@query("g8_h_hop_counts_many", f"{_MANY} => SELECT s AS source, COUNT(*) - 1 AS n FROM many GROUP BY 1")
+def _(spark, sf_dir, net):
+    return paths.h_hop_counts(net.knows, _many(net), 3)
+
+
 @query("g9_geodesics", "=> SELECT tag_id, id, r, s FROM fan_levels")
 def _(spark, sf_dir, net):
     return centrality.geodesics(*_fan_graph(net), KEY)
@@ -484,6 +534,23 @@ def _(spark, sf_dir, net):
     return topk.pairs_worth_scoring(pairs.withColumn("kth", F.lit(8).cast("long")), "kth").select("a", "b", "n_tags_a", "n_tags_b", "kth")
 
 
+@query("t4_pairs_over_kth", """=> SELECT p.qid, p.a, p.b, len(x.tags) AS n_tags_a, len(y.tags) AS n_tags_b, COALESCE(t.common, 0) AS kth FROM alike p
+    JOIN tags_of x ON x.person_id = p.a JOIN tags_of y ON y.person_id = p.b JOIN ([NEARBY]) q ON q.qid = p.qid
+    LEFT JOIN best_pairs t ON t.qid = q.qid AND t."rank" = q.k WHERE LEAST(len(x.tags), len(y.tags)) >= COALESCE(t.common, 0)""")
+def _(spark, sf_dir, net):
+    """The k-th best common count of each place query is the floor of its pairs."""
+    wanted = params(spark, sf_dir, NEARBY)
+    tags = prepare.person_tags(net.interest, net.person)
+    members = plans.place_members(net, wanted).join(wanted, "place").select("qid", "h", F.col("person_id").alias("id"))
+    pairs = checkpoint(paths.similar_pairs(net.knows, members, tags))
+    ranked = topk.top_k(pairs.join(wanted.select("qid", "k"), "qid"), ["qid"], [F.desc("common"), F.asc("a"), F.asc("b")], "k")
+    kth = ranked.where("rank = k").select("qid", F.col("common").alias("kth"))
+    of = lambda end: tags.drop("tags").toDF(end, f"n_tags_{end}")
+    counted = pairs.select("qid", "a", "b").join(of("a"), "a").join(of("b"), "b").join(kth, "qid", "left")
+    known = counted.withColumn("kth", F.coalesce("kth", F.lit(0).cast("long")))
+    return topk.pairs_worth_scoring(known, "kth").select("qid", "a", "b", "n_tags_a", "n_tags_b", "kth")
+
+
 @query("t5_first_rows", "=> SELECT src AS id, COUNT(*) AS degree FROM knows GROUP BY 1 ORDER BY degree DESC, id LIMIT 10")
 def _(spark, sf_dir, net):
     return topk.first_rows(prepare.adjacency(net.knows).select("id", "degree"), [F.desc("degree"), F.asc("id")], 10)

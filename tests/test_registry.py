@@ -12,12 +12,15 @@ DATA = "/root/testdata/sf0.001"
 FAST = ["a4_profile", "c3_edge_weights", "c5_friends_by_replies", "c9_place_closure", "c13_tag_audience", "c17_induced_edges"]
 LOOPS = ["g1_components", "g5_hop_distance", "g10_closeness", "q2_top_tags", "q3_similar_pairs_in_place", "q4_central_people"]
 
+WHOLE = ["c5_all_friends_by_replies", "c14_forums_for_all_tags", "c15_members_for_all_tags", "g7_within_hops_many", "g8_h_hop_many"]
+WHOLE += ["g8_h_hop_counts_many", "t4_pairs_over_kth"]
+
 
 def text(df):
     return sorted(tuple(map(str, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", FAST + LOOPS)
+@pytest.mark.parametrize("name", FAST + LOOPS + WHOLE)
 def test_query_agrees_with_its_sql(spark, name):
     con = duckdb.connect()
     for file in glob.glob(f"{DATA}/*.parquet"):

@@ -1,4 +1,4 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against indexed blocks.
+"""Substring deduplication by hash joins of content-chosen blocks and of windows.
 
 A document is a sequence of words.  Content picks its blocks: of every window of 50
 words the 10-word gram with the smallest hash is the anchor, and the consecutive windows
@@ -6,12 +6,12 @@ with the same anchor form one block of 50 words or more (neighbouring blocks ove
 Equal passages have equal anchors and, inside, equal blocks, so the blocks of all
 documents, indexed by their hashes, are the reference.
 
-A document is parsed greedily against all reference blocks of documents with smaller
-ids: a block that an earlier document holds extends the current factor as a whole.  Where
-a factor starts or ends, the block differs from every earlier one but may share windows
+Blocks that a document with a smaller id holds are repeated as a whole.  Where repeated
+text starts or ends, the block differs from every earlier one but may share windows
 with them; these boundary blocks, and only those whose anchor occurs in several
-different blocks, are compared window by window.  A word is a duplicate if a factor of
-50 words or more covers it, so the result is the same as comparing all windows.
+different blocks, are compared window by window.  A word is a duplicate if a repeated
+block or window covers it, so the result is the same as comparing all windows.  Each
+window may come from another document: no greedy parse with factors is made.
 
 Scale: an anchor falls on about every 21st word, so the index has one short row per 21
 words; blocks that are alike are reduced to their smallest document before they are joined;

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy or word-list step holds at a time.
@@ -43,6 +44,34 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             yield batch.slice(begin)
 
 
+def slices(text, size: int = PIECE_BYTES) -> Iterator:
+    """``text`` (str or bytes) in parts of about ``size``, cut at blanks or line ends only."""
+    blanks = (b" ", b"\n") if isinstance(text, bytes) else (" ", "\n")
+    at = 0
+    while len(text) - at > size:
+        cuts = [c for b in blanks if (c := text.find(b, at + size)) >= 0]
+        if not cuts:
+            break
+        yield text[at : min(cuts)]
+        at = min(cuts)
+    yield text[at:] if at else text
+
+
+def small(df: DataFrame, row_bytes: int = 64) -> DataFrame:
+    """``df``, a checkpoint or table, marked for broadcast if so many rows of ``row_bytes`` fit; they are counted first."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def set_aside(df: DataFrame, taken: list[str]) -> DataFrame:
+    """``df`` with the columns that an operator's results will be named like renamed, ``_given`` appended."""
+    names = list(df.columns)
+    for i, name in enumerate(names):
+        while name in taken or name in names[:i] + names[i + 1 :]:
+            name += "_given"
+        names[i] = name
+    return df.toDF(*names)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()

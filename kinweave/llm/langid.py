@@ -2,17 +2,19 @@
 
 A known word adds its log frequency in each language.  An unseen word falls back to
 its character 4-grams (word ends marked), then 3-, 2- and 1-grams: the longest length
-of which any gram is known gives the mean of their log frequencies.  The best total
-wins; its posterior is the score.
+of which any gram is known gives the mean of their log frequencies.  The largest mean over
+the words of a text wins; the score is the share that a softmax over these means gives it, so
+it stays low for texts whose words speak for no language, however long they are.
 
-The model is fitted on a bounded sample of labelled rows (``max_rows``, chosen by a
-hash of the id over the whole table) and keeps at most ``max_words`` words and
-``max_grams`` grams, so its size is bounded whatever the input's.  Prediction reads
-every whole text once.
+The model is fitted on a bounded sample: of each language about ``max_rows`` labelled rows and
+``max_bytes`` bytes of text, chosen by a hash over the whole table.  All words of the sample
+and all grams of those words are kept.  Prediction reads every whole text once.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; with no
 labelled rows everything is ``und``; ties go to the language that sorts first;
-repeated rows get equal predictions.
+repeated rows get equal predictions and, with equal id and text, enter a sample together or not
+at all; very long texts are read in parts; columns other than id and text are ignored by
+:func:`predict`, whatever they are called, and kept by :func:`keep_identified`.
 """
 
 from __future__ import annotations
@@ -27,30 +29,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import pieces, schema_of
+from .text import pieces, schema_of, slices
+
+#: The sample that the model is fitted on, for each language at most about: rows, bytes of text.
+MAX_ROWS = 5_000
+MAX_BYTES = 32 << 20
+
+#: Different labels that a model may tell apart.
+MAX_LANGUAGES = 1_000
 
-#: Labelled rows that the model is fitted on, at most about so many.
-MAX_ROWS = 20_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 100_000
 LONGEST = 4
 
 UNDETERMINED = "und"
 
+#: A score below this tells no language; four languages that a text says nothing about get 0.25 each.
+MIN_SCORE = 0.4
+
 #: Runs of letters; the few numeric characters that \w also holds do no harm.
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
-#: Unseen words whose backoff scores a task remembers before it starts afresh.
-CACHE_WORDS = 100_000
+#: Values in the table of unseen words that a task fills before it starts afresh.
+CACHE_VALUES = 4_000_000
+
+#: Resolution of the sampling hash.
+_STEPS = 1 << 30
+
+
+@dataclass(frozen=True)
+class Table:
+    """Log frequencies by value and language; only pairs that were seen have an entry.
+
+    Entries of value i are ``begin[i]`` to ``begin[i + 1]``: language numbers, and how much
+    more than the language's smallest value each is.
+    """
+
+    values: list[str]
+    begin: np.ndarray
+    languages: np.ndarray
+    more: np.ndarray
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies by language of words and of character grams."""
+    """Tables of words (0) and of character grams by length, and the smallest values of each."""
 
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    tables: list[Table]
+    least: list[np.ndarray]
+
+
+def sample(df: DataFrame, id_col: str, text: str, lang: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """``(lang, text)`` of the labelled rows to fit on: a like share of all rows of a language."""
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(id_col).alias("id")
+    )
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("held"))
+    found = found.limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} different labels")
+    shares = [(r.lang, int(_STEPS * min(1, max_rows / r.n, max_bytes / max(r.held, 1)))) for r in found]
+    steps = F.broadcast(df.sparkSession.createDataFrame(shares, "lang string, steps long"))
+    chosen = F.pmod(F.xxhash64("id", "text"), F.lit(_STEPS)) < F.col("steps")
+    return labelled.join(steps, "lang").where(chosen).select("lang", "text")
 
 
 def fit(
@@ -59,110 +99,138 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     max_rows: int = MAX_ROWS,
-    max_words: int = MAX_WORDS,
-    max_grams: int = MAX_GRAMS,
+    max_bytes: int = MAX_BYTES,
 ) -> Model:
     """Fit on the rows of ``df`` that have a text and a label."""
-    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    total = labelled.count()
-    # the share of all rows that is kept depends on their number alone, so the sample is bounded
-    sample = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(max(total, 1))) < max_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text):
+        for piece in pieces(batches):
             seen: dict[str, Counter] = {}
-            for language, content in zip(piece.column(lang).to_pylist(), piece.column(text).to_pylist()):
-                seen.setdefault(language, Counter()).update(_WORDS(content.lower()))
+            for language, content in zip(piece.column("lang").to_pylist(), piece.column("text").to_pylist()):
+                counter = seen.setdefault(language, Counter())
+                for part in slices(content):
+                    counter.update(_WORDS(part.lower()))
             rows = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("lang", "word", "n"), r)) for r in rows],
-                pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]),
-            )
+            columns = list(zip(*rows)) if rows else [()] * 3
+            kinds = (pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "word", "n"])
 
-    counts = (
-        sample.select(F.col(lang).alias(lang), text)
-        .mapInArrow(count, "lang string, word string, n long")
-        .groupBy("lang", "word")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word", "lang")
-        .limit(max_words)
-        .persist()
-    )
-    marked = counts.withColumn("marked", F.concat(F.lit("^"), "word", F.lit("$")))
+    chosen = sample(df, id_col, text, lang, max_rows, max_bytes)
+    words = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    marked = words.withColumn("marked", F.concat(F.lit("^"), "word", F.lit("$")))
     grams = ", ".join(
         f"if(length(marked) < {n}, array(), transform(sequence(1, length(marked) - {n - 1}), i -> substring(marked, i, {n})))"
         for n in range(1, LONGEST + 1)
     )
-    gram_counts = (
-        marked.select("lang", "n", F.explode(F.expr(f"flatten(array({grams}))")).alias("gram"))
-        .groupBy("lang", "gram")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "gram", "lang")
-        .limit(max_grams)
-    )
-    words, parts = counts.collect(), gram_counts.collect()
-    counts.unpersist()
-    languages = sorted({r["lang"] for r in words})
-    return Model(
-        languages,
-        _log_frequencies(languages, [(r["lang"], r["word"], r["n"]) for r in words], lambda w: 0),
-        _log_frequencies(languages, [(r["lang"], r["gram"], r["n"]) for r in parts], len),
-    )
-
-
-def _log_frequencies(languages: list[str], rows: list[tuple[str, str, int]], kind) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies; those of one kind (words, or grams of one length) share a total."""
+    parts = marked.select("lang", "n", F.explode(F.expr(f"flatten(array({grams}))")).alias("word")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = [words.toArrow(), parts.toArrow()]
+    words.unpersist()
+    languages = sorted(counted[0].column("lang").unique().to_pylist())
+    lengths = np.array([len(g) for g in counted[1].column("word").to_pylist()], np.int64)
+    split = [counted[0], *(counted[1].filter(pa.array(lengths == n)) for n in range(1, LONGEST + 1))]
+    tables, least = zip(*(_table(languages, t) for t in split))
+    return Model(languages, list(tables), list(least))
+
+
+def _table(languages: list[str], counts: pa.Table) -> tuple[Table, np.ndarray]:
+    """Smoothed log frequencies of one kind of value."""
     at = {k: i for i, k in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    totals: dict[int, np.ndarray] = {}
-    for language, value, n in rows:
-        counts.setdefault(value, np.zeros(len(languages)))[at[language]] += n
-        totals.setdefault(kind(value), np.full(len(languages), 1.0))[at[language]] += n
-    return {v: np.log((c + 0.1) / totals[kind(v)]).astype(np.float32) for v, c in counts.items()}
+    counts = counts.sort_by("word")
+    lang = np.array([at[k] for k in counts.column("lang").to_pylist()], np.int64)
+    n = counts.column("n").to_numpy().astype(np.float64)
+    totals = 1.0 + np.bincount(lang, n, len(languages))
+    words = counts.column("word").to_pylist()
+    begin = [i for i, w in enumerate(words) if not i or w != words[i - 1]]
+    values = [words[i] for i in begin]
+    more = np.log((n + 0.1) / 0.1)
+    table = Table(values, np.array([*begin, len(words)], np.int64), lang.astype(np.int32), more.astype(np.float32))
+    return table, np.log(0.1 / totals)
 
 
 class _Scorer(dict):
-    """Word to row of ``matrix``; rows of unseen words are made by backoff."""
+    """Known word to its number; unseen word to -1 less its row in a table that backoff fills."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
+        self.words = model.tables[0]
+        self.grams = [{g: i for i, g in enumerate(t.values)} for t in model.tables[1:]]
+        self.room = max(1000, CACHE_VALUES // max(1, len(model.languages)))
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        words = self.model.words
-        self.matrix = np.zeros((len(words) + CACHE_WORDS, len(self.model.languages)), np.float32)
-        for i, (word, row) in enumerate(words.items()):
-            self[word] = i
-            self.matrix[i] = row
+        self.update((w, i) for i, w in enumerate(self.words.values))
+        self.unseen = np.zeros((self.room, len(self.model.languages)), np.float32)
+        self.used = 0
 
     def __missing__(self, word: str) -> int:
-        at = len(self)
-        self.matrix[at] = self.backoff(word)
-        self[word] = at
-        return at
+        self.unseen[self.used] = self.backoff(word)
+        self.used += 1
+        self[word] = -self.used
+        return -self.used
 
     def backoff(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
         for n in range(LONGEST, 0, -1):
-            known = [g for i in range(len(marked) - n + 1) if (g := self.model.grams.get(marked[i : i + n])) is not None]
+            known = [i for k in range(len(marked) - n + 1) if (i := self.grams[n - 1].get(marked[k : k + n])) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.sums(n, np.array(known), np.zeros(len(known), np.int64), 1)[0] / len(known) + self.model.least[n]
         return np.zeros(len(self.model.languages), np.float32)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORDS(text.lower()) if text else []
-        if not self.model.languages or not any(c.isalpha() for w in words for c in w):
-            return UNDETERMINED, 0.0
-        total = np.zeros(len(self.model.languages))
-        for begin in range(0, len(words), CACHE_WORDS // 2):
-            part = words[begin : begin + CACHE_WORDS // 2]
-            if len(self) + len(part) > len(self.matrix):
-                self.reset()
-            total += self.matrix[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(total))
-        return self.model.languages[best], 1 / float(np.exp(np.maximum(total - total[best], -700)).sum())
+    def sums(self, kind: int, numbers: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+        """What the entries of some values add up to for each of their owners, in each language."""
+        table, width = self.model.tables[kind], len(self.model.languages)
+        size = table.begin[numbers + 1] - table.begin[numbers]
+        entry = np.repeat(table.begin[numbers] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(owner, size) * width + table.languages[entry]
+        return np.bincount(cell, table.more[entry], owners * width).reshape(owners, width)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        languages = self.model.languages
+        total, count = np.zeros((len(texts), len(languages))), np.zeros(len(texts), np.int64)
+        held: list[np.ndarray] = []
+        owners: list[int] = []
+
+        def add() -> None:
+            """Add what the words held say to their texts."""
+            if not held:
+                return
+            numbers = np.concatenate(held)
+            owner = np.repeat(owners, [len(h) for h in held])
+            known = numbers >= 0
+            total[:] += self.sums(0, numbers[known], owner[known], len(texts))
+            total[:] += np.bincount(owner[known], minlength=len(texts))[:, None] * self.model.least[0]
+            np.add.at(total, owner[~known], self.unseen[-1 - numbers[~known]])
+            held.clear()
+            owners.clear()
+
+        lettered = np.zeros(len(texts), bool)
+        for row, text in enumerate(texts if languages else ()):
+            for part in slices(text or ""):
+                words = _WORDS(part.lower())
+                lettered[row] |= any(c.isalpha() for w in words for c in w)
+                for begin in range(0, len(words), self.room // 2):
+                    some = words[begin : begin + self.room // 2]
+                    if self.used + len(some) > self.room:
+                        add()
+                        self.reset()
+                    held.append(np.fromiter(map(self.__getitem__, some), np.int64, len(some)))
+                    owners.append(row)
+                    count[row] += len(some)
+        add()
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        for row in np.nonzero(lettered)[0].tolist():
+            mean = total[row] / count[row]
+            best = int(np.argmax(mean))
+            out[row] = (languages[best], 1 / float(np.exp(np.maximum(mean - mean[best], -700)).sum()))
+        return out
+
+
+def _model(shared) -> Model:
+    languages, tables, least = shared.value
+    return Model(languages, [Table(*t) for t in tables], least)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,9 +238,9 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     shared = df.sparkSession.sparkContext.broadcast(astuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(Model(*shared.value))
+        scorer = _Scorer(_model(shared))
         for piece in pieces(batches, text):
-            found = [scorer.predict(t) for t in piece.column(text).to_pylist()]
+            found = scorer.predict(piece.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column(id_col),
@@ -187,14 +255,14 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     return df.select(id_col, text, F.xxhash64(text).alias("__hash")).mapInArrow(run, schema)
 
 
-def keep_identified(df: DataFrame, model: Model, text: str = "text", min_score: float = 0.4) -> DataFrame:
+def keep_identified(df: DataFrame, model: Model, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``df`` whose language can be told: not ``und`` and a score of ``min_score`` or more."""
     shared = df.sparkSession.sparkContext.broadcast(astuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(Model(*shared.value))
+        scorer = _Scorer(_model(shared))
         for piece in pieces(batches, text):
-            found = (scorer.predict(t) for t in piece.column(text).to_pylist())
+            found = scorer.predict(piece.column(text).to_pylist())
             yield piece.filter(pa.array([language != UNDETERMINED and score >= min_score for language, score in found], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -4,19 +4,24 @@ Text is split into pre-tokens by the public pattern.  The first tier is a minima
 perfect hash over the vocabulary: one probe and one comparison resolve a pre-token
 that is a vocabulary entry.  Only misses reach the second tier, which merges a
 doubly linked list of byte symbols, taking the lowest rank (then the leftmost pair)
-from a heap, so a long pre-token costs O(n log n).
+from a heap, so a long pre-token costs O(n log n).  It knows no strings: a table of pairs of
+token ids says what two neighbours merge to.
 
 Edge cases: a null text is an empty text and has no tokens; empty and repeated rows
 are ordinary rows; a bytes vocabulary that lacks a single byte is rejected when it
-is loaded, so every text can be encoded.
+is loaded, so every text can be encoded; very long texts are split bit by bit (a single
+pre-token of n bytes takes some 60 n bytes while it is merged); given columns named ``ids`` or
+``decoded`` come back as ``ids_given`` and ``decoded_given``.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +30,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import pieces, schema_of
+from .text import PIECE_BYTES, pieces, schema_of, set_aside
 
 #: Resolved pre-tokens that a task remembers before it starts afresh.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
+
+#: Displacements that a bucket of the perfect hash tries before the keys are hashed with another seed.
+MAX_TRIES = 1 << 20
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Token bytes by id with the minimal perfect hash over them; bounded by the vocabulary."""
+    """Token bytes by id, the minimal perfect hash over them, and which pairs of ids merge to which id.
+
+    Bounded by the vocabulary.
+    """
 
     tokens: list[bytes]
     pattern: str
+    seed: int
     displacement: np.ndarray
     slots: np.ndarray
+    pairs: np.ndarray
+    merged: np.ndarray
 
     def find(self, token: bytes) -> int:
         """Id of a whole token, or -1: one probe, one comparison."""
-        h = xxhash.xxh3_64_intdigest(token)
+        h = xxhash.xxh3_64_intdigest(token, self.seed)
         n = len(self.slots)
         d = int(self.displacement[h % len(self.displacement)])
         slot = -d - 1 if d < 0 else _slot(h, d, n)
@@ -55,7 +69,7 @@ def _slot(h: int, d: int, n: int) -> int:
 
 
 def load_vocabulary(path: str, pattern: str) -> Vocabulary:
-    """Read a rank file (base64 token, rank) and build its perfect hash on the driver."""
+    """Read a rank file (base64 token, rank) and build its tables on the driver."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
     tokens = [b""] * len(ranks)
@@ -63,13 +77,28 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
         tokens[rank] = token
     if missing := [b for b in range(256) if bytes([b]) not in ranks]:
         raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
-    return Vocabulary(tokens, pattern, *_perfect_hash(tokens))
+    n, pairs = len(tokens), {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                pairs[left * n + right] = rank
+    keys, values = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+    return Vocabulary(tokens, pattern, *_perfect_hash(tokens), keys, values)
+
+
+def _perfect_hash(tokens: list[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Seed, displacements and slots of the first seed under which every bucket finds its places."""
+    for seed in range(100):
+        if (found := _displaced(tokens, seed)) is not None:
+            return seed, *found
+    raise ValueError("no perfect hash was found: are tokens repeated?")
 
 
-def _perfect_hash(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _displaced(tokens: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Hash, bucket and displace: large buckets first, single keys straight into free slots."""
     n = len(tokens)
-    hashes = [xxhash.xxh3_64_intdigest(t) for t in tokens]
+    hashes = [xxhash.xxh3_64_intdigest(t, seed) for t in tokens]
     buckets: list[list[int]] = [[] for _ in range(n // 4 + 1)]
     for i, h in enumerate(hashes):
         buckets[h % len(buckets)].append(i)
@@ -83,14 +112,15 @@ def _perfect_hash(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 free = taken.rfind(0, 0, free)
                 taken[free], slots[free], displacement[b] = 1, key, -free - 1
             continue
-        d = 0
-        while True:
-            places = [_slot(hashes[k], d, n) for k in keys]
-            if len(set(places)) == len(keys) and not any(taken[p] for p in places):
+        for d in range(MAX_TRIES):
+            places = {_slot(hashes[k], d, n) for k in keys}
+            if len(places) == len(keys) and not any(taken[p] for p in places):
                 break
-            d += 1
+        else:
+            return None
         displacement[b] = d
-        for place, key in zip(places, keys, strict=True):
+        for key in keys:
+            place = _slot(hashes[key], d, n)
             taken[place], slots[place] = 1, key
     return displacement, slots
 
@@ -101,52 +131,62 @@ class _Encoder(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
-        self.ranks = {t: i for i, t in enumerate(vocabulary.tokens)}
-        self.split = regex.compile(vocabulary.pattern).findall
+        self.pairs = dict(zip(vocabulary.pairs.tolist(), vocabulary.merged.tolist()))
+        self.bytes = [vocabulary.find(bytes([b])) for b in range(256)]
+        self.split = regex.compile(vocabulary.pattern)
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.vocabulary.find(raw)
-        ids = [whole] if whole >= 0 else self.merge(raw)
-        packed = np.array(ids, "<u4").tobytes()
+        packed = (array("I", [whole]) if whole >= 0 else self.merge(raw)).tobytes()
         if len(raw) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[piece] = packed
         return packed
 
-    def merge(self, raw: bytes) -> list[int]:
-        ranks, n = self.ranks, len(raw)
-        end = list(range(1, n + 1))  # a symbol is raw[start:end[start]]; 0 once it is merged away
-        before = list(range(-1, n - 1))
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
+    def merge(self, raw: bytes) -> array:
+        """Ids of the tokens that merging leaves."""
+        get, size, n = self.pairs.get, len(self.vocabulary.tokens), len(raw)
+        ids = list(map(self.bytes.__getitem__, raw))  # -1 once a symbol is merged into its left neighbour
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        shift = n.bit_length()
+        place = (1 << shift) - 1
+        # the rank, then the place of the left symbol, in one number
+        heap = [r << shift | i for i in range(n - 1) if (r := get(ids[i] * size + ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, start, stop = heapq.heappop(heap)
-            middle = end[start]
-            if not middle or middle >= n or end[middle] != stop:
+            entry = heapq.heappop(heap)
+            rank, at = entry >> shift, entry & place
+            right = after[at]
+            if ids[at] < 0 or right >= n or get(ids[at] * size + ids[right]) != rank:
                 continue  # one of the two symbols has changed since
-            end[start], end[middle] = stop, 0
-            if stop < n:
-                before[stop] = start
-                if (r := ranks.get(raw[start : end[stop]])) is not None:
-                    heapq.heappush(heap, (r, start, end[stop]))
-            if (left := before[start]) >= 0 and (r := ranks.get(raw[left:stop])) is not None:
-                heapq.heappush(heap, (r, left, stop))
-        out, at = [], 0
-        while at < n:
-            out.append(ranks[raw[at : end[at]]])
-            at = end[at]
-        return out
+            ids[at], ids[right] = rank, -1
+            after[at] = beyond = after[right]
+            if beyond < n:
+                before[beyond] = at
+                if (r := get(rank * size + ids[beyond])) is not None:
+                    heapq.heappush(heap, r << shift | at)
+            left = before[at]
+            if left >= 0 and (r := get(ids[left] * size + rank)) is not None:
+                heapq.heappush(heap, r << shift | left)
+        return array("I", [i for i in ids if i >= 0])
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        if len(text) <= PIECE_BYTES:
+            return b"".join(map(self.__getitem__, self.split.findall(text)))
+        found, out = (m[0] for m in self.split.finditer(text)), bytearray()
+        while some := list(islice(found, 100_000)):
+            out += b"".join(map(self.__getitem__, some))
+        return bytes(out)
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns plus ``ids`` (``array<int>``) of every whole text."""
+    if text != "ids":
+        df = set_aside(df, ["ids"])
     shared = df.sparkSession.sparkContext.broadcast(astuple(vocabulary))
-    keep = [c for c in df.columns if c not in (text, "ids")] if keep is None else keep
+    keep = [c for c in df.columns if c != text] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(Vocabulary(*shared.value))
@@ -163,8 +203,9 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: list
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns plus ``decoded`` (bytes) of every id list; null ids decode to nothing."""
+    df = set_aside(df, ["decoded"])
     shared = df.sparkSession.sparkContext.broadcast(astuple(vocabulary))
-    keep = [c for c in df.columns if c not in (ids, "decoded")] if keep is None else keep
+    keep = [c for c in df.columns if c != ids] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = shared.value[0].__getitem__

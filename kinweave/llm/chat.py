@@ -3,18 +3,23 @@
 A template is any function from a list of (role, text) messages to one string.  The
 formatter renders successive prefixes of a conversation and compares consecutive outputs:
 where the longer output begins with the shorter one, the rest is the new turn's
-span.  Where it does not, the template rewrites history; the conversation is marked and
-the span begins where the outputs part.  Where the text stands inside a span is found by
-rendering the turn with two probe texts and looking at what they have in common.
-
-Rendering every prefix of a conversation of n turns would take O(n^2) characters, so
-inside a block of ``BLOCK`` turns only the block and the turn before it are rendered.  At
-the end of each block the whole prefix is rendered once; if it is not the previous
-output plus the block's spans, the block is done again with whole prefixes.
-
-Edge cases: null texts and roles are empty; turns are ordered by turn number, nulls
-first, and equal numbers by role and text; repeated rows are turns of their own; a
-null id is a conversation; an empty table gives no rows.
+span.  Where it does not, the template rewrites history: the conversation is marked.  Where
+a text stands is found by rendering its turn with two probe texts and looking at what they have
+in common.  Spans of a template that rewrites would belong to outputs that no longer stand, so
+none are returned; its texts are looked for in the final output, by probes there, and those
+that it has dropped are in no loss span.
+
+Rendering every prefix of a conversation of n turns takes O(n^2) characters.  A template
+may promise a ``reach``: what it writes for a turn depends on so many turns before it and no
+others.  Its prefixes are then rendered from there on, and the whole is rendered once and must be
+what the pieces make; if it is not, the promise is broken and all prefixes are rendered.
+
+A template needs its whole conversation, so one conversation must fit in a task.
+
+Edge cases: null texts and roles are empty; very long texts are ordinary ones; turns are ordered
+by turn number, nulls first, and equal numbers by role and text; repeated rows are turns of their
+own; a row with a null id is a conversation of its own, so that such rows never crowd one task; an
+empty table gives no rows; columns other than the four named are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,12 +30,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .text import schema_of
 
-#: Turns whose prefixes are rendered from the start of their block only.
-BLOCK = 32
-
 #: Conversations in one batch of results, and characters after which one is sent early.
 ROWS, CHARS = 500, 4 << 20
 
@@ -77,47 +80,60 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def turn_spans(messages: list[Message], render: Callable[[list[Message]], str]) -> tuple[str, list[tuple[int, int, int, int]], bool]:
-    """The whole output, ``(start, end, text start, text end)`` of each turn, and whether
-    the template rewrites history."""
-    spans: list[tuple[int, int, int, int]] = []
-    whole, rewrites = "", False
-    for begin in range(0, len(messages), BLOCK):
-        stop = min(begin + BLOCK, len(messages))
-        context = max(0, begin - 1)
-        own, _, changed = _prefixes(messages[context:stop], begin - context, render)
-        full = render(messages[:stop])
-        grown = len(whole) + sum(s[1] - s[0] for s in own)
-        if changed or not full.startswith(whole) or grown != len(full):
-            own, _, changed = _prefixes(messages[:stop], begin, render)
-            rewrites |= changed
-            spans += own
-        else:
-            shift = len(whole) - (own[0][0] if own else 0)
-            spans += [tuple(x + shift for x in s) for s in own]
-        whole = full
-    return whole, spans, rewrites
-
-
-def _prefixes(messages: list[Message], begin: int, render) -> tuple[list[tuple[int, int, int, int]], str, bool]:
-    """Spans of the turns from number ``begin`` on, by rendering each prefix."""
-    before, spans, rewrites = render(messages[:begin]) if begin else "", [], False
-    for k in range(begin, len(messages)):
+def _text_span(messages: list[Message], k: int, end: int, whole: str, render) -> tuple[int, int] | None:
+    """Where the text of turn ``k`` stands in ``whole``, the output for the turns before ``end``.
+
+    None if the text stands nowhere, or changes more than one place.
+    """
+    one, two = (render([*messages[:k], (messages[k][0], probe), *messages[k + 1 : end]]) for probe in ("0", "1"))
+    if one == two:
+        return None
+    head = _common(one, two)
+    tail = _common(one[:head:-1], two[:head:-1])
+    stop = len(whole) - tail
+    same = head <= stop and whole.startswith(one[:head]) and (not tail or whole.endswith(one[-tail:]))
+    return (head, stop) if same else None
+
+
+def turn_spans(
+    messages: list[Message], render: Callable[[list[Message]], str], reach: int | None = None
+) -> tuple[str, list[tuple[int, int]], list[tuple[int, int] | None], bool]:
+    """The whole output, the span of each turn (of none, if the template rewrites history), the
+    span of each text or None, and whether the template rewrites history."""
+    whole = render(messages) if messages else ""
+    if reach is not None and (found := _by_reach(messages, render, reach)) is not None and found[0] == whole:
+        return whole, found[1], found[2], False
+    spans, texts, before = [], [], ""
+    for k in range(len(messages)):
         after = render(messages[: k + 1])
-        same = _common(before, after)
-        rewrites |= same < len(before)
-        role = messages[k][0]
-        one, two = (render([*messages[:k], (role, probe)]) for probe in ("0", "1"))
-        head = _common(one, two)
-        tail = _common(one[:head:-1], two[:head:-1])
-        spans.append((same, len(after), head, len(after) - tail))
+        if not after.startswith(before):
+            return whole, [], [_text_span(messages, i, len(messages), whole, render) for i in range(len(messages))], True
+        spans.append((len(before), len(after)))
+        texts.append(_text_span(messages, k, k + 1, after, render))
         before = after
-    return spans, before, rewrites
+    return whole, spans, texts, False
+
+
+def _by_reach(messages: list[Message], render, reach: int):
+    """The pieces of all turns, each rendered with ``reach`` turns before it; None if one rewrites these."""
+    pieces, spans, texts, at = [], [], [], 0
+    for k in range(len(messages)):
+        near = messages[max(0, k - reach) : k + 1]
+        before, after = render(near[:-1]) if len(near) > 1 else "", render(near)
+        if not after.startswith(before):
+            return None
+        shift, text = at - len(before), _text_span(near, len(near) - 1, len(near), after, render)
+        pieces.append(after[len(before) :])
+        spans.append((at, at + len(pieces[-1])))
+        texts.append(text and (text[0] + shift, text[1] + shift))
+        at = spans[-1][1]
+    return "".join(pieces), spans, texts
 
 
 def format_conversations(
     df: DataFrame,
     render: Callable[[list[Message]], str] = chatml,
+    reach: int | None = 1,
     conv: str = "conv_id",
     turn: str = "turn",
     role: str = "role",
@@ -127,7 +143,8 @@ def format_conversations(
     """``(conv, formatted, spans, loss, rewrites)`` of each conversation.
 
     ``spans`` are the turns' starts and ends in ``formatted``, ``loss`` those of the
-    texts of ``loss_role``, both flat lists in order.
+    texts of ``loss_role``, both flat lists in order.  ``reach`` is what ``render`` promises:
+    1 holds for the template of this module, None for any.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,16 +159,16 @@ def format_conversations(
             )
 
         def close() -> None:
-            whole, spans, rewrites = turn_spans(messages, render)
-            loss = [x for (r, _), s in zip(messages, spans) if r == loss_role for x in s[2:]]
-            out.append((current, whole, [x for s in spans for x in s[:2]], loss, rewrites))
+            whole, spans, texts, rewrites = turn_spans(messages, render, reach)
+            loss = [x for (r, _), s in zip(messages, texts) if r == loss_role and s for x in s]
+            out.append((current, whole, [x for s in spans for x in s], loss, rewrites))
 
         current, messages, id_type = None, [], None
         for batch in batches:
             id_type = batch.schema.field(conv).type
             columns = (batch.column(c).to_pylist() for c in (conv, role, text))
             for c, r, t in zip(*columns):
-                if messages and c != current:
+                if messages and (c != current or c is None):
                     close()
                     messages = []
                 current = c
@@ -167,7 +184,7 @@ def format_conversations(
     ddl = "formatted string, spans array<long>, loss array<long>, rewrites boolean"
     return (
         df.select(conv, turn, role, text)
-        .repartition(conv)
+        .repartition(conv, F.when(F.col(conv).isNull(), F.xxhash64(turn, role, text)))
         .sortWithinPartitions(conv, turn, role, text)
         .mapInArrow(run, schema_of(df, [conv], ddl))
     )

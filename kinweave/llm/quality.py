@@ -2,16 +2,18 @@
 
 All of it is DataFrame expressions.  Lines are normalised (lower case, outer white
 space dropped, inner white space one blank, digits 0) and hashed; for each host the
-documents that hold a line are counted, each row once.  A line that more than
+distinct documents that hold a line are counted.  A line that more than
 ``max(min_docs, max_share * documents of the host)`` documents hold is removed from
 all of them, and a document of which too little is left is rejected.  With ``max_share``
-0 the limit is the same for every host, so a host may have any number of such lines:
+0, the default, the limit is the same for every host, so a host may have any number of such lines:
 they stay rows, are joined with the lines of the texts, and only the places of removed
 lines come back to a document.
 
 Edge cases: a null text has no words and fails the base rules; an empty line or one
-without words is never counted; a null host is a host of its own; repeated rows are
-documents of their own and get equal results; an empty table gives no rows.
+without words is never counted; a null host is a host of its own; rows with equal ids are one
+document where lines are counted, and so are all rows with a null id; repeated rows get equal
+results; a very long text is one value, as a column must be, but its lines are counted as rows; an
+empty table gives no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ SPACES = " \t\n\x0b\x0c\r"
 
 #: A line must be in more documents of its host than both limits to be removed.
 MIN_DOCS = 20
-MAX_SHARE = 0.1
+MAX_SHARE = 0.0
+
+#: The share where the limit shall grow with the host.
+BY_SHARE = 0.1
 
 #: Shares into which the documents of one line are dealt when it is joined by a shuffle.
 SALTS = 16
@@ -100,15 +105,21 @@ def base_counts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def frequent_lines(
-    df: DataFrame, text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    host: str = "source",
+    min_docs: int = MIN_DOCS,
+    max_share: float = MAX_SHARE,
 ) -> tuple[DataFrame, int]:
     """``(line)``: hashes of host and line for the lines to remove; and their number."""
     lines = F.array_distinct(F.transform(_lines(text), lambda line: F.xxhash64(_normal(line))))
-    rows = df.select(_host(host).alias("host"), lines.alias("lines"))
-    held = rows.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(_host(host).alias("host"), F.xxhash64(F.col(id_col).cast("string")).alias("doc"), lines.alias("lines"))
+    # distinct first: the documents of a hot line are dealt out, and the counts that are left combine in each task
+    held = rows.select("host", "doc", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     often = held.where(F.col("n") > min_docs)
     if max_share > 0:
-        totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+        totals = rows.select("host", "doc").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
         often = often.join(totals, "host").where(F.col("n") > F.col("docs") * max_share)
     often, seen = checkpoint_counted(often.select(F.xxhash64("host", "line").alias("line")), n=F.count(F.lit(1)))
     return often, seen["n"]
@@ -121,7 +132,7 @@ def _row(id_col: str, text: str, host: str):
 
 def removed_lines(df: DataFrame, id_col: str, text: str, host: str, min_docs: int, max_share: float) -> DataFrame:
     """``(__row, removed)``: place and words of each line to remove, for the rows that have any."""
-    often, n = frequent_lines(df, text, host, min_docs, max_share)
+    often, n = frequent_lines(df, id_col, text, host, min_docs, max_share)
     split = F.split(F.coalesce(text, F.lit("")), "\n")
     placed = F.transform(
         split,

@@ -73,6 +73,11 @@ def op8_quality_any_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), max_share=0.0)
 
 
+def op8_quality_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a limit that grows with the host."""
+    return quality.judge(table(spark, sf_dir, "documents"), max_share=quality.BY_SHARE)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op8_quality_any_host": op8_quality_any_host,
+    "op8_quality_by_share": op8_quality_by_share,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
 }

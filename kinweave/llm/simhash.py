@@ -10,20 +10,23 @@ fingerprints could be neither built nor broadcast, so fingerprints are dealt int
 shards first: of four 16-bit blocks two fingerprints at distance three agree in at
 least one, and of four 12-bit blocks of the other 48 bits again in at least one.
 Each fingerprint therefore goes to 16 shards (block, sub-block, their 28 bits) and
-every linked pair meets in one.  A shard of more than ``MAX_TREE`` fingerprints is
-cut into parts, and each pair of parts is one bounded job: a tree of one part,
-searched by the other.  A shard's tree travels to its task through the shuffle; no
-structure that grows with the data is broadcast.  Jobs report only links that join
-two groups of theirs, never all pairs of a group.
+every linked pair meets in one.  A shard of more than ``MAX_TREE`` fingerprints is dealt
+again in the same way: of four blocks of the bits that are left, two close fingerprints agree in one.
+Every level fixes more bits, so a shard that stays large after some levels would need more
+different fingerprints than its free bits allow.  A shard's tree travels to its task
+through the shuffle; no structure that grows with the data is broadcast.  Jobs report only links
+that join two groups of theirs, never all pairs of a group.
 
 Edge cases: a null text counts as empty and has fingerprint zero, which links like
-any other; a null id belongs to its text's group but is never its smallest id;
-repeated rows are returned as often as they come in.
+any other; very long texts are read in parts; a null id belongs to its text's group but is never its
+smallest id; repeated rows are returned as often as they come in; an empty table gives no rows; other
+columns are ignored, whatever they are called, and kept by :func:`keep_one`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..operators.loop import checkpoint
-from .text import as_bytes, pieces, schema_of
+from ..operators.loop import checkpoint, checkpoint_counted
+from .text import as_bytes, pieces, schema_of, slices, small
 
 #: Fingerprints in one BK-tree at most.
 MAX_TREE = 4096
@@ -43,17 +46,18 @@ SEED = 42
 
 def fingerprint(text: bytes) -> int:
     """The unsigned 64-bit SimHash of one text."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) > 2 else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), "<u8")
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    digest, ones, n, last = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    for part in slices(text.lower()):
+        words = last + part.split()
+        hashes = np.fromiter((digest(s, SEED) for s in map(b" ".join, zip(words, words[1:], words[2:]))), "<u8")
+        for at in range(0, len(hashes), 1 << 16):
+            bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+        last = words[-2:]
+    if not n:
+        return digest(b" ".join(last), SEED) if last else 0
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,11 +103,9 @@ class BKTree:
             todo += [c for e, c in children[at].items() if -radius <= e - d <= radius]
 
 
-def _join_groups(left: list[int], right: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links between ``left`` and ``right`` (or inside ``left`` if that is empty) that
-    join two groups; the groups that they leave are those that all links would."""
-    both = left + right
-    group = list(range(len(both)))
+def _joining_links(prints: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links that join two groups; the groups that they leave are those that all links would."""
+    group = list(range(len(prints)))
 
     def root(i: int) -> int:
         while group[i] != i:
@@ -111,20 +113,13 @@ def _join_groups(left: list[int], right: list[int], radius: int) -> list[tuple[i
         return i
 
     links, tree = [], BKTree()
-
-    def search(i: int) -> None:
-        for j in tree.within(both[i], radius):
+    for i, value in enumerate(prints):
+        for j in tree.within(value, radius):
             a, b = root(i), root(j)
             if a != b:
                 group[a] = b
-                links.append((both[i], both[j]))
-
-    for i in range(len(left)):
-        if not right:
-            search(i)
-        tree.add(both[i])
-    for i in range(len(left), len(both)):
-        search(i)
+                links.append((value, prints[j]))
+        tree.add(value)
     return links
 
 
@@ -132,61 +127,62 @@ def linked(fps: DataFrame, radius: int = 3, max_tree: int = MAX_TREE) -> DataFra
     """``(src, dst)`` links between distinct fingerprints ``fp``, enough to give all groups."""
     if not 0 <= radius <= 3:
         raise ValueError("the shards hold all links only up to a radius of 3")
-    keyed = fps.select("fp", F.explode(F.array(*_shard_keys())).alias("shard"))
-    sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / max_tree).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    jobs = (
-        keyed.join(checkpoint(sizes), "shard")
-        .select("shard", "fp", parts.alias("parts"))
-        .select("shard", "fp", mine.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        .select("shard", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "fp")
-    )
+    # what a shard has not fixed yet of its fingerprints' bits: ``rest``, ``free`` bits of it
+    level = fps.select("fp", F.lit(0).cast("long").alias("shard"), F.col("fp").alias("rest"))
+    free, found = 64, []
+    for _ in range(2):
+        level, free = _dealt(level, free)
+    while True:
+        sizes = level.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes, seen = checkpoint_counted(sizes, largest=F.coalesce(F.max("n"), F.lit(0)))
+        last = seen["largest"] <= max_tree or free <= 8
+        of = lambda some: level.join(some.select("shard"), "shard")  # noqa: B023,E731
+        found.append(_tree_links(of(sizes if last else sizes.where(F.col("n") <= max_tree)), radius))
+        if last:
+            return reduce(DataFrame.union, found)
+        level, free = _dealt(of(sizes.where(F.col("n") > max_tree)), free)
+        level = checkpoint(level)
+
+
+def _dealt(level: DataFrame, free: int) -> tuple[DataFrame, int]:
+    """Each shard dealt into smaller ones by every fourth of its free bits; and how many stay free."""
+    width = free // 4
+    parts = []
+    for block in range(4):
+        fixed = F.shiftrightunsigned("rest", width * block).bitwiseAND(F.lit((1 << width) - 1))
+        above = width * (block + 1)
+        high = F.shiftleft(F.shiftrightunsigned("rest", above), width * block) if above < 64 else F.lit(0).cast("long")
+        low = F.col("rest").bitwiseAND(F.lit((1 << width * block) - 1))
+        parts.append(F.struct(F.lit(block).alias("block"), fixed.alias("fixed"), high.bitwiseOR(low).alias("rest")))
+    spread = level.select("fp", "shard", F.explode(F.array(*parts)).alias("p"))
+    shard = F.xxhash64("shard", "p.block", "p.fixed")  # two shards of one hash are one shard: its links are checked anyway
+    return spread.select("fp", shard.alias("shard"), F.col("p.rest").alias("rest")), free - width
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        job, left, right, found = None, [], [], []
 
-        def links_of_job() -> list[tuple[int, int]]:
-            return _join_groups(left, right, radius) if job and (job[1] == job[2] or right) else []
+def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links inside each shard by a BK-tree of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, prints, found = None, [], []
 
         def packed() -> pa.RecordBatch:
             columns = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(columns[:, 0]), pa.array(columns[:, 1])], names=["src", "dst"])
 
         for batch in batches:
-            shard, a, b, part, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            keys = zip(shard.tolist(), a.tolist(), b.tolist())
-            for key, p, value in zip(keys, part.tolist(), fp.view(np.uint64).tolist()):
-                if key != job:
-                    found += links_of_job()
-                    job, left, right = key, [], []
-                (left if p == key[1] else right).append(value)
+            keys, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for key, value in zip(keys.tolist(), fps.view(np.uint64).tolist()):
+                if key != shard:
+                    found += _joining_links(prints, radius) if len(prints) > 1 else []
+                    shard, prints = key, []
+                prints.append(value)
             if found:
                 yield packed()
                 found = []
-        found += links_of_job()
+        found += _joining_links(prints, radius) if len(prints) > 1 else []
         yield packed()
 
-    return (
-        jobs.repartition("shard", "a", "b")
-        .sortWithinPartitions("shard", "a", "b")
-        .mapInArrow(run, "src long, dst long")
-    )
-
-
-def _shard_keys() -> list:
-    """16 long columns: table number and the 28 bits in which both sides must agree."""
-    keys = []
-    for block in range(4):
-        own = F.shiftrightunsigned("fp", 16 * block).bitwiseAND(F.lit(0xFFFF))
-        high, low = F.shiftrightunsigned("fp", 16 * (block + 1)), F.col("fp").bitwiseAND(F.lit((1 << 16 * block) - 1))
-        high = F.lit(0).cast("long") if block == 3 else high
-        rest = F.shiftleft(high, 16 * block).bitwiseOR(low)
-        for sub in range(4):
-            value = F.shiftrightunsigned(rest, 12 * sub).bitwiseAND(F.lit(0xFFF))
-            table = F.lit((4 * block + sub) << 28)
-            keys.append(table.bitwiseOR(F.shiftleft(own, 12)).bitwiseOR(value).cast("long"))
-    return keys
+    return rows.select("shard", "fp").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "src long, dst long")
 
 
 def components(fps: DataFrame, id_col: str = "doc_id", radius: int = 3) -> DataFrame:
@@ -220,13 +216,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
     """
     found = checkpoint(near_duplicates(df, id_col, text, radius))
     first = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = checkpoint(
-        first.groupBy("group", F.col("component_id").alias("__kept")).agg(
-            F.min("text_hash").alias("__hash"), F.count(F.lit(1)).alias("__n")
-        )
-    )
-    matches = F.col(id_col).eqNullSafe(F.col("__kept")) & (F.xxhash64(text) == F.col("__hash"))
-    out = df.join(kept, matches, "left_semi")
+    kept = checkpoint(first.groupBy("group").agg(F.min("text_hash").alias("__kept"), F.min("component_id").alias("__first"), F.count(F.lit(1)).alias("__n")))
+    stays = F.col(id_col).eqNullSafe(F.col("__first")) & (F.col("text_hash") == F.col("__kept"))
+    gone = found.join(kept, "group").where(~stays).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    matches = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    out = df.join(small(checkpoint(gone)), matches, "left_anti")
     return out if kept.where("__n > 1").isEmpty() else out.dropDuplicates([id_col, text])
 
 

@@ -1,4 +1,4 @@
-"""Substring deduplication by hash joins of content-chosen blocks and of windows.
+"""Substring deduplication by a relative Lempel-Ziv parse over content-chosen reference blocks.
 
 A document is a sequence of words.  Content picks its blocks: of every window of 50
 words the 10-word gram with the smallest hash is the anchor, and the consecutive windows
@@ -6,21 +6,28 @@ with the same anchor form one block of 50 words or more (neighbouring blocks ove
 Equal passages have equal anchors and, inside, equal blocks, so the blocks of all
 documents, indexed by their hashes, are the reference.
 
-Blocks that a document with a smaller id holds are repeated as a whole.  Where repeated
-text starts or ends, the block differs from every earlier one but may share windows
-with them; these boundary blocks, and only those whose anchor occurs in several
-different blocks, are compared window by window.  A word is a duplicate if a repeated
-block or window covers it, so the result is the same as comparing all windows.  Each
-window may come from another document: no greedy parse with factors is made.
+Each document is factored against it from left to right.  A block that stands in a document with
+a smaller id starts a factor (reference document, its place there, length), and blocks that follow it
+there in the same order extend it.  Where a factor can start or end, a block differs from every
+earlier one but may share windows with them: these boundary blocks, and only those whose
+anchor occurs in several different blocks, are checked window by window, which starts factors
+earlier and ends them later than the blocks alone.  The parse is greedy: a factor goes on as long as
+the next windows continue it, and what it covers starts no other.  Of several documents with a passage
+the smallest serves as reference for each block; so where two share its parts, two factors stand
+for one, and every window is judged as if all pairs of documents had been compared.
+
+Hashes only choose what may be equal.  The texts concerned are read again, and blocks and
+windows are equal if the BLAKE2b digests of their words are, as exact copies are by SHA-256.
 
 Scale: an anchor falls on about every 21st word, so the index has one short row per 21
 words; blocks that are alike are reduced to their smallest document before they are joined;
 exact copies are recognised by one digest and never enter the index twice.  The index is
-a checkpoint, so that joins on hot blocks can be split at run time.
+a checkpoint, so that joins on hot blocks can be split at run time.  Long texts are read in parts.
 
 Edge cases: a null text has no words; a text of fewer than 50 words has no window and
 stays whole; a row with a null id is left whole and serves as no reference; rows with equal
-ids never remove each other's words; an empty table gives no rows.
+ids never remove each other's words; an empty table gives no rows; columns other than id and text
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -30,17 +37,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.loop import checkpoint
-from .text import BROADCAST_BYTES, as_bytes, pieces, schema_of
+from .text import BROADCAST_BYTES, PIECE_BYTES, as_bytes, pieces, schema_of, slices, small
 
 #: Words in a window that counts as repeated, and in an anchor.
 WINDOW, GRAM = 50, 10
 
-#: Odd multipliers of the rolling hashes over bytes, grams and windows.
-_BYTE, _GRAM, _WIDE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Odd multipliers of the rolling hashes over grams and blocks.
+_GRAM, _WIDE = 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -69,49 +77,68 @@ def _range_hash(rolling: tuple[np.ndarray, np.ndarray], start: np.ndarray, end:
     return _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-class Words:
-    """The words of some texts in one array, with their hashes."""
-
-    def __init__(self, texts: list[bytes]):
-        self.lists = [t.split() for t in texts]
-        self.counts = np.array([len(w) for w in self.lists], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.counts)])
-        joined = b" ".join(w for words in self.lists for w in words)
-        raw = np.frombuffer(joined, np.uint8)
-        breaks = np.nonzero(raw == 32)[0]
-        total = int(self.counts.sum())
-        starts = np.concatenate([[0], breaks + 1])[:total]
-        ends = np.concatenate([breaks, [len(raw)]])[:total]
-        spread = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_WIDE))
-        self.hashes = _range_hash(_rolling(spread[raw], _BYTE), starts, ends)
-        self.wide = _rolling(self.hashes, _WIDE)
-
-    def window_hashes(self, start: np.ndarray) -> np.ndarray:
-        return _range_hash(self.wide, start, start + WINDOW)
-
-    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Text number, first window, windows, anchor hash and content hash of each block."""
-        n = len(self.hashes)
-        none = np.zeros(0, np.int64)
-        if n < WINDOW:
-            return none, none, none, none, none
-        grams = _range_hash(_rolling(self.hashes, _GRAM), np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
-        best, width, reach = np.arange(len(grams)), 1, WINDOW - GRAM + 1
-        while width < reach:  # leftmost smallest gram of the next `width` grams
-            step = min(width, reach - width)
-            a, b = best[:-step], best[step:]
-            best = np.where(grams[b] < grams[a], b, a)
-            width += step
-        owner = np.repeat(np.arange(len(self.counts)), self.counts)
-        starts = np.nonzero(owner[: n - WINDOW + 1] == owner[WINDOW - 1 :])[0]
-        if not len(starts):
-            return none, none, none, none, none
-        anchor, text = best[starts], owner[starts]
-        begins = np.nonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))[0]
-        size = np.diff(np.concatenate([begins, [len(starts)]]))
-        first = starts[begins]
-        content = _range_hash(self.wide, first, first + size - 1 + WINDOW)
-        return text[begins], first - self.first[text[begins]], size, grams[anchor[begins]].view(np.int64), content.view(np.int64)
+def blocks(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first window, windows, anchor hash and content hash of each block.
+
+    ``words`` are those of all texts, ``counts`` how many each text has.
+    """
+    n = len(words)
+    none = np.zeros(0, np.int64)
+    if n < WINDOW:
+        return none, none, none, none, none
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    wide = _rolling(hashes, _WIDE)
+    grams = _range_hash(_rolling(hashes, _GRAM), np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
+    best, width, reach = np.arange(len(grams)), 1, WINDOW - GRAM + 1
+    while width < reach:  # leftmost smallest gram of the next `width` grams
+        step = min(width, reach - width)
+        a, b = best[:-step], best[step:]
+        best = np.where(grams[b] < grams[a], b, a)
+        width += step
+    owner = np.repeat(np.arange(len(counts)), counts)
+    starts = np.nonzero(owner[: n - WINDOW + 1] == owner[WINDOW - 1 :])[0]
+    if not len(starts):
+        return none, none, none, none, none
+    anchor, text = best[starts], owner[starts]
+    begins = np.nonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))[0]
+    size = np.diff(np.concatenate([begins, [len(starts)]]))
+    first = starts[begins]
+    content = _range_hash(wide, first, first + size - 1 + WINDOW)
+    place = np.concatenate([[0], np.cumsum(counts)])[text[begins]]
+    return text[begins], first - place, size, grams[anchor[begins]].view(np.int64), content.view(np.int64)
+
+
+def _indexed(texts: list[bytes]) -> tuple[list[int], list[str], list[np.ndarray]]:
+    """Words and SHA-256 of each text, and the columns of :func:`blocks` of all."""
+    if any(len(t) > PIECE_BYTES for t in texts):
+        counts, digests, found = zip(*map(_indexed_in_parts, texts))
+        columns = [[row * np.ones(len(c[0]), np.int64), *c[1:]] for row, c in enumerate(found)]
+        return [*map(sum, counts)], [d[0] for d in digests], [np.concatenate(c) for c in zip(*columns)]
+    lists = [t.split() for t in texts]
+    counts = [len(w) for w in lists]
+    found = blocks([w for words in lists for w in words], np.array(counts, np.int64))
+    return counts, [hashlib.sha256(b" ".join(w)).hexdigest() for w in lists], list(found)
+
+
+def _indexed_in_parts(text: bytes) -> tuple[list[int], list[str], list[np.ndarray]]:
+    """As :func:`_indexed` for one long text: a part's last block may go on, so the next part starts with it."""
+    digest, n, held, found = hashlib.sha256(), 0, [], []
+
+    def add(last: bool) -> None:
+        owner, start, size, anchor, content = blocks(held, np.array([len(held)]))
+        done = len(owner) if last else max(0, len(owner) - 1)
+        found.append([owner[:done], start[:done] + n - len(held), size[:done], anchor[:done], content[:done]])
+        if not last and len(owner):
+            del held[: int(start[-1])]
+
+    for part in slices(text):
+        words = part.split()
+        digest.update((b" " if n and words else b"") + b" ".join(words))
+        held += words
+        n += len(words)
+        add(False)
+    add(True)
+    return [n], [digest.hexdigest()], [np.concatenate(c) for c in zip(*found)]
 
 
 def _index(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -119,16 +146,14 @@ def _index(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text):
-            words = Words(as_bytes(piece.column(text)))
-            owner, start, size, anchor, content = words.blocks()
+            counts, digests, (owner, start, size, anchor, content) = _indexed(as_bytes(piece.column(text)))
             cuts = pa.array(np.searchsorted(owner, np.arange(piece.num_rows + 1)).astype(np.int32))
-            digests = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words.lists]
             lists = [
                 pa.ListArray.from_arrays(cuts, pa.array(v))
                 for v in (anchor, content, start.astype(np.int32), size.astype(np.int32))
             ]
             yield pa.RecordBatch.from_arrays(
-                [piece.column(id_col), piece.column("__hash"), pa.array(words.counts), pa.array(digests), *lists],
+                [piece.column(id_col), piece.column("__hash"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), *lists],
                 names=[id_col, "text_hash", "n_words", "digest", "anchors", "contents", "starts", "sizes"],
             )
 
@@ -140,45 +165,73 @@ def _index(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, schema_of(df, [id_col], ddl))
 
 
-def _window_rows(df: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, text_hash, window, start)`` for every window of the wanted blocks.
+def _ranges(text: bytes, starts: list[int], stops: list[int]) -> Iterator[list[bytes]]:
+    """The words of each range, of which no later one starts before an earlier one."""
+    parts, words, base = slices(text), [], 0
+    for start, stop in zip(starts, stops):
+        while base + len(words) < stop:
+            passed = min(len(words), max(0, start - base))
+            words, base = words[passed:] + next(parts).split(), base + passed
+        yield words[start - base : stop - base]
+
+
+def _spans(df: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``(id, text_hash, key, start, size)``: digests of the words of the wanted blocks and windows.
 
-    ``wanted`` has ``(__id, __hash, starts, sizes)``, one row for each text concerned.
+    ``wanted`` has ``(__id, __hash, starts, sizes, whole, parted)``, one row for each text concerned:
+    of each block whether it is wanted as a whole, and whether each of its windows is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text):
-            words = Words(as_bytes(piece.column(text)))
-            starts, sizes = piece.column("starts").to_pylist(), piece.column("sizes").to_pylist()
-            rows = [
-                (row, np.concatenate([np.arange(a, a + n) for a, n in zip(s, k)])) for row, (s, k) in enumerate(zip(starts, sizes))
-            ]
-            owner = np.concatenate([np.full(len(at), row) for row, at in rows])
-            at = np.concatenate([at for _, at in rows])
-            hashes = words.window_hashes(words.first[owner] + at).view(np.int64)
-            picked = piece.select([id_col, "__hash"]).take(pa.array(owner))
+            rows, keys, at, windows = [], [], [], []
+            columns = [as_bytes(piece.column(text)), *(piece.column(c).to_pylist() for c in ("starts", "sizes", "whole", "parted"))]
+            for row, (content, starts, sizes, whole, parted) in enumerate(zip(*columns)):
+                before = len(keys)
+                stops = [a + n - 1 + WINDOW for a, n in zip(starts, sizes)]
+                for words, a, n, w, p in zip(_ranges(content, starts, stops), starts, sizes, whole, parted):
+                    some = [(0, n)] if w else []
+                    if p and not (w and n == 1):
+                        some += [(k, 1) for k in range(n)]
+                    for k, size in some:
+                        keys.append(hashlib.blake2b(b" ".join(words[k : k + size - 1 + WINDOW]), digest_size=16).digest())
+                        at.append(a + k)
+                        windows.append(size)
+                rows += [row] * (len(keys) - before)
+            picked = piece.select([id_col, "__hash"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [picked.column(0), picked.column(1), pa.array(hashes), pa.array(at.astype(np.int32))],
-                names=[id_col, "text_hash", "window", "start"],
+                [picked.column(0), picked.column(1), pa.array(keys, pa.binary()), pa.array(at, pa.int32()), pa.array(windows, pa.int32())],
+                names=[id_col, "text_hash", "key", "start", "size"],
             )
 
     joined = _with_runs(df, wanted, id_col, text)
-    return joined.mapInArrow(run, schema_of(df, [id_col], "text_hash long, window long, start int"))
-
-
-def _ranges(df: DataFrame, id_col: str) -> DataFrame:
-    """One row for each text with its ``(start, windows)`` runs in two arrays, in order."""
-    runs = F.sort_array(F.collect_set(F.struct("start", "size")))
-    grouped = df.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(runs.alias("runs"))
-    return grouped.select("__id", "__hash", F.col("runs.start").alias("starts"), F.col("runs.size").alias("sizes"))
+    return joined.mapInArrow(run, schema_of(df, [id_col], "text_hash long, key binary, start int, size int"))
+
+
+def parse(matches: list[tuple]) -> list[list]:
+    """Factors ``[start, windows, reference, its start]`` from ``(start, windows, reference, its start)`` matches by start."""
+    out: list[list] = []
+    for start, size, ref, ref_start in matches:
+        if out:
+            last = out[-1]
+            end = last[0] + last[1]
+            if start + size <= end:
+                continue
+            if start <= end and ref == last[2] and ref_start - start == last[3] - last[0]:
+                last[1] = start + size - last[0]
+                continue
+            passed = max(0, end - start)
+            start, size, ref_start = start + passed, size - passed, ref_start + passed
+        out.append([start, size, ref, ref_start])
+    return out
 
 
 def factors(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The index of all rows, and the duplicate runs ``(__id, __hash, starts, sizes)``.
+    """The index of all rows, and the factors ``(__id, __hash, starts, sizes, refs, ref_starts)`` of each text.
 
-    A run ``(start, size)`` is ``size`` consecutive windows, the first at word ``start``,
-    that all stand in documents with smaller ids.  Rows whose words all stand in an earlier copy
-    have no runs: the index's ``copy`` column is true for them.
+    A factor of ``size`` windows, the first at word ``start``, stands in the document ``ref``, which has a smaller id,
+    from word ``ref_start`` on.  Rows whose words all stand in an earlier copy
+    have no factors: the index's ``copy`` column is true for them.
     """
     index = checkpoint(_index(df, id_col, text))
     known = index.where(F.col(id_col).isNotNull() & (F.col("n_words") >= WINDOW))
@@ -187,7 +240,7 @@ def factors(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
     marked = index.join(first, "digest", "left")
     copy = F.coalesce(F.col("__first") < F.col(id_col), F.lit(False)) & (F.col("n_words") >= WINDOW)
     marked = marked.withColumn("copy", copy).drop("__first")
-    blocks = (
+    rows = (
         marked.where(~F.col("copy") & F.col(id_col).isNotNull() & (F.size("anchors") > 0))
         .select(id_col, "text_hash", F.explode(F.arrays_zip("anchors", "contents", "starts", "sizes")).alias("b"))
         .select(
@@ -199,42 +252,67 @@ def factors(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
             F.col("b.sizes").alias("size"),
         )
     )
-    distinct = blocks.groupBy("anchor", "content").agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"))
+    distinct = rows.groupBy("anchor", "content").agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"))
     shared = distinct.groupBy("anchor").agg(
         F.min("low").alias("anchor_low"), F.max("high").alias("anchor_high"), F.count(F.lit(1)).alias("variants")
     )
-    shared = checkpoint(shared.where("anchor_low < anchor_high").drop("anchor_high"))
-    # one row for each different block that more than one document may hold in part
+    shared = checkpoint(shared.where("anchor_low < anchor_high").drop("anchor_low", "anchor_high"))
+    # one row for each different block that more than one document may hold, whole or in part
     reference = checkpoint(distinct.join(shared, "anchor").where("low < high OR variants > 1"))
-    held = checkpoint(
-        blocks.join(reference, ["anchor", "content"]).select(
-            id_col, "text_hash", "start", "size", "low", (F.col("variants") > 1).alias("several"), "anchor_low"
-        )
+    held = rows.join(reference, ["anchor", "content"]).select(
+        id_col,
+        "text_hash",
+        "start",
+        "size",
+        (F.col("low") < F.col("high")).alias("whole"),
+        ((F.col("low") == F.col(id_col)) & (F.col("variants") > 1)).alias("parted"),
     )
-    whole = held.where(F.col("low") < F.col(id_col)).select(id_col, "text_hash", "start", "size")
-    boundary = held.where((F.col("low") == F.col(id_col)) & F.col("several"))
-    rows = checkpoint(_window_rows(df, checkpoint(_ranges(boundary, id_col)), id_col, text))
-    earliest = rows.groupBy("window").agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"))
-    earliest = checkpoint(earliest.where("low < high").select("window", "low"))
-    parts = rows.join(earliest, "window").where(F.col("low") < F.col(id_col))
-    parts = parts.select(id_col, "text_hash", "start", F.lit(1).alias("size"))
-    return marked, checkpoint(_ranges(whole.union(parts), id_col))
+    wanted = _of_texts(held.where("whole OR parted"), id_col, ["start", "size", "whole", "parted"])
+    wanted = wanted.select("__id", "__hash", *(F.col(f"runs.{a}").alias(b) for a, b in (("start", "starts"), ("size", "sizes"), ("whole", "whole"), ("parted", "parted"))))
+    spans = checkpoint(_spans(df, checkpoint(wanted), id_col, text))
+    earliest = spans.groupBy("key").agg(F.min(F.struct(id_col, "start")).alias("first"), F.max(id_col).alias("high"))
+    earliest = checkpoint(
+        earliest.where(F.col(f"first.{id_col}") < F.col("high")).select("key", F.col(f"first.{id_col}").alias("ref"), F.col("first.start").alias("ref_start"))
+    )
+    matches = spans.join(earliest, "key").where(F.col("ref") < F.col(id_col))
+    return marked, checkpoint(_parsed(_of_texts(matches, id_col, ["start", "size", "ref", "ref_start"])))
+
+
+def _of_texts(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """One row for each text with its rows of ``columns``, in order."""
+    runs = F.sort_array(F.collect_set(F.struct(*columns)))
+    return df.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(runs.alias("runs"))
+
+
+def _parsed(matches: DataFrame) -> DataFrame:
+    """The factors of each text from its matches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse([tuple(m.values()) for m in runs]) for runs in batch.column("runs").to_pylist()]
+            kinds = (pa.int32(), pa.int32(), batch.schema.field("__id").type, pa.int32())
+            lists = [pa.array([[f[i] for f in fs] for fs in found], pa.list_(kind)) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__hash"), *lists], names=names)
+
+    names = ["__id", "__hash", "starts", "sizes", "refs", "ref_starts"]
+    kind = matches.schema["__id"].dataType.simpleString()
+    return matches.mapInArrow(run, f"__id {kind}, __hash long, starts array<int>, sizes array<int>, refs array<{kind}>, ref_starts array<int>")
 
 
 def _with_runs(df: DataFrame, runs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The rows of ``df`` that have runs, with ``__hash``, ``starts`` and ``sizes``.
+    """The texts of ``df`` that have runs, with the columns of these.
 
     Runs of a few MB are broadcast.  Else their keys alone may fit; they then drop the texts
     without runs before the others are shuffled.  Beyond that all texts are shuffled.
     """
-    rows, held = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(64) + F.size("starts") * 8), F.lit(0))).first()
+    rows, held = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(64) + F.size("starts") * 24), F.lit(0))).first()
     texts = df.select(id_col, text, F.xxhash64(text).alias("__text_hash"))
     keys = (F.col(id_col) == F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
     if held <= BROADCAST_BYTES:
         runs = F.broadcast(runs)
     elif rows * 64 <= BROADCAST_BYTES:
         texts = texts.join(F.broadcast(runs.select("__id", "__hash")), keys, "left_semi")
-    return texts.join(runs, keys).select(id_col, text, "__hash", "starts", "sizes")
+    return texts.join(runs, keys).drop("__id", "__text_hash")
 
 
 def remove_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,11 +321,12 @@ def remove_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text")
     ``kept`` holds the words that stay, joined by blanks, for texts that lose some but
     not all of their words; it is null where the text stays as it is, empty where it goes.
     """
-    index, runs = factors(df, id_col, text)
+    index, found = factors(df, id_col, text)
+    runs = found.select("__id", "__hash", "starts", "sizes")
     nothing = hashlib.sha256().hexdigest()
     keys = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
     bare = runs.select("__id", "__hash")
-    plain = index.select(id_col, "text_hash", "n_words", "digest", "copy").join(_marked_small(bare), keys, "left_anti")
+    plain = index.select(id_col, "text_hash", "n_words", "digest", "copy").join(small(bare), keys, "left_anti")
     untouched = plain.select(
         id_col,
         "n_words",
@@ -261,15 +340,21 @@ def remove_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text")
             n_words, removed, digests, kept = [], [], [], []
             columns = (as_bytes(piece.column(text)), piece.column("starts").to_pylist(), piece.column("sizes").to_pylist())
             for content, starts, sizes in zip(*columns):
-                words = content.split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, np.array(starts), 1)
-                np.add.at(edge, np.array(starts) + np.array(sizes) - 1 + WINDOW, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                stays = b" ".join([words[i] for i in np.nonzero(~gone)[0]])
-                n_words.append(len(words))
-                removed.append(int(gone.sum()))
-                digests.append(hashlib.sha256(stays).hexdigest())
+                n, lost, digest, stays = 0, 0, hashlib.sha256(), bytearray()
+                ends = [a + k - 1 + WINDOW for a, k in zip(starts, sizes)]
+                for part in slices(content):
+                    words = part.split()
+                    gone = np.zeros(len(words), bool)
+                    for a, b in zip(starts, ends):
+                        gone[max(0, a - n) : max(0, b - n)] = True
+                    some = b" ".join([words[i] for i in np.nonzero(~gone)[0]])
+                    stays += (b" " if stays and some else b"") + some
+                    n += len(words)
+                    lost += int(gone.sum())
+                digest.update(stays)
+                n_words.append(n)
+                removed.append(lost)
+                digests.append(digest.hexdigest())
                 kept.append(stays.decode())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -287,10 +372,6 @@ def remove_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text")
     return untouched.unionByName(cut)
 
 
-def _marked_small(bare: DataFrame) -> DataFrame:
-    return F.broadcast(bare) if bare.count() * 64 <= BROADCAST_BYTES else bare
-
-
 def digest(found: DataFrame) -> DataFrame:
     """Without the texts."""
     return found.drop("kept")

@@ -4,78 +4,135 @@ Every window of ``window`` consecutive words of a test item is a pattern; an ite
 with fewer words is one pattern.  Patterns of one length share a searcher.  It looks
 at blocks of two words: the shift table says how far the search may jump when a block
 ends no pattern, and a block that is no part of any pattern allows the longest jump.
-Where the shift is zero, the hash of the suffix block selects a bucket of patterns,
-and comparing the words directly confirms or rejects each.
+Where the shift is zero, the hashes of the suffix block and of the prefix block select a bucket
+of patterns, and comparing the words directly confirms or rejects each.
 
-Patterns are sent to the tasks in sets of items of bounded size; if the items exceed
-one set, the texts are searched set by set in further jobs and the hits are combined,
-so nothing unbounded is collected or broadcast.
+Shift tables are indexed by hashes and patterns are places in the items' words, so a task holds
+some eight bytes for each byte of item text.  Items go out in sets of bounded size; if they exceed
+one set, the texts are searched for one set after the other, the driver holds one at a time, and the
+hits are combined.
 
 Edge cases: null texts and items have no words; items without words have no
 patterns; repeated items count once for each item id, items with a null id take part in
-hits but have no id to report; repeated documents each get their row.
+hits but have no id to report; repeated documents each get their row; very long texts are
+searched whole; empty tables give no rows or no hits; columns other than id and text are ignored,
+whatever they are called, and kept by :func:`drop_contaminated`.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.loop import checkpoint
-
-from .text import BROADCAST_BYTES, as_bytes, pieces, plain_words, schema_of
+from .text import BROADCAST_BYTES, as_bytes, pieces, plain_words, schema_of, small
 
 #: Consecutive words that count as leaked.
 WINDOW = 10
 
-#: Bytes of item text whose patterns are sent to the tasks at a time; patterns take several times that.
-SET_BYTES = BROADCAST_BYTES // 16
+#: Bytes of item text whose patterns are sent to the tasks at a time.
+SET_BYTES = BROADCAST_BYTES
+
+#: Slots of a shift table at least, and for each word of the items.
+SLOTS, SLOTS_A_WORD = 1 << 16, 4
+
+_hash = xxhash.xxh3_64_intdigest
+
+
+@dataclass(frozen=True)
+class Patterns:
+    """Patterns of one length: the shift table, and their places in the item words by bucket."""
+
+    length: int
+    shift: bytes
+    buckets: np.ndarray
+    places: np.ndarray
+    owners: np.ndarray
+
+
+@dataclass(frozen=True)
+class Items:
+    """Item ids, the words of all items, and their patterns."""
+
+    ids: list
+    words: bytes
+    patterns: list[Patterns]
+
+
+def item_set(items: list[tuple[int, str]], window: int = WINDOW) -> Items:
+    """The tables of some items."""
+    words: list[bytes] = []
+    places: dict[int, list[int]] = defaultdict(list)
+    owners: dict[int, list[int]] = defaultdict(list)
+    for number, (_, text) in enumerate(items):
+        own = plain_words((text or "").encode())
+        if own:
+            length = min(window, len(own))
+            places[length] += range(len(words), len(words) + len(own) - length + 1)
+            owners[length] += [number] * (len(own) - length + 1)
+            words += own
+    tables = [_patterns(length, words, np.array(places[length]), np.array(owners[length])) for length in sorted(places)]
+    return Items([item for item, _ in items], b" ".join(words), tables)
+
+
+def _patterns(length: int, words: list[bytes], places: np.ndarray, owners: np.ndarray) -> Patterns:
+    block = min(2, length)
+    hashes = np.fromiter((_hash(b" ".join(words[i : i + block])) for i in range(len(words) - block + 1)), np.uint64)
+    slots = 1 << max(SLOTS, SLOTS_A_WORD * len(words)).bit_length()
+    shift = np.full(slots, length - block + 1, np.uint8)
+    for jump in range(length - block, -1, -1):  # shorter jumps overwrite longer ones
+        shift[hashes[places + length - block - jump] & np.uint64(slots - 1)] = jump
+    buckets = _bucket(hashes[places + length - block], hashes[places])
+    order = np.argsort(buckets, kind="stable")
+    return Patterns(length, shift.tobytes(), buckets[order], places[order], owners[order])
+
+
+def _bucket(suffix, prefix):
+    """One number for the hashes of a window's last and first block."""
+    return suffix ^ (prefix >> np.uint64(1))
 
 
 class WuManber:
-    """Patterns of one length in words, each with the items that hold it."""
-
-    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], set[int]]):
-        self.length, self.patterns = length, patterns
-        self.block = min(2, length)
-        self.longest = length - self.block + 1
-        self.shift: dict = {}
-        self.buckets: dict[tuple[bytes, ...], list[tuple[bytes, ...]]] = defaultdict(list)
-        for p in patterns:
-            for end in range(self.block, length + 1):
-                block, jump = p[end - self.block : end], length - end
-                self.shift[block] = min(jump, self.shift.get(block, self.longest))
-            self.buckets[p[-self.block :]].append(p)
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, set[int]]]:
-        """Start of each occurrence and the items that hold its pattern."""
-        length, block, longest, shift = self.length, self.block, self.longest, self.shift.get
-        at, n = length, len(words)  # the candidate's end
+    """Searches texts for the patterns of one length."""
+
+    def __init__(self, patterns: Patterns, words: list[bytes]):
+        self.patterns, self.words, self.block = patterns, words, min(2, patterns.length)
+
+    def find(self, text: list[bytes]) -> Iterator[tuple[int, int]]:
+        """Start of each occurrence and the number of an item that holds it there."""
+        length, block, shift = self.patterns.length, self.block, self.patterns.shift
+        last, n = len(shift) - 1, len(text)
+        at = length  # the candidate's end
         while at <= n:
-            suffix = tuple(words[at - block : at])
-            if jump := shift(suffix, longest):
+            suffix = _hash(b" ".join(text[at - block : at]))
+            if jump := shift[suffix & last]:
                 at += jump
                 continue
-            text = tuple(words[at - length : at])
-            for p in self.buckets[suffix]:
-                if p == text:
-                    yield at - length, self.patterns[p]
+            start = at - length
+            for k in self.bucket(suffix, _hash(b" ".join(text[start : start + block]))):
+                place = int(self.patterns.places[k])
+                if self.words[place : place + length] == text[start:at]:
+                    yield start, int(self.patterns.owners[k])
             at += 1
 
+    def bucket(self, suffix: int, prefix: int) -> range:
+        key, all_keys = _bucket(np.uint64(suffix), np.uint64(prefix)), self.patterns.buckets
+        return range(int(np.searchsorted(all_keys, key)), int(np.searchsorted(all_keys, key, side="right")))
+
 
-def searchers(items: list[tuple[int, str]], window: int = WINDOW) -> list[WuManber]:
+def searchers(items: Items) -> list[WuManber]:
     """One searcher for each length of pattern."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        words = plain_words((text or "").encode())
-        length = min(window, len(words))
-        for at in range(len(words) - length + 1) if length else ():
-            by_length[length][tuple(words[at : at + length])].add(item)
-    return [WuManber(length, dict(patterns)) for length, patterns in sorted(by_length.items())]
+    same: dict[bytes, bytes] = {}
+    words = [same.setdefault(w, w) for w in items.words.split()]
+    return [WuManber(p, words) for p in items.patterns]
 
 
 def _item_sets(items: DataFrame, item_id: str, text: str, set_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -97,26 +154,26 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(df: DataFrame, part: list[tuple[int, str]], id_col: str, text: str, window: int, all_rows: bool) -> DataFrame:
+def _search(df: DataFrame, shared, id_col: str, text: str, all_rows: bool) -> DataFrame:
     """``(id, text_hash, n_words, hits, items)``; ``hits`` is a flat list of starts and ends."""
-    shared = df.sparkSession.sparkContext.broadcast(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = searchers(shared.value, window)
+        ids, words, tables = shared.value
+        search = searchers(Items(ids, words, [Patterns(*t) for t in tables]))
         for piece in pieces(batches, text):
             rows, n_words, hits, items = [], [], [], []
             for row, content in enumerate(as_bytes(piece.column(text))):
                 words = plain_words(content)
                 spans, held = [], set()
                 for s in search:
-                    for at, found in s.find(words):
-                        spans.append((at, at + s.length))
-                        held |= found
+                    for at, item in s.find(words):
+                        spans.append((at, at + s.patterns.length))
+                        held.add(item)
                 if all_rows or spans:
                     rows.append(row)
                     n_words.append(len(words))
                     hits.append([x for span in _merged(spans) for x in span])
-                    items.append(sorted(str(i) for i in held if i is not None))
+                    items.append(sorted({str(ids[i]) for i in held if ids[i] is not None}))
             kept = piece.take(pa.array(rows, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -150,17 +207,18 @@ def find_items(
     sorted as strings.
     """
     parts = _item_sets(items, item_id, item_text, set_bytes)
-    found = _search(df, next(parts), id_col, text, window, True)
-    more = [_search(df, part, id_col, text, window, False) for part in parts]
+    share = lambda part: df.sparkSession.sparkContext.broadcast(astuple(item_set(part, window)))
+    found, more = _search(df, share(next(parts)), id_col, text, True), []
+    for part in parts:
+        shared = share(part)
+        more.append(checkpoint(_search(df, shared, id_col, text, False)))
+        shared.destroy()
     if not more:
         return found
-    rest = more[0]
-    for one in more[1:]:
-        rest = rest.unionByName(one)
     rest = checkpoint(
-        rest.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).agg(
-            F.flatten(F.collect_set("hits")).alias("__hits"), F.flatten(F.collect_set("items")).alias("__items")
-        )
+        reduce(DataFrame.unionByName, more)
+        .groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"))
+        .agg(F.flatten(F.collect_set("hits")).alias("__hits"), F.flatten(F.collect_set("items")).alias("__items"))
     )
     both = found.join(rest, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
     return both.select(
@@ -210,4 +268,4 @@ def drop_contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     found = find_items(df, items, id_col, text, **options).where(F.size("hits") > 0)
     bad = checkpoint(found.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     matches = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    return df.join(bad, matches, "left_anti")
+    return df.join(small(bad), matches, "left_anti")

@@ -8,18 +8,22 @@ before it with the word after it.  Tokens of punctuation are passed on the way t
 word before; if no word stands before, the two words after it are the pattern.  Patterns
 and instances (normalised tokens) form a bipartite graph that Spark scores in rounds:
 
-* a pattern's confidence for a kind is the smoothed share of its distinct instances
-  that belong to the kind, each counted by its score;
+* a pattern's confidence for a kind weighs its distinct instances that belong to the kind, each by its
+  score, against its seeds of other kinds; an instance of which nothing is known counts against it
+  only by ``unknown``, as it may well be what is looked for;
 * an instance's score is the noisy-or of its confident patterns; seeds keep 1.
 
 Patterns that at least ``min_seeds`` distinct instances support, seeds or high-scored
-ones, and that reach ``min_confidence`` label the other identifiers standing in them.
+ones, and that reach ``min_confidence`` label the other identifiers standing in them.  So each
+generation of instances can make new patterns confident, and these find the next.  An instance that
+is found, if it has ``telling`` digits or more or an ``@``, is labelled wherever it stands.
 Scores only rise from round to round; the loop ends when they stand still.  Texts are
 read once; the graph holds only identifier-like tokens, and all scoring is joins and sums.
 
 Edge cases: a null text counts as empty; very long texts are handled line by line;
 repeated rows yield equal rows; rows with equal id but different text stay apart by a
-hash of the text; an empty table gives an empty result.
+hash of the text; an empty table gives an empty result; other columns are ignored, whatever they are
+called, and kept by :func:`redact`.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.loop import RoundLimitReached, checkpoint, checkpoint_counted
-from .text import pieces, schema_of
+from .text import BROADCAST_BYTES, pieces, schema_of
 
 #: The kinds, in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -201,10 +205,16 @@ def mentions(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     return df.select(id_col, text, F.xxhash64(text).alias("__hash")).mapInArrow(run, schema)
 
 
-def confident_patterns(
-    found: DataFrame, rounds: int = 50, min_seeds: int = 3, min_confidence: float = 0.8, smoothing: float = 0.5
-) -> DataFrame:
-    """``(pattern, kind, confidence)`` of the patterns that may label unseen identifiers."""
+def bootstrap(
+    found: DataFrame,
+    rounds: int = 50,
+    min_seeds: int = 3,
+    min_confidence: float = 0.8,
+    smoothing: float = 0.5,
+    unknown: float = 0.1,
+) -> tuple[DataFrame, DataFrame]:
+    """``(pattern, kind, confidence)`` of the patterns that may label unseen identifiers, and
+    ``(instance, kind, score)`` of the instances that they speak for."""
     links = checkpoint(
         found.select(F.explode("mentions").alias("m"))
         .select(F.explode("m.patterns").alias("pattern"), F.xxhash64("m.instance").alias("instance"), "m.kind")
@@ -212,34 +222,38 @@ def confident_patterns(
         .agg(F.max("kind").alias("seed"))
     )
     # Patterns with too few instances can never label and drop out of the graph here.
-    totals = checkpoint(links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds))
-    graph = checkpoint(links.join(totals.select("pattern"), "pattern"))
+    sizes = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seed") >= 0).alias("seeds"))
+    sizes = checkpoint(sizes.where(F.col("n") >= min_seeds))
+    graph = checkpoint(links.join(sizes.select("pattern"), "pattern"))
     seeds = checkpoint(links.where("seed >= 0").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct())
-    known, last = seeds, None
+    of_kind = checkpoint(graph.where("seed >= 0").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("own")))
+    known, votes, last = seeds, seeds.where("false"), None
     for _ in range(rounds):
+        others = F.col("seeds") - F.coalesce("own", F.lit(0))
+        against = others + unknown * F.greatest(F.col("n") - F.col("hits") - others, F.lit(0.0)) + smoothing
         confidence = (
             graph.join(known, "instance")
             .groupBy("pattern", "kind")
             .agg(F.sum("score").alias("hits"), F.count_if(F.col("score") >= min_confidence).alias("support"))
             .where(F.col("support") >= min_seeds)
-            .join(totals, "pattern")
-            .select("pattern", "kind", (F.col("hits") / (F.col("n") + smoothing)).alias("confidence"))
+            .join(sizes, "pattern")
+            .join(of_kind, ["pattern", "kind"], "left")
+            .select("pattern", "kind", (F.col("hits") / (F.col("hits") + against)).alias("confidence"))
             .where(F.col("confidence") >= min_confidence)
         )
         confidence, seen = checkpoint_counted(confidence, n=F.count(F.lit(1)), total=F.coalesce(F.sum("confidence"), F.lit(0.0)))
-        if last and seen["n"] == last["n"] and seen["total"] - last["total"] < 1e-6:
-            return confidence
-        if not seen["n"]:
-            return confidence
+        still = last and seen["n"] == last["n"] and seen["total"] - last["total"] < 1e-6
+        if still or not seen["n"]:
+            return confidence, votes.where(F.col("score") >= min_confidence)
         last = seen
         unsure = F.greatest(F.lit(1.0) - F.col("confidence"), F.lit(1e-9))
-        votes = (
+        votes = checkpoint(
             graph.where("seed < 0")
             .join(confidence, "pattern")
             .groupBy("instance", "kind")
             .agg((1 - F.exp(F.sum(F.log(unsure)))).alias("score"))
         )
-        known = checkpoint(seeds.unionByName(votes).groupBy("instance", "kind").agg(F.max("score").alias("score")))
+        known = seeds.unionByName(votes).groupBy("instance", "kind").agg(F.max("score").alias("score"))
     raise RoundLimitReached(f"pattern scores still rise after {rounds} rounds")
 
 
@@ -257,17 +271,21 @@ def extract(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options
     ).select(id_col, "text_hash", "base", F.coalesce("added", F.array().cast(_SPANS)).alias("added"))
 
 
-def _added(found: DataFrame, id_col: str, **options) -> DataFrame:
-    """``(__id, __hash, added)`` for the texts to which patterns add spans."""
-    patterns = confident_patterns(found, **options)
+def _added(found: DataFrame, id_col: str, telling: int = 7, **options) -> DataFrame:
+    """``(__id, __hash, added)`` for the texts to which patterns and found instances add spans."""
+    patterns, instances = bootstrap(found, **options)
+    mark = ["__id", "__hash", "start", "stop"]
     marks = (
         found.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), F.explode("mentions").alias("m"))
         .where("m.kind < 0")
-        .select("__id", "__hash", F.col("m.start").alias("start"), F.col("m.stop").alias("stop"), F.explode("m.patterns").alias("pattern"))
+        .select("__id", "__hash", "m.*")
     )
+    placed = marks.select(*mark, F.explode("patterns").alias("pattern")).join(patterns, "pattern")
+    specific = F.col("instance").contains("@") | (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= telling)
+    named = marks.where(specific).select(*mark, F.xxhash64("instance").alias("instance")).join(instances, "instance")
+    labelled = placed.select(*mark, "kind", "confidence").union(named.select(*mark, "kind", "score"))
     best = (
-        marks.join(patterns, "pattern")
-        .groupBy("__id", "__hash", "start", "stop")
+        labelled.groupBy(*mark)
         .agg(F.max(F.struct("confidence", -F.col("kind"))).alias("best"))
         .select("__id", "__hash", F.struct((-F.col("best.col2")).cast("int").alias("kind"), "start", "stop").alias("span"))
     )
@@ -305,6 +323,9 @@ def redact(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options)
     added = _added(found, id_col, **options)
     keys = F.col(id_col).eqNullSafe(F.col("__id")) & F.xxhash64(text).eqNullSafe(F.col("__hash"))
     names = df.columns
+    held = added.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("added")), F.lit(0))).first()
+    if held[0] * 64 + held[1] * 24 <= BROADCAST_BYTES:
+        added = F.broadcast(added)
     joined = df.join(added, keys, "left").select(*names, F.col("added").alias("__added"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

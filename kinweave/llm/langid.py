@@ -43,7 +43,7 @@ LONGEST = 4
 UNDETERMINED = "und"
 
 #: A score below this tells no language; four languages that a text says nothing about get 0.25 each.
-MIN_SCORE = 0.4
+MIN_SCORE = 0.35
 
 #: Runs of letters; the few numeric characters that \w also holds do no harm.
 _WORDS = re.compile(r"[^\W\d_]+").findall

@@ -219,10 +219,13 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", keep: list[s
     return df.select(*keep, *[ids] * (ids not in keep)).mapInArrow(run, schema)
 
 
-def encode_packed(df: DataFrame, vocabulary: Vocabulary, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``(id, packed, decoded)`` in one pass: ids as little-endian unsigned 32-bit
-    integers, the layout of token files, and the bytes that those ids decode to."""
+def encode_packed(
+    df: DataFrame, vocabulary: Vocabulary, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None
+) -> DataFrame:
+    """``(id, packed, decoded)`` in one pass, or ``keep`` columns in place of the id: ids as little-endian
+    unsigned 32-bit integers, the layout of token files, and the bytes that those ids decode to."""
     shared = df.sparkSession.sparkContext.broadcast(astuple(vocabulary))
+    keep = [id_col] if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(Vocabulary(*shared.value))
@@ -231,12 +234,12 @@ def encode_packed(df: DataFrame, vocabulary: Vocabulary, text: str = "text", id_
             packed = [encoder.encode(t or "") for t in piece.column(text).to_pylist()]
             decoded = [b"".join(map(token, np.frombuffer(p, "<u4").tolist())) for p in packed]
             yield pa.RecordBatch.from_arrays(
-                [piece.column(id_col), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())],
-                names=[id_col, "packed", "decoded"],
+                [*(piece.column(c) for c in keep), pa.array(packed, pa.binary()), pa.array(decoded, pa.binary())],
+                names=[*keep, "packed", "decoded"],
             )
 
-    schema = schema_of(df, [id_col], "packed binary, decoded binary")
-    return df.select(id_col, text).mapInArrow(run, schema)
+    schema = schema_of(df, keep, "packed binary, decoded binary")
+    return df.select(*keep, *[text] * (text not in keep)).mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -326,7 +326,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options)
     held = added.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("added")), F.lit(0))).first()
     if held[0] * 64 + held[1] * 24 <= BROADCAST_BYTES:
         added = F.broadcast(added)
-    joined = df.join(added, keys, "left").select(*names, F.col("added").alias("__added"))
+    joined = df.join(added.withColumnRenamed("added", "__added"), keys, "left").select(*names, "__added")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text):

@@ -85,8 +85,8 @@ def test_license_base(table):
 
 
 def test_license_templates(spark):
-    full = "/* " + licenses.TEMPLATES["bsd"][0].replace(",", " *\n * ") + " */ code"
-    near = licenses.TEMPLATES["bsd"][0].replace("redistribution", "distribution").replace("source", "sauce")
+    full = "/* " + licenses.TEMPLATES["bsd-opening"][0].replace(",", " *\n * ") + " */ code"
+    near = licenses.TEMPLATES["bsd-opening"][0].replace("Redistribution", "distribution").replace("source", "sauce")
     rows = [(1, "some words then " + full), (2, near), (3, "licensed under the GNU General Public License, version 3."), (4, "redistribution of forms")]
     rows += [(10 + i, "plain prose about the weather and the sea") for i in range(20)]
     labels = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(frame(spark, rows))).collect()}
@@ -97,12 +97,13 @@ def test_license_templates_together(spark):
     """No licence takes the place of another in a file that holds several."""
     texts = {name: text for name, (text, _) in licenses.TEMPLATES.items()}
     rows = [(1, "\n".join(texts.values())), (2, " ".join(texts[k] for k in ("mit", "apache-2", "gpl-3-notice")))]
-    rows += [(k + 10, "plain words of another kind") for k in range(20)]
+    rows += [(100 + k, f"before it {text} and after it") for k, text in enumerate(texts.values())]
+    rows += [(k + 1000, "plain words of another kind") for k in range(50)]
     found = {r.doc_id: r.matches for r in licenses.scan(frame(spark, rows)).collect()}
     whole = lambda d: {m.label for m in found[d] if m.score == 1.0}
-    assert whole(1) == set(texts) - {"gpl-3-notice"}
-    assert whole(2) == {"mit", "apache-2", "gpl-3"}
-    assert sum(m.score == 1.0 for m in found[1]) == len(texts)
+    labels = {licenses._LABELS.get(k, k) for k in texts}
+    assert whole(1) == labels and whole(2) == {"mit", "apache-2", "gpl-3"}
+    assert all(whole(100 + k) == {licenses._LABELS.get(name, name)} for k, name in enumerate(texts))
 
 
 def test_pii_base(table):
@@ -218,19 +219,6 @@ def test_chat(spark):
     same(chat.read_back(chat.format_conversations(df.limit(0))), [])
 
 
-@pytest.mark.parametrize("n", [1, 31, 32, 33, 70])
-def test_chat_detects_rewriting(n):
-    messages = [(["user", "assistant"][i % 2], f"text {i}") for i in range(n)]
-
-    def drops_old_answers(messages):
-        return "".join(f"[{r}]{t if r == 'user' or i + 1 == len(messages) else '-'};" for i, (r, t) in enumerate(messages))
-
-    whole, spans, rewrites = chat.turn_spans(messages, chat.chatml)
-    assert not rewrites and [whole[a:b] for _, _, a, b in spans] == [t for _, t in messages]
-    assert [a for a, *_ in spans[1:]] == [b for _, b, *_ in spans[:-1]] and spans[-1][1] == len(whole)
-    assert chat.turn_spans(messages, drops_old_answers)[2] == (n > 2)
-
-
 def test_escape_round_trip():
     draw = random.Random(4)
     for _ in range(5000):
@@ -312,8 +300,7 @@ def test_language_held_out_accuracy(spark):
     model = langid.fit(df.where(~queries.held_out()))
     right = langid.predict(held, model).join(held, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]
     assert right > 0.98
-    small = langid.fit(df.where(~queries.held_out()), max_rows=60, max_words=2000, max_grams=2000)
-    assert len(small.words) <= 2000
+    small = langid.fit(df.where(~queries.held_out()), max_rows=15)
     right = langid.predict(held, small).join(held, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("int"))).first()[0]
     assert right > 0.9
 

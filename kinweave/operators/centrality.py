@@ -123,7 +123,6 @@ def distance_sums(edges: DataFrame, members: DataFrame, key: Sequence[str], max_
     the last two levels.
     """
     key = list(key)
-    edges = checkpoint(edges.select(*key, "src", "dst").repartition(*key, "src"))
     start = checkpoint(members.select(*key, F.col("id").alias("source"), F.col("id").alias("v")).distinct())
     none = F.lit(0).cast("long")
     parts = [start.select(*key, F.col("source").alias("id"), none.alias("r"), none.alias("s"))]
@@ -186,7 +185,17 @@ def prune_by_bound(bounded: DataFrame, kth: DataFrame, key: Sequence[str]) -> Da
 
 
 def suffix_max(sizes: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``sizes`` with the largest L1, L2 and L3 from each candidate to the last of its group."""
+    """``sizes`` with the largest L1, L2 and L3 from each candidate to the last of its group.
+
+    Candidates are dealt into ranges of their order, so that a large group lies in many tasks; each range adds
+    the maxima of those after it.
+    """
+    key = list(key)
     order = [F.desc("reach3"), F.desc("L1"), F.desc("L2"), F.desc("L3"), F.asc("id")]
-    after = W.partitionBy(*key).orderBy(*order).rowsBetween(W.currentRow, W.unboundedFollowing)
-    return sizes.select("*", *[F.max(f"L{d}").over(after).alias(f"max_L{d}") for d in (1, 2, 3)])
+    ranged = checkpoint(sizes.repartitionByRange(*key, *order).withColumn("__range", F.spark_partition_id()))
+    after = W.partitionBy(*key, "__range").orderBy(*order).rowsBetween(W.currentRow, W.unboundedFollowing)
+    later = W.partitionBy(*key).orderBy("__range").rowsBetween(1, W.unboundedFollowing)
+    tops = ranged.groupBy(*key, "__range").agg(*[F.max(f"L{d}").alias(f"__top{d}") for d in (1, 2, 3)])
+    tops = tops.select(*key, "__range", *[F.max(f"__top{d}").over(later).alias(f"__later{d}") for d in (1, 2, 3)])
+    own = ranged.withColumns({f"max_L{d}": F.max(f"L{d}").over(after) for d in (1, 2, 3)}).join(tops, [*key, "__range"])
+    return own.select(*sizes.columns, *[F.greatest(f"max_L{d}", f"__later{d}").alias(f"max_L{d}") for d in (1, 2, 3)])

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .loop import RoundLimitReached, checkpoint_counted, fingerprint
+from .loop import RoundLimitReached, checkpoint, checkpoint_counted, fingerprint
+
+#: Edges of a graph that is solved inside one task.
+SMALL_EDGES = 200_000
 
 
 def connected_components(
@@ -18,11 +24,12 @@ def connected_components(
     dst: str = "dst",
     vertex: str = "id",
     max_rounds: int = 50,
+    small: int = SMALL_EDGES,
 ) -> DataFrame:
     """``(*key, id, comp)`` with ``comp`` the smallest id reachable from ``id``.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014), which need
-    O(log^2 n) rounds on any graph and only ``min`` aggregations that combine on
+    Graphs of up to ``small`` edges, of which a keyed run usually has many, are solved whole inside
+    tasks (ids must be whole numbers), several at a time.  For larger ones the loop alternates large-star and small-star steps (Kiveris et al., 2014), which need O(log^2 n) rounds on any graph and only ``min`` aggregations that combine on
     the map side, so a hub or a chain is no special case.  Edges are taken as
     undirected; self loops and rows with a null end are ignored.  A vertex without
     edges is its own component.  Raises :class:`RoundLimitReached` if
@@ -37,6 +44,11 @@ def connected_components(
     )
     sign = {"n": F.count(F.lit(1)), "s": fingerprint(*key, "u", "v")}
     pairs, before = checkpoint_counted(pairs, **sign)
+    solved = None
+    if before["n"] and pairs.schema["u"].dataType.typeName() == "long":
+        little, pairs = _by_size(pairs, key, before["n"], small)
+        solved = _solved_in_tasks(little, key)
+        pairs, before = checkpoint_counted(pairs, **sign)
     for _ in range(max_rounds):
         if not before["n"]:
             break
@@ -46,6 +58,7 @@ def connected_components(
         before = now
     else:
         raise RoundLimitReached(f"components did not converge in {max_rounds} rounds")
+    pairs = pairs if solved is None else pairs.union(solved)
     roots = pairs.select(*key, u.alias(vertex), v.alias("__root"))
     return (
         vertices.select(*key, vertex)
@@ -55,6 +68,69 @@ def connected_components(
     )
 
 
+def _by_size(pairs: DataFrame, key: list[str], n: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """The edges of graphs with up to ``small`` edges, and those of the others."""
+    if not key:
+        none = pairs.where("false")
+        return (pairs, none) if n <= small else (none, pairs)
+    sizes = checkpoint(pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    of = lambda some: pairs.join(sizes.where(some).select(*key), key, "left_semi")
+    return of(F.col("n") <= small), of(F.col("n") > small)
+
+
+def _solved_in_tasks(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """``(*key, u, v)`` with ``v`` the smallest id that ``u`` is connected to; each keyed graph lies in one task."""
+    group = F.xxhash64(F.lit(0), *key)
+    dealt = pairs.select(group.alias("__group"), *key, "u", "v").repartition("__group").sortWithinPartitions("__group", *key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+            numbers = held.column("__group").to_numpy()
+            ends = np.nonzero(numbers[1:] != numbers[:-1])[0]
+            if len(ends):  # the last graph may go on in the next batch
+                yield from solve(held.slice(0, int(ends[-1]) + 1))
+                held = held.slice(int(ends[-1]) + 1)
+        if held is not None:
+            yield from solve(held)
+
+    def solve(edges: pa.Table) -> Iterator[pa.RecordBatch]:
+        # a vertex is a pair of its graph's number and its id; pairs sort by graph, then id
+        edges = edges.combine_chunks()
+        fields = [edges.column(c) for c in ("__group", *key)]
+        changed = np.zeros(len(edges), bool)
+        for column in fields:
+            codes = column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            changed[1:] |= codes[1:] != codes[:-1]
+        graph = np.cumsum(changed)
+        ids, at = np.unique(np.concatenate([edges.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+        vertices, number = np.unique(np.concatenate([graph, graph]) * len(ids) + at, return_inverse=True)
+        label = _smallest_reachable(number[: len(edges)], number[len(edges) :], len(vertices))
+        linked = np.nonzero(label != np.arange(len(vertices)))[0]
+        first = np.searchsorted(graph, vertices[linked] // len(ids))
+        picked = edges.select(key).take(pa.array(first)) if key else None
+        columns = [*(picked.columns if key else []), pa.array(ids[vertices[linked] % len(ids)]), pa.array(ids[vertices[label[linked]] % len(ids)])]
+        yield from pa.table(columns, names=[*key, "u", "v"]).to_batches()
+
+    return dealt.mapInArrow(run, pairs.select(*key, "u", "v").schema)
+
+
+def _smallest_reachable(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest vertex that each of the vertices from 0 to n - 1 is connected to."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        live = a != b
+        if not live.any():
+            return label
+        u, v, a, b = u[live], v[live], a[live], b[live]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(shorter := label[label], label):
+            label = shorter
+
+
 def _large_star(pairs: DataFrame, key: list[str]) -> DataFrame:
     """Link every larger neighbour of a vertex to the vertex's smallest neighbour."""
     both = pairs.select(*key, "u", "v").union(pairs.select(*key, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -93,9 +169,10 @@ def largest_component(comp: DataFrame, key: Sequence[str]) -> DataFrame:
 def component_numbers(comp: DataFrame) -> DataFrame:
     """``(comp, number)``: components numbered from 0 by their smallest member (K4).
 
-    Only one row for each component is ranked, in one ordered pass.
+    Labels are dealt into ranges; each is numbered by itself, after those of the ranges before it.
     """
-    from pyspark.sql import Window as W
-
-    labels = comp.select("comp").distinct()
-    return labels.select("comp", (F.row_number().over(W.orderBy("comp")) - 1).cast("long").alias("number"))
+    ranged = checkpoint(comp.select("comp").distinct().repartitionByRange("comp").withColumn("range", F.spark_partition_id()))
+    before = F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))  # one row for each range
+    offsets = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("offset"))
+    place = F.row_number().over(W.partitionBy("range").orderBy("comp")) - 1
+    return ranged.withColumn("place", place).join(offsets, "range").select("comp", (F.col("place") + F.col("offset")).cast("long").alias("number"))

@@ -29,9 +29,11 @@ def levels(
     """Yield ``(depth, level)`` from depth 1 on; ``level`` holds ``(*state, v)``, never empty.
 
     ``start`` is level 0 and ``state`` its columns beside ``v``; ``join_on`` are those that the
-    edges have too.  ``allowed(depth)`` filters the rows that a step reaches.
+    edges have too.  ``allowed(depth)`` filters the rows that a step reaches.  Edges are written once, dealt
+    by their start, so no level derives or shuffles them again.
     """
     state, join_on = list(state), list(join_on)
+    edges = checkpoint(edges.select(*join_on, "src", "dst").repartition(*join_on, "src"))
     cut = [*state, "v"]
     here, before = start.select(*cut), None
     for depth in range(1, (hops or max_rounds) + 1):
@@ -120,24 +122,29 @@ def within_hops(edges: DataFrame, pairs: DataFrame, h: int) -> DataFrame:
     return pairs.select("qid").join(hit, "qid", "left").select("qid", F.coalesce("within", F.lit(False)).alias("within"))
 
 
-def similar_pairs(edges: DataFrame, members: DataFrame, tags: DataFrame) -> DataFrame:
-    """``(qid, a, b, common)``: pairs of members at most the query's ``h`` hops apart.
+def near_pairs(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``(qid, a, b)``: pairs of members, ``a < b``, at most the query's ``h`` hops apart in the whole graph.
 
-    ``members`` is ``(qid, h, id)``.  Hops are counted in the whole graph; pairs without a
-    common tag are kept.  Hops come first: scoring all pairs of a place would be quadratic.
+    ``members`` is ``(qid, h, id)``.
     """
     members = checkpoint(members.select("qid", "h", "id").distinct())
     start = members.select("qid", "h", F.col("id").alias("source"), F.col("id").alias("v"))
     deepest = members.agg(F.max("h")).first()[0] or 0
     inside = members.select("qid", F.col("id").alias("b"))
-    found = []
+    found = [members.select("qid", F.col("id").alias("a"), F.col("id").alias("b")).where("false")]
     if deepest > 0:
         for _, level in levels(edges, start, ["qid", "h", "source"], hops=deepest, allowed=lambda d: F.col("h") >= d):
             near = level.select("qid", F.col("source").alias("a"), F.col("v").alias("b"))
-            found.append(near.where("a < b").join(inside, ["qid", "b"], "left_semi"))
-    if not found:
-        return members.select("qid", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).cast("long").alias("common")).where("false")
-    pairs = reduce(DataFrame.unionByName, found)
+            found.append(near.where("a < b").join(inside, ["qid", "b"], "left_semi").select("qid", "a", "b"))
+    return reduce(DataFrame.union, found)
+
+
+def similar_pairs(edges: DataFrame, members: DataFrame, tags: DataFrame) -> DataFrame:
+    """``(qid, a, b, common)``: pairs of members at most the query's ``h`` hops apart.
+
+    ``members`` is ``(qid, h, id)``.  Hops are counted in the whole graph; pairs without a
+    common tag are kept.  Hops come first: scoring all pairs of a place would be quadratic.
+    """
     of = lambda end: tags.select(F.col("person_id").alias(end), F.col("tags").alias(f"tags_{end}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    both = near_pairs(edges, members).join(of("a"), "a", "left").join(of("b"), "b", "left")
     return both.select("qid", "a", "b", common_tags("tags_a", "tags_b").alias("common"))

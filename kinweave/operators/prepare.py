@@ -115,18 +115,32 @@ def person_tags(interest: DataFrame, person: DataFrame) -> DataFrame:
     return everybody.select("person_id", tags.alias("tags"), F.size(tags).cast("long").alias("n_tags"))
 
 
-def tag_audience(interest: DataFrame, person: DataFrame, components: DataFrame) -> DataFrame:
-    """``(tag_id, comp, audience, n)``: interested people of a component, youngest first."""
+def audience_table(interest: DataFrame, person: DataFrame, components: DataFrame) -> DataFrame:
+    """``(tag_id, comp, birthday, person_id)``: interested people of each component, a row each."""
     people = person.select(F.col("id").alias("person_id"), "birthday")
     where = components.select(F.col("id").alias("person_id"), "comp")
     joined = interest.distinct().join(people, "person_id").join(where, "person_id")
+    return joined.select("tag_id", "comp", "birthday", "person_id")
+
+
+def tag_audience(interest: DataFrame, person: DataFrame, components: DataFrame) -> DataFrame:
+    """``(tag_id, comp, audience, n)``: interested people of a component in one list, youngest first.
+
+    For tags whose audience is too large for a row there is :func:`audience_table`.
+    """
     # youngest first, equal birthdays by id
     order = F.struct(F.datediff(F.lit("1970-01-01").cast("date"), "birthday").alias("age"), "person_id", "birthday")
+    joined = audience_table(interest, person, components)
     grouped = joined.groupBy("tag_id", "comp").agg(F.sort_array(F.collect_list(order)).alias("a"), F.count(F.lit(1)).alias("n"))
     members = F.transform("a", lambda m: F.struct(m["birthday"].alias("birthday"), m["person_id"].alias("person_id")))
     return grouped.select("tag_id", "comp", members.alias("audience"), "n")
 
 
+def audience_born_since(audience: DataFrame, d) -> DataFrame:
+    """``(tag_id, comp, n)``: how many of each audience were born on or after ``d``."""
+    return audience.groupBy("tag_id", "comp").agg(F.count_if(F.col("birthday") >= d).alias("n"))
+
+
 def forums_for_tags(forum_tag: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(tag_id, forum_id)`` of the forums that carry a wanted ``tag_id`` (C14)."""
     return forum_tag.join(wanted.select("tag_id").distinct(), "tag_id", "left_semi").select("tag_id", "forum_id").distinct()

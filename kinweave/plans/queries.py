@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import prepare
 from ..operators.centrality import SMALL, centrality, distance_sums, geodesics, level_sizes, prune_by_bound, with_bound
 from ..operators.components import connected_components, largest_component
-from ..operators.loop import checkpoint
-from ..operators.paths import hop_distance, similar_pairs
-from ..operators.topk import top_k, top_k_by_part
+from ..operators.loop import checkpoint, checkpoint_counted
+from ..functions.scalars import common_tags
+from ..operators.paths import hop_distance, near_pairs, similar_pairs
+from ..operators.topk import largest, pairs_worth_scoring, top_k, top_k_by_part
 from ..sources.io import format_answers, read_queries
 from ..sources.schema import Network
 
@@ -21,27 +23,69 @@ def shortest_paths(net: Network, params: DataFrame) -> DataFrame:
     return hop_distance(prepare.edge_weights(net.knows, counts), params)
 
 
-def tag_ranges(net: Network, params: DataFrame) -> DataFrame:
-    """``(qid, tag_id, range)``: the largest connected young audience of every tag.
+def audiences(net: Network, params: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(tag_id, person_id, since)``, and ``(qid, tag_id, since, size)`` of every query and tag with an audience.
 
-    Tags nobody born on or after ``d`` is interested in do not appear.
+    ``since`` numbers the different dates of the parameter table from 1; a person with number n was
+    born on or after the first n dates, so people and queries meet by numbers and nobody is copied for each query.
     """
-    key = ["qid", "tag_id"]
+    dates = sorted(r.d for r in params.select("d").distinct().collect() if r.d is not None)
     born = net.person.select(F.col("id").alias("person_id"), "birthday")
-    interested = net.interest.select("person_id", "tag_id").distinct().join(born, "person_id")
-    # the parameter table drives the report: one row for each query
-    members = interested.join(params.select("qid", "d"), F.col("birthday") >= F.col("d"))
-    members = checkpoint(members.select(*key, F.col("person_id").alias("id")))
+    since = F.size(F.filter(F.lit(dates).cast("array<date>"), lambda d: d <= F.col("birthday")))
+    people = net.interest.select("person_id", "tag_id").distinct().join(born, "person_id").select("tag_id", "person_id", since.alias("since"))
+    people = checkpoint(people.where("since > 0"))
+    later = W.partitionBy("tag_id").orderBy(F.desc("since"))  # one row for each date
+    counted = people.groupBy("tag_id", "since").agg(F.count(F.lit(1)).alias("n"))
+    # born on or after the k-th date: those of the smallest number from k on, and all beyond
+    reached = counted.select("tag_id", "since", F.sum("n").over(later).alias("size"), F.coalesce(F.lead("since").over(later), F.lit(0)).alias("below"))
+    spread = reached.select("tag_id", F.explode(F.sequence(F.col("below") + 1, F.col("since"))).alias("since"), "size")
+    number = params.select("qid", F.size(F.filter(F.lit(dates).cast("array<date>"), lambda d: d <= F.col("d"))).alias("since"))
+    return people, number.where("since > 0").join(spread, "since").select("qid", "tag_id", "since", "size")
+
+
+def audience_members(people: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(qid, tag_id, id)`` for the wanted ``(qid, tag_id, since)``."""
+    asked = wanted.select("qid", "tag_id", F.col("since").alias("least"))
+    members = people.join(asked, "tag_id").where(F.col("since") >= F.col("least"))
+    return members.select("qid", "tag_id", F.col("person_id").alias("id"))
+
+
+def _ranges(net: Network, people: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(qid, tag_id, range)`` for the wanted ``(qid, tag_id, since)``."""
+    key = ["qid", "tag_id"]
+    members = checkpoint(audience_members(people, wanted))
     edges = prepare.induced_edges(net.knows, members, key)
     return largest_component(connected_components(edges, members, key), key)
 
 
+def tag_ranges(net: Network, params: DataFrame) -> DataFrame:
+    """``(qid, tag_id, range)``: the largest connected young audience of every tag.
+
+    Tags nobody born on or after ``d`` is interested in do not appear.
+    """
+    return _ranges(net, *audiences(net, params))
+
+
 def top_tags(net: Network, params: DataFrame) -> DataFrame:
-    """``(qid, rank, tag, range)`` for ``params`` ``(qid, k, d)``: range descending, name ascending (Q2)."""
+    """``(qid, rank, tag, range)`` for ``params`` ``(qid, k, d)``: range descending, name ascending (Q2).
+
+    No range exceeds its audience.  So each query's ``k`` largest audiences are searched first, and of
+    the other tags only those whose audience reaches the k-th range.
+    """
+    params, order = checkpoint(params), [F.desc("range"), F.asc("tag"), F.asc("tag_id")]
+    most, asked = largest(params), params.select("qid", "k")
+    people, sizes = audiences(net, params)
+    sizes = checkpoint(sizes.join(asked, "qid"))
+    head = checkpoint(top_k(sizes, ["qid"], [F.desc("size"), F.asc("tag_id")], "k", most))
+    found = checkpoint(_ranges(net, people, head))
+    kth = found.join(asked, "qid").withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("range"))))
+    kth = kth.where("n = k").select("qid", F.col("range").alias("floor"))
+    rest = sizes.join(head, ["qid", "tag_id"], "left_anti").join(kth, "qid").where("size >= floor")
+    rest, seen = checkpoint_counted(rest.select("qid", "tag_id", "since"), n=F.count(F.lit(1)))
+    if seen["n"]:
+        found = found.union(_ranges(net, people, rest))
     names = net.tag.select(F.col("id").alias("tag_id"), F.col("name").alias("tag"))
-    named = tag_ranges(net, params).join(names, "tag_id").join(params.select("qid", "k"), "qid")
-    ranked = top_k(named, ["qid"], [F.desc("range"), F.asc("tag"), F.asc("tag_id")], "k")
-    return ranked.select("qid", "rank", "tag", "range")
+    return top_k(found.join(names, "tag_id").join(asked, "qid"), ["qid"], order, "k", most).select("qid", "rank", "tag", "range")
 
 
 def place_members(net: Network, wanted: DataFrame) -> DataFrame:
@@ -54,12 +98,38 @@ def place_members(net: Network, wanted: DataFrame) -> DataFrame:
     return prepare.people_in_place(closure, at).join(roots, "root").select("place", "person_id")
 
 
+#: Pairs for each one wanted that are scored to set a floor for the others.
+HEAD = 4
+
+
 def similar_pairs_in_place(net: Network, params: DataFrame) -> DataFrame:
-    """``(qid, rank, a, b, common)`` for ``params`` ``(qid, k, h, place)`` (Q3)."""
+    """``(qid, rank, a, b, common)`` for ``params`` ``(qid, k, h, place)`` (Q3).
+
+    Two people have at most as many tags in common as either has.  So some pairs of each query for whom that is most
+    are scored first, and of the others only those who can reach the k-th score.
+    """
+    params = checkpoint(params)
+    most, asked = largest(params), params.select("qid", "k")
     members = place_members(net, params).join(params, "place").select("qid", "h", F.col("person_id").alias("id"))
-    pairs = similar_pairs(net.knows, members, prepare.person_tags(net.interest, net.person))
-    ranked = top_k(pairs.join(params.select("qid", "k"), "qid"), ["qid"], [F.desc("common"), F.asc("a"), F.asc("b")], "k")
-    return ranked.select("qid", "rank", "a", "b", "common")
+    tags = checkpoint(prepare.person_tags(net.interest, net.person))
+    n_tags = lambda end: tags.select(F.col("person_id").alias(end), F.col("n_tags").alias(f"n_tags_{end}"))
+    pairs = near_pairs(net.knows, members).join(n_tags("a"), "a").join(n_tags("b"), "b").join(asked, "qid")
+    pairs = checkpoint(pairs)
+    best = [F.desc("common"), F.asc("a"), F.asc("b")]
+    bound = [F.desc(F.least("n_tags_a", "n_tags_b")), F.asc("a"), F.asc("b")]
+    head = checkpoint(top_k(pairs.withColumn("head", F.col("k") * HEAD), ["qid"], bound, "head", most * HEAD).drop("rank", "head"))
+    scored = checkpoint(_scored(head, tags))
+    kth = top_k(scored, ["qid"], best, "k", most).where("rank = k").select("qid", F.col("common").alias("kth"))
+    rest = pairs.join(head.select("qid", "a", "b"), ["qid", "a", "b"], "left_anti").join(kth, "qid")
+    found = scored.union(_scored(pairs_worth_scoring(rest, "kth").drop("kth"), tags))
+    return top_k(found, ["qid"], best, "k", most).select("qid", "rank", "a", "b", "common")
+
+
+def _scored(pairs: DataFrame, tags: DataFrame) -> DataFrame:
+    """``(qid, k, a, b, common)`` of some pairs."""
+    of = lambda end: tags.select(F.col("person_id").alias(end), F.col("tags").alias(f"tags_{end}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.select("qid", "k", "a", "b", common_tags("tags_a", "tags_b").alias("common"))
 
 
 def tag_people(net: Network, wanted: DataFrame) -> DataFrame:
@@ -74,9 +144,8 @@ def central_people(net: Network, params: DataFrame, prune: bool = True) -> DataF
     """``(qid, rank, id, r, s, centrality)`` for ``params`` ``(qid, k, tag)`` (Q4).
 
     Each wanted tag is searched once, however many queries name it.  With ``prune``, members of
-    components too large for one task are searched in two steps: the ``k`` of a tag with
-    the best bounds first, and of the others only those whose bound reaches the k-th best
-    score; the result is the same.
+    components too large for one task are searched in waves, those with the best bounds first; after each, the k-th
+    best score so far drops all whose bound does not reach it; the result is the same.
     """
     key = ["tag"]
     members = checkpoint(tag_people(net, params))
@@ -91,22 +160,30 @@ def central_people(net: Network, params: DataFrame, prune: bool = True) -> DataF
         rest = comp.join(large, ["tag", "id"], "left_anti")
         found = centrality(geodesics(edges, rest, key, rest), rest, key).union(_pruned(edges, large, params, key))
     placed = found.join(comp, ["tag", "id"]).join(params, "tag")
-    ranked = top_k_by_part(placed, ["qid"], "comp", [F.desc("centrality"), F.asc("id")], "k")
+    ranked = top_k_by_part(placed, ["qid"], "comp", [F.desc("centrality"), F.asc("id")], "k", largest(params))
     return ranked.select("qid", "rank", "id", "r", "s", "centrality")
 
 
-def _pruned(edges: DataFrame, large: DataFrame, params: DataFrame, key: list[str]) -> DataFrame:
-    """Scores of the members of large components who can be among the best of their tag."""
-    most = params.groupBy(*key).agg(F.max("k").alias("most"))
-    bounded = with_bound(level_sizes(edges, large, key), large, key)
-    bounded = checkpoint(bounded.join(most, key))
+def _pruned(edges: DataFrame, large: DataFrame, params: DataFrame, key: list[str], growth: int = 4) -> DataFrame:
+    """Scores of the members of large components who can be among the best of their tag.
+
+    A wave takes of each tag the candidates with the best bounds, ``growth`` times as many as the one before, so there are
+    few waves and a wave is not much larger than what a search one by one would have tried.
+    """
+    wanted = checkpoint(params.groupBy(*key).agg(F.max("k").alias("most")))
+    left = checkpoint(with_bound(level_sizes(edges, large, key), large, key).where("r > 0"))
     promising = [F.desc(F.col("r") * F.col("r") / F.col("bound")), F.asc("id")]
-    head = checkpoint(top_k(bounded, key, promising, "most").select(*key, "id"))
-    scored = checkpoint(centrality(distance_sums(edges, head, key), head, key))
-    full = top_k(scored.join(most, key), key, [F.desc("centrality"), F.asc("id")], "most")
-    kth = full.where("rank = most").select(*key, F.col("centrality").alias("floor"))
-    rest = prune_by_bound(bounded.join(head, [*key, "id"], "left_anti"), kth, key)
-    return scored.union(centrality(distance_sums(edges, rest, key), rest, key))
+    size, most, found = largest(wanted, "most"), largest(wanted, "most"), None
+    while True:
+        wave, seen = checkpoint_counted(top_k(left, key, promising, size).select(*key, "id"), n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return found if found is not None else centrality(distance_sums(edges, wave, key), wave, key)
+        scored = centrality(distance_sums(edges, wave, key), wave, key)
+        found = checkpoint(scored if found is None else found.union(scored))
+        best = top_k(found.join(wanted, key), key, [F.desc("centrality"), F.asc("id")], "most", most)
+        kth = best.where("rank = most").select(*key, F.col("centrality").alias("floor"))
+        left = checkpoint(prune_by_bound(left.join(wave, [*key, "id"], "left_anti"), kth, key))
+        size *= growth
 
 
 def answer_batch(spark: SparkSession, net: Network, path: str) -> DataFrame:

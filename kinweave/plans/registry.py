@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,9 +151,8 @@ def _needed(sql: str) -> list[str]:
 _COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS name, COUNT(*) AS \"rows\" FROM {n}" for n in FILES)
 
 
-@query("a1_read_network", _COUNTS.join(["=> ", ""]))
-def _(spark, sf_dir, net):
-    """The derived network written as CSV files and read back."""
+def _through_files(spark: SparkSession, net: Network) -> Network:
+    """The network written as CSV files and read back."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/network-{uuid.uuid4().hex}"
     for name, (file, columns) in FILES.items():
@@ -160,7 +160,28 @@ def _(spark, sf_dir, net):
         at = {p: c for c, _, p in columns}
         row = [F.col(at[i]) if i in at else F.lit("-").alias(f"other{i}") for i in range(last + 1)]
         net.tables()[name].select(*row, F.lit("more").alias("further")).write.csv(f"{folder}/{file}", sep="|", header=True)
-    return io.profile(io.read_network(spark, folder))
+    return io.read_network(spark, folder)
+
+
+@query("a1_read_network", _COUNTS.join(["=> ", ""]))
+def _(spark, sf_dir, net):
+    return io.profile(_through_files(spark, net))
+
+
+_VALUES = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, {', '.join(f'CAST({c} AS VARCHAR) AS v{i}' for i, c in enumerate([c for c, _, _ in columns] + ['NULL'] * (3 - len(columns))))} FROM {name}"
+    for name, (_, columns) in FILES.items()
+)
+
+
+@query("a1_read_values", f"=> {_VALUES}")
+def _(spark, sf_dir, net):
+    """Every value of every relation after a round trip through files."""
+    parts = []
+    for name, table in _through_files(spark, net).tables().items():
+        values = [F.col(c).cast("string") for c, _, _ in FILES[name][1]] + [F.lit(None).cast("string")] * 3
+        parts.append(table.select(F.lit(name).alias("name"), *[v.alias(f"v{i}") for i, v in enumerate(values[:3])]))
+    return reduce(DataFrame.union, parts)
 
 
 @query("a4_profile", _COUNTS.join(["=> ", ""]))
@@ -217,6 +238,12 @@ def _audience(net: Network) -> DataFrame:
 
 
 @query("b7_audience_born_since", f"=> SELECT tag_id, comp, COUNT(*) FILTER (birthday >= DATE '1985-01-01') AS n FROM ({_AUDIENCE}) GROUP BY 1, 2")
+def _(spark, sf_dir, net):
+    comp = components.connected_components(net.knows, net.person)
+    return prepare.audience_born_since(prepare.audience_table(net.interest, net.person, comp), F.lit("1985-01-01").cast("date"))
+
+
+@query("b7_audience_list_born_since", f"=> SELECT tag_id, comp, COUNT(*) FILTER (birthday >= DATE '1985-01-01') AS n FROM ({_AUDIENCE}) GROUP BY 1, 2")
 def _(spark, sf_dir, net):
     since = scalars.born_since_in("audience", F.lit("1985-01-01").cast("date"))
     return _audience(net).select("tag_id", "comp", F.size(since).cast("long").alias("n"))
@@ -296,6 +323,11 @@ def _(spark, sf_dir, net):
     return prepare.person_tags(net.interest, net.person).withColumn("tags", F.array_join(F.col("tags").cast("array<string>"), ","))
 
 
+@query("c13_audience_table", f"=> SELECT tag_id, comp, birthday, id AS person_id FROM ({_AUDIENCE})")
+def _(spark, sf_dir, net):
+    return prepare.audience_table(net.interest, net.person, components.connected_components(net.knows, net.person))
+
+
 @query("c13_tag_audience", f"""=> SELECT tag_id, comp, string_agg(id, ',' ORDER BY birthday DESC, id) AS people, COUNT(*) AS n
     FROM ({_AUDIENCE}) GROUP BY 1, 2""")
 def _(spark, sf_dir, net):
@@ -379,10 +411,8 @@ def _(spark, sf_dir, net):
 
 
 def _young(spark, sf_dir, net) -> DataFrame:
-    born = net.person.select(F.col("id").alias("person_id"), "birthday")
-    when = params(spark, sf_dir, YOUNG).select("qid", "d")
-    members = net.interest.join(born, "person_id").join(when, F.col("birthday") >= F.col("d"))
-    return checkpoint(members.select("qid", "tag_id", F.col("person_id").alias("id")))
+    people, wanted = plans.audiences(net, params(spark, sf_dir, YOUNG))
+    return checkpoint(plans.audience_members(people, wanted))
 
 
 @query("g3_tag_components", "=> SELECT qid, tag_id, id, label AS comp FROM young_comp")
@@ -414,6 +444,22 @@ def _(spark, sf_dir, net):
     return cover.vertex_cover(edges, KEY, limit=0.25)
 
 
+@query("g6_vertex_cover_checks", """=> SELECT tag_id, COUNT(*) AS edges, COUNT(*) AS picked, CAST(0 AS BIGINT) AS uncovered
+    FROM fan_edges WHERE src < dst GROUP BY 1""")
+def _(spark, sf_dir, net):
+    """The pick degrees of a tag add up to its edges, as each edge goes with one pick, and no edge is uncovered."""
+    edges, _ = _fan_graph(net)
+    picks = checkpoint(cover.vertex_cover(edges, KEY))
+    once = edges.where("src < dst")
+    end = lambda name: picks.select(*KEY, F.col("id").alias(name))
+    bare = once.join(end("src"), [*KEY, "src"], "left_anti").join(end("dst"), [*KEY, "dst"], "left_anti")
+    counted = once.groupBy(*KEY).agg(F.count(F.lit(1)).alias("edges"))
+    picked = picks.groupBy(*KEY).agg(F.sum("pick_degree").alias("picked"))
+    missed = bare.groupBy(*KEY).agg(F.count(F.lit(1)).alias("uncovered"))
+    joined = counted.join(picked, KEY, "left").join(missed, KEY, "left")
+    return joined.select(*KEY, "edges", "picked", F.coalesce("uncovered", F.lit(0).cast("long")).alias("uncovered"))
+
+
 def _seeds(spark, sf_dir) -> DataFrame:
     return params(spark, sf_dir, PAIRS).select(F.col("p1").alias("source"))
 
@@ -513,6 +559,14 @@ def _(spark, sf_dir, net):
     return sketch.approx_neighbourhood(net.knows, 3)
 
 
+@query("g14_approx_within_error", f"{_MANY} => SELECT s AS id, COUNT(*) AS exact, true AS close FROM many GROUP BY 1")
+def _(spark, sf_dir, net):
+    """Sketches of 4,096 registers are off by 1.6 % as a rule; five times that and one person are allowed here."""
+    exact = paths.h_hop_counts(net.knows, _many(net), 3).select(F.col("source").alias("id"), (F.col("n") + 1).alias("exact"))
+    found = exact.join(sketch.approx_neighbourhood(net.knows, 3), "id", "left").withColumn("estimate", F.coalesce("estimate", F.lit(1)))
+    return found.select("id", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 1 + 0.08 * F.col("exact")).alias("close"))
+
+
 @query("g15_similar_pairs", "=> SELECT * FROM alike")
 def _(spark, sf_dir, net):
     wanted = params(spark, sf_dir, NEARBY)
@@ -520,6 +574,42 @@ def _(spark, sf_dir, net):
     return paths.similar_pairs(net.knows, members, prepare.person_tags(net.interest, net.person))
 
 
+@query("t1_top_tags", """=> SELECT born, "rank", tag, "range" FROM (SELECT CAST(year(p.birthday) AS BIGINT) AS born, t.name AS tag, COUNT(*) AS "range",
+    ROW_NUMBER() OVER (PARTITION BY year(p.birthday) ORDER BY COUNT(*) DESC, t.name, t.id) AS "rank"
+    FROM interest i JOIN person p ON p.id = i.person_id JOIN tag t ON t.id = i.tag_id GROUP BY year(p.birthday), t.id, t.name) WHERE "rank" <= 3""")
+def _(spark, sf_dir, net):
+    """The tags that most people of each year of birth are interested in."""
+    born = net.person.select(F.col("id").alias("person_id"), F.year("birthday").cast("long").alias("born"))
+    names = net.tag.select(F.col("id").alias("tag_id"), F.col("name").alias("tag"))
+    counted = net.interest.join(born, "person_id").groupBy("born", "tag_id").agg(F.count(F.lit(1)).alias("range")).join(names, "tag_id")
+    return topk.top_k(counted, ["born"], [F.desc("range"), F.asc("tag"), F.asc("tag_id")], 3).select("born", "rank", "tag", "range")
+
+
+@query("t2_top_pairs", """=> SELECT city, "rank", a, b, common FROM (SELECT l.place_id AS city, k.src AS a, k.dst AS b,
+    CAST(len(list_intersect(x.tags, y.tags)) AS BIGINT) AS common,
+    ROW_NUMBER() OVER (PARTITION BY l.place_id ORDER BY len(list_intersect(x.tags, y.tags)) DESC, k.src, k.dst) AS "rank"
+    FROM knows k JOIN located l ON l.person_id = k.src JOIN tags_of x ON x.person_id = k.src JOIN tags_of y ON y.person_id = k.dst
+    WHERE k.src < k.dst) WHERE "rank" <= 4""")
+def _(spark, sf_dir, net):
+    """Of each place the pairs of friends with the most interests in common."""
+    tags = prepare.person_tags(net.interest, net.person).drop("n_tags")
+    of = lambda end: tags.toDF(end, f"tags_{end}")
+    home = net.located.select(F.col("person_id").alias("a"), F.col("place_id").alias("city"))
+    pairs = net.knows.where("src < dst").toDF("a", "b").join(home, "a").join(of("a"), "a").join(of("b"), "b")
+    scored = pairs.select("city", "a", "b", scalars.common_tags("tags_a", "tags_b").alias("common"))
+    return topk.top_k(scored, ["city"], [F.desc("common"), F.asc("a"), F.asc("b")], 4).select("city", "rank", "a", "b", "common")
+
+
+@query("t3_top_people", """=> SELECT tag_id, "rank", id, centrality FROM (SELECT tag_id, id, r * r * 1.0::DOUBLE / s AS centrality,
+    ROW_NUMBER() OVER (PARTITION BY tag_id ORDER BY r * r * 1.0::DOUBLE / s DESC, id) AS "rank" FROM fan_levels WHERE r > 0) WHERE "rank" <= 5""")
+def _(spark, sf_dir, net):
+    """The most central people of each tag, the best of each component first."""
+    edges, members = _fan_graph(net)
+    comp = checkpoint(components.connected_components(edges, members, KEY))
+    found = centrality.centrality(centrality.geodesics(edges, members, KEY, comp), members, KEY).join(comp, [*KEY, "id"])
+    return topk.top_k_by_part(found, KEY, "comp", [F.desc("centrality"), F.asc("id")], 5).select(*KEY, "rank", "id", "centrality")
+
+
 @query("t4_people_by_interests", "=> SELECT person_id, CAST(len(tags) AS BIGINT) AS n_tags FROM tags_of WHERE len(tags) >= 5")
 def _(spark, sf_dir, net):
     return topk.people_by_interests(prepare.person_tags(net.interest, net.person), 5)
@@ -576,13 +666,8 @@ def _(spark, sf_dir, net):
     return plans.central_people(net, params(spark, sf_dir, TOPICS))
 
 
-@query("q5_answer_batch", """=> SELECT CAST(ROW_NUMBER() OVER (ORDER BY kind, qid) - 1 AS BIGINT) AS qid, answer FROM (
-    SELECT 1 AS kind, qid, CAST(hops AS VARCHAR) AS answer FROM hops
-    UNION ALL SELECT 2, qid, COALESCE(answer, '') FROM ([YOUNG]) LEFT JOIN (SELECT qid, string_agg(tag, ' ' ORDER BY "rank") AS answer FROM best_tags GROUP BY 1) USING (qid)
-    UNION ALL SELECT 3, qid, COALESCE(answer, '') FROM ([NEARBY]) LEFT JOIN (SELECT qid, string_agg(a || '|' || b, ' ' ORDER BY "rank") AS answer FROM best_pairs GROUP BY 1) USING (qid)
-    UNION ALL SELECT 4, qid, COALESCE(answer, '') FROM ([TOPICS]) LEFT JOIN (SELECT qid, string_agg(id, ' ' ORDER BY "rank") AS answer FROM best_people GROUP BY 1) USING (qid))""")
-def _(spark, sf_dir, net):
-    """A batch file with the parameters of all four kinds, written, read and answered."""
+def _batch(spark: SparkSession, sf_dir: str) -> str:
+    """A batch file with the parameters of all four kinds."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/batch-{uuid.uuid4().hex}"
     call = lambda sql, kind, *args: params(spark, sf_dir, sql).select(
@@ -594,5 +679,41 @@ def _(spark, sf_dir, net):
         .union(call(NEARBY, 3, "k", "h", "place"))
         .union(call(TOPICS, 4, "k", "tag"))
     )
-    calls.orderBy("kind", "qid").coalesce(1).select("call").write.text(path)
-    return plans.answer_batch(spark, net, path)
+    calls.orderBy("kind", "qid").coalesce(1).select("call").write.text(path)  # a file of parameters
+    return path
+
+
+@query("a2_read_queries", """=> SELECT CAST(ROW_NUMBER() OVER (ORDER BY kind, qid) - 1 AS BIGINT) AS qid, kind, v0, v1, v2 FROM (
+    SELECT CAST(1 AS BIGINT) AS kind, qid, CAST(p1 AS VARCHAR) AS v0, CAST(p2 AS VARCHAR) AS v1, CAST(x AS VARCHAR) AS v2 FROM ([PAIRS])
+    UNION ALL SELECT 2, qid, CAST(k AS VARCHAR), CAST(CAST(d AS DATE) AS VARCHAR), NULL FROM ([YOUNG])
+    UNION ALL SELECT 3, qid, CAST(k AS VARCHAR), CAST(h AS VARCHAR), place FROM ([NEARBY])
+    UNION ALL SELECT 4, qid, CAST(k AS VARCHAR), tag, NULL FROM ([TOPICS]))""")
+def _(spark, sf_dir, net):
+    """The parameters of a batch file after it has been read."""
+    tables = io.read_queries(spark, _batch(spark, sf_dir))[:4]
+    text = lambda t: [F.col(c).cast("string") for c in t.columns[1:]] + [F.lit(None).cast("string")]
+    return reduce(
+        DataFrame.union,
+        [
+            t.select("qid", F.lit(kind).cast("long").alias("kind"), *[v.alias(f"v{i}") for i, v in enumerate(text(t)[:3])])
+            for kind, t in enumerate(tables, 1)
+        ],
+    )
+
+
+@query("a3_format_answers", """=> SELECT p.id AS qid, COALESCE(string_agg(dst, ' ' ORDER BY out_cnt DESC, dst), '') AS answer FROM person p
+    LEFT JOIN weights w ON w.src = p.id GROUP BY 1""")
+def _(spark, sf_dir, net):
+    """The friends of everybody by replies, as answers."""
+    ranked = prepare.friends_by_replies(_weights(net)).withColumnRenamed("src", "qid")
+    return io.format_answers(net.person.select(F.col("id").alias("qid")), (ranked, F.col("dst")))
+
+
+@query("q5_answer_batch", """=> SELECT CAST(ROW_NUMBER() OVER (ORDER BY kind, qid) - 1 AS BIGINT) AS qid, answer FROM (
+    SELECT 1 AS kind, qid, CAST(hops AS VARCHAR) AS answer FROM hops
+    UNION ALL SELECT 2, qid, COALESCE(answer, '') FROM ([YOUNG]) LEFT JOIN (SELECT qid, string_agg(tag, ' ' ORDER BY "rank") AS answer FROM best_tags GROUP BY 1) USING (qid)
+    UNION ALL SELECT 3, qid, COALESCE(answer, '') FROM ([NEARBY]) LEFT JOIN (SELECT qid, string_agg(a || '|' || b, ' ' ORDER BY "rank") AS answer FROM best_pairs GROUP BY 1) USING (qid)
+    UNION ALL SELECT 4, qid, COALESCE(answer, '') FROM ([TOPICS]) LEFT JOIN (SELECT qid, string_agg(id, ' ' ORDER BY "rank") AS answer FROM best_people GROUP BY 1) USING (qid))""")
+def _(spark, sf_dir, net):
+    """A batch file with the parameters of all four kinds, written, read and answered."""
+    return plans.answer_batch(spark, net, _batch(spark, sf_dir))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,15 +26,60 @@ def graphs():
     return {seed: random_graph(seed, N, 30 + 5 * seed) for seed in range(4)} | {9: both_ways([(i, i + 1) for i in range(30)])}
 
 
-def test_components_of_keyed_graphs(spark, graphs):
+@pytest.mark.parametrize("small", [components.SMALL_EDGES, 40, 0])
+def test_components_of_keyed_graphs(spark, graphs, small):
     edges, members = keyed(spark, graphs)
-    found = components.connected_components(edges, members, ["key"])
+    found = components.connected_components(edges, members, ["key"], small=small)
     expected = sorted((k, i, min(distances(g, i))) for k, g in graphs.items() for i in range(N))
     assert rows(found.select("key", "id", "comp")) == expected
     largest = {k: max(len(distances(g, i)) for i in range(N)) for k, g in graphs.items()}
     assert dict(rows(components.largest_component(found, ["key"]))) == largest
 
 
+@pytest.mark.parametrize("small", [components.SMALL_EDGES, 0])
+def test_components_of_one_graph(spark, small):
+    draw = random.Random(5)
+    pairs = [(draw.randrange(3000), draw.randrange(3000)) for _ in range(2000)] + [(10_000 + i, 10_001 + i) for i in range(50)]
+    people = spark.range(3000).union(spark.range(10_000, 10_051))
+    found = dict(rows(components.connected_components(edges_of(spark, pairs), people, small=small)))
+    group = {i: i for i in found}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        group[max(a, b)] = min(a, b)
+    assert found == {i: root(i) for i in group}
+    numbers = dict(rows(components.component_numbers(components.connected_components(edges_of(spark, pairs), people, small=small))))
+    assert numbers == {c: n for n, c in enumerate(sorted(set(found.values())))}
+
+
+def test_components_of_graphs_named_by_words(spark):
+    """Several key columns, not all of them numbers, and large ids."""
+    big = 1 << 60
+    rows_ = [("a", 1, big + 5, big + 3), ("a", 1, big + 3, 7), ("a", 2, 7, 8), ("b", 1, 7, 9), ("b", 1, -4, 9)]
+    edges = spark.createDataFrame(rows_, "k string, q int, src long, dst long").repartition(3)
+    ends = edges.select("k", "q", F.col("src").alias("id")).union(edges.select("k", "q", "dst"))
+    for small in (components.SMALL_EDGES, 0):
+        found = rows(components.connected_components(edges, ends, ["k", "q"], small=small))
+        assert found == [("a", 1, 7, 7), ("a", 1, big + 3, 7), ("a", 1, big + 5, 7), ("a", 2, 7, 7), ("a", 2, 8, 7), ("b", 1, -4, -4), ("b", 1, 7, -4), ("b", 1, 9, -4)]
+
+
+def test_cover_of_a_long_chain_takes_few_rounds(spark):
+    chain = edges_of(spark, both_ways([(i, i + 1) for i in range(400)]))
+    picked = {r.id for r in cover.vertex_cover(chain, max_rounds=25).collect()}
+    assert all(i in picked or i + 1 in picked for i in range(400))
+
+
+def test_top_k_by_a_column(spark):
+    df = spark.range(60).selectExpr("id % 3 AS q", "id AS v", "cast(id % 3 + 1 AS int) AS k")
+    for most in (None, 3):
+        assert rows(topk.top_k(df, ["q"], [F.desc("v")], "k", most).select("q", "rank", "v")) == [(0, 1, 57), (1, 1, 58), (1, 2, 55), (2, 1, 59), (2, 2, 56), (2, 3, 53)]
+
+
 def test_components_edge_cases(spark):
     people = spark.createDataFrame([(5,), (7,), (7,)], "id long")
     nothing = edges_of(spark, [])
@@ -47,7 +94,7 @@ def test_components_edge_cases(spark):
 def test_round_cap_raises(spark):
     chain = edges_of(spark, [(i, i + 1) for i in range(200)])
     with pytest.raises(RoundLimitReached):
-        components.connected_components(chain, chain.select(F.col("src").alias("id")), max_rounds=1)
+        components.connected_components(chain, chain.select(F.col("src").alias("id")), max_rounds=1, small=0)
 
 
 def test_hop_distance(spark):

@@ -323,9 +323,10 @@ def _(spark, sf_dir, net):
     return prepare.person_tags(net.interest, net.person).withColumn("tags", F.array_join(F.col("tags").cast("array<string>"), ","))
 
 
-@query("c13_audience_table", f"=> SELECT tag_id, comp, birthday, id AS person_id FROM ({_AUDIENCE})")
+@query("c13_audience_table", f"=> SELECT tag_id, comp, CAST(strftime(birthday, '%Y%m%d') AS INT) AS day, id AS person_id FROM ({_AUDIENCE})")
 def _(spark, sf_dir, net):
-    return prepare.audience_table(net.interest, net.person, components.connected_components(net.knows, net.person))
+    table = prepare.audience_table(net.interest, net.person, components.connected_components(net.knows, net.person))
+    return table.select("tag_id", "comp", scalars.date_key("birthday").alias("day"), "person_id")
 
 
 @query("c13_tag_audience", f"""=> SELECT tag_id, comp, string_agg(id, ',' ORDER BY birthday DESC, id) AS people, COUNT(*) AS n

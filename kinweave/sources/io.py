@@ -17,23 +17,24 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One relation of a CSV network: ``|`` between fields, one header line, columns by position.
 
     Files may have more columns than are read; the reader drops what the schema does not name.
+    A field that is no number or date where one belongs is an error under Spark's ANSI mode, the default.
     """
     file, columns = FILES[name]
     at = {position: (column, kind) for column, kind, position in columns}
     layout = [
-        StructField(at[i][0], _TYPES[at[i][1]]) if i in at else StructField(f"_ignored{i}", StringType())
-        for i in range(max(at) + 1)
+        StructField(at[i][0] if i in at else f"_ignored{i}", StringType()) for i in range(max(at) + 1)
     ]
     raw = spark.read.csv(
         f"{directory}/{file}", schema=StructType(layout), sep="|", header=True, enforceSchema=True, quote="", mode="PERMISSIVE"
     )
-    return raw.select(*[column for column, _, _ in columns])
+    return raw.select(*[F.col(column).cast(_TYPES[kind]).alias(column) for column, kind, _ in columns])
 
 
 def read_network(spark: SparkSession, directory: str, fmt: str = "csv", symmetrize: bool = True) -> Network:
     """All 14 relations from CSV files or from Parquet tables named after the relations.
 
-    With ``symmetrize`` both directions of each friendship are present, once.
+    With ``symmetrize`` both directions of each friendship are present, once.  Without it they
+    must be there, as the operators on paths rely on it; a friendship of one direction is an error.
     """
     if fmt not in ("csv", "parquet"):
         raise ValueError(f"unknown format {fmt!r}")
@@ -45,6 +46,10 @@ def read_network(spark: SparkSession, directory: str, fmt: str = "csv", symmetri
     }
     if symmetrize:
         read["knows"] = symmetric(read["knows"])
+    else:
+        back = read["knows"].select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        if not read["knows"].join(back, ["src", "dst"], "left_anti").isEmpty():
+            raise ValueError("some friendships have one direction only")
     return Network(**read)
 
 

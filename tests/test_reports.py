@@ -47,6 +47,18 @@ def test_reading(spark, net, tmp_path):
     assert rows(io.profile(again)) == rows(io.profile(net))
     with pytest.raises(ValueError):
         io.read_network(spark, str(tmp_path), "orc")
+    assert rows(io.read_network(spark, str(tmp_path), "parquet", symmetrize=False).knows) == rows(net.knows)
+    net.knows.where("src < dst").write.mode("overwrite").parquet(f"{tmp_path}/knows.parquet")
+    with pytest.raises(ValueError):
+        io.read_network(spark, str(tmp_path), "parquet", symmetrize=False)
+
+
+def test_bad_fields_are_errors(spark, tmp_path):
+    file, _ = FILES["knows"]
+    (tmp_path / file).parent.mkdir(parents=True, exist_ok=True)
+    (tmp_path / file).write_text("a|b\n1|2\n3|x4\n")
+    with pytest.raises(Exception, match="x4"):
+        io.read_table(spark, str(tmp_path), "knows").collect()
 
 
 def test_scalars(net):

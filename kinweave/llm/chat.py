@@ -58,6 +58,10 @@ def chatml(messages: list[Message]) -> str:
     return "".join(f"{START}{escape(role, True)}\n{escape(text)}{END}\n" for role, text in messages)
 
 
+#: What :func:`chatml` writes for a turn depends on no other turn; one before it is rendered to compare with.
+CHATML_REACH = 1
+
+
 def parse_chatml(formatted: str) -> list[tuple[str, int, int]]:
     """``(role, start, end)`` of each text in the output of :func:`chatml`."""
     found, at = [], 0
@@ -133,7 +137,7 @@ def _by_reach(messages: list[Message], render, reach: int):
 def format_conversations(
     df: DataFrame,
     render: Callable[[list[Message]], str] = chatml,
-    reach: int | None = 1,
+    reach: int | None = None,
     conv: str = "conv_id",
     turn: str = "turn",
     role: str = "role",
@@ -143,8 +147,8 @@ def format_conversations(
     """``(conv, formatted, spans, loss, rewrites)`` of each conversation.
 
     ``spans`` are the turns' starts and ends in ``formatted``, ``loss`` those of the
-    texts of ``loss_role``, both flat lists in order.  ``reach`` is what ``render`` promises:
-    1 holds for the template of this module, None for any.
+    texts of ``loss_role``, both flat lists in order.  ``reach`` is what ``render`` promises, ``CHATML_REACH``
+    for the template of this module; with None, which suits any, every prefix is rendered whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

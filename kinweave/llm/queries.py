@@ -39,7 +39,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT -1L AS conv_id, t AS turn, IF(t = 0, 'user', 'assistant') AS role, :text AS text FROM range(2) AS r(t)",
         args={"text": CONTROL},
     )
-    return chat.read_back(chat.format_conversations(rows.unionByName(more)))
+    return chat.read_back(chat.format_conversations(rows.unionByName(more), reach=chat.CHATML_REACH))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,7 +213,8 @@ def test_chat(spark):
         loss = "".join(t for *_, r, t in turns if r == "assistant")
         digest = brute.sha("".join(f"{r}\n{t}\n" for *_, r, t in turns))
         expected.append((c, len(turns), digest, len(loss), brute.sha(loss)))
-    found = chat.read_back(chat.format_conversations(df))
+    found = chat.read_back(chat.format_conversations(df, reach=chat.CHATML_REACH))
+    same(chat.read_back(chat.format_conversations(df)), [tuple(r) for r in found.collect()])
     same(found.drop("formatted_chars", "rewrites"), expected)
     assert not found.where("rewrites").count()
     same(chat.read_back(chat.format_conversations(df.limit(0))), [])

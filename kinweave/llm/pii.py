@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers.  They are the
-seeds.  Every token that looks like an identifier (four digits or more, or an ``@``),
+seeds.  Every token that looks like an identifier (``MIN_DIGITS`` digits or more, or an ``@``),
 and every maximal run of digit groups parted by blanks, hyphens, dots or brackets, seed
 or not, is recorded with its lexical patterns: the two words before it, and the word
 before it with the word after it.  Tokens of punctuation are passed on the way to the
@@ -90,8 +90,12 @@ def base_spans(line: str) -> list[tuple[int, int, int]]:
     return spans
 
 
-def _runs(line: str, tokens: list[tuple[int, int]], free: list[bool]) -> dict[int, int]:
-    """First and last token of every run of two or more digit groups with four digits or more."""
+#: Digits that make a token, or a run of digit groups, look like an identifier.
+MIN_DIGITS = 4
+
+
+def _runs(line: str, tokens: list[tuple[int, int]], free: list[bool], min_digits: int) -> dict[int, int]:
+    """First and last token of every run of two or more digit groups with so many digits or more."""
     out, k = {}, 0
     while k < len(tokens):
         last, digits = k - 1, 0
@@ -103,13 +107,13 @@ def _runs(line: str, tokens: list[tuple[int, int]], free: list[bool]) -> dict[in
             last, digits = last + 1, digits + len(_DIGITS.findall(bare))
             if line[tokens[last][1] - 1] not in "0123456789)-.":
                 break  # a comma or the like ends the run
-        if last > k and digits >= 4:
+        if last > k and digits >= min_digits:
             out[k] = last
         k = max(last, k) + 1
     return out
 
 
-def _identifiers(line: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
+def _identifiers(line: str, spans: list[tuple[int, int, int]], min_digits: int = MIN_DIGITS) -> list[tuple[int, int, int, str, list[str]]]:
     """``(kind or -1, start, end, instance, patterns)`` of seeds, identifier-like tokens and runs of digit groups."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(line)]
     words = [line[a:b].strip(_TRIM).lower() for a, b in tokens]
@@ -123,7 +127,7 @@ def _identifiers(line: str, spans: list[tuple[int, int, int]]) -> list[tuple[int
             at += 1
         seeds.append(taken[at] if at < len(taken) and taken[at][0] < b else None)
         free.append(seeds[k] is None)
-    runs = _runs(line, tokens, free)
+    runs = _runs(line, tokens, free, min_digits)
 
     def patterns(k: int, end: int) -> list[str]:
         after = k + 1
@@ -151,7 +155,7 @@ def _identifiers(line: str, spans: list[tuple[int, int, int]]) -> list[tuple[int
         word = line[a:b]
         start = a + len(word) - len(word.lstrip(_TRIM))
         end = b - len(word) + len(word.rstrip(_TRIM))
-        if start >= end or "@" not in word and len(_DIGITS.findall(word)) < 4:
+        if start >= end or "@" not in word and len(_DIGITS.findall(word)) < min_digits:
             continue
         # What stands before a run is the run's, not its first token's.
         out.append((-1, start, end, line[start:end].lower(), patterns(k, end)[1 if k in runs else 0 :]))
@@ -174,7 +178,7 @@ _SPANS = "array<struct<kind:int,start:int,stop:int>>"
 _SPANS_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def mentions(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def mentions(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_digits: int = MIN_DIGITS) -> DataFrame:
     """``(id, text_hash, base, mentions)``: base spans and the graph's raw material."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +191,7 @@ def mentions(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
                         if _TELLING.search(line):
                             own = base_spans(line)
                             spans += [(k, a + offset, b + offset) for k, a, b in own]
-                            marks += [(k, a + offset, b + offset, *m) for k, a, b, *m in _identifiers(line, own)]
+                            marks += [(k, a + offset, b + offset, *m) for k, a, b, *m in _identifiers(line, own, min_digits)]
                         offset += len(line) + 1
                 base.append([dict(zip(("kind", "start", "stop"), s)) for s in sorted(spans)])
                 found.append([dict(zip(("kind", "start", "stop", "instance", "patterns"), m)) for m in marks])
@@ -257,13 +261,13 @@ def bootstrap(
     raise RoundLimitReached(f"pattern scores still rise after {rounds} rounds")
 
 
-def extract(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def extract(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_digits: int = MIN_DIGITS, **options) -> DataFrame:
     """``(id, text_hash, base, added)`` of every row: base spans and those that patterns add.
 
     An added span has the kind of its most confident pattern, overlaps no base span and lies
     in no other added span.
     """
-    found = checkpoint(mentions(df, id_col, text))
+    found = checkpoint(mentions(df, id_col, text, min_digits))
     return found.join(
         _added(found, id_col, **options),
         F.col(id_col).eqNullSafe(F.col("__id")) & F.col("text_hash").eqNullSafe(F.col("__hash")),
@@ -312,14 +316,14 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def redact(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_digits: int = MIN_DIGITS, **options) -> DataFrame:
     """``df`` with every span replaced by its kind in brackets, as ``[EMAIL]``.
 
     Overlapping spans become one replacement, named by the first.  Base spans are
     found again in the pass that rewrites the texts; only texts with added spans are
     joined with them.  Other columns stay as they are; a null text stays null.
     """
-    found = checkpoint(mentions(df, id_col, text))
+    found = checkpoint(mentions(df, id_col, text, min_digits))
     added = _added(found, id_col, **options)
     keys = F.col(id_col).eqNullSafe(F.col("__id")) & F.xxhash64(text).eqNullSafe(F.col("__hash"))
     names = df.columns

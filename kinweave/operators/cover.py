@@ -18,7 +18,7 @@ def vertex_cover(
     """``(*key, id, pick_degree)``: a cover of each keyed graph, by largest residual degree.
 
     Each round takes every vertex that comes before all its neighbours by (residual degree
-    descending, a hash of the id, id) and drops its edges; the hash keeps chains of equal degrees from
+    descending, MD5 of the id, id) and drops its edges; the hash keeps chains of equal degrees from
     being picked one by one.  Such a vertex goes before its neighbours
     one at a time, too, so the cover and its pick degrees are those of the sequential greedy
     choice.  ``limit`` keeps that share of a group's vertices, those with the largest pick
@@ -34,7 +34,7 @@ def vertex_cover(
             break
         degree = left.groupBy(*key, "src").agg(count.alias("degree"))
         other = degree.select(*key, F.col("src").alias("dst"), F.col("degree").alias("other"))
-        order = lambda degree, end: F.struct(-F.col(degree), F.xxhash64(end), F.col(end))
+        order = lambda degree, end: F.struct(-F.col(degree), F.md5(F.col(end).cast("string").cast("binary")), F.col(end))
         first = order("degree", "src") < order("other", "dst")
         picked, _ = checkpoint_counted(
             left.join(degree, [*key, "src"])

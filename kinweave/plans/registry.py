@@ -86,6 +86,16 @@ SHARED = {
         WHERE NOT EXISTS (SELECT 1 FROM recurring.fan_dist r WHERE r.tag_id = b.tag_id AND r.s = b.s AND r.t = e.dst) GROUP BY 1, 2, 3)""",
     "fan_levels": """fan_levels AS (SELECT tag_id, s AS id, COUNT(*) FILTER (d = 1) AS "L1", COUNT(*) FILTER (d = 2) AS "L2",
         COUNT(*) FILTER (d = 3) AS "L3", COUNT(*) - 1 AS r, CAST(SUM(d) AS BIGINT) AS s FROM fan_dist GROUP BY 1, 2)""",
+    "cover_step": """cover_step(tag_id, src, dst, pick) AS (SELECT tag_id, src, dst, CAST(NULL AS BIGINT) FROM fan_edges
+        UNION ALL (WITH cur AS (SELECT tag_id, src, dst FROM cover_step WHERE pick IS NULL),
+        deg AS (SELECT tag_id, src, COUNT(*) AS d, md5(CAST(src AS VARCHAR)) AS h FROM cur GROUP BY 1, 2),
+        best AS (SELECT c.tag_id, c.src, MAX(a.d) AS d FROM cur c JOIN deg a ON a.tag_id = c.tag_id AND a.src = c.src
+        JOIN deg b ON b.tag_id = c.tag_id AND b.src = c.dst GROUP BY 1, 2
+        HAVING bool_and(a.d > b.d OR a.d = b.d AND (a.h < b.h OR a.h = b.h AND c.src < c.dst)))
+        SELECT c.tag_id, c.src, c.dst, CAST(NULL AS BIGINT) FROM cur c
+        WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.tag_id = c.tag_id AND (b.src = c.src OR b.src = c.dst))
+        UNION ALL SELECT tag_id, src, NULL, d FROM best))""",
+    "cover": "cover AS (SELECT tag_id, src AS id, pick AS pick_degree FROM cover_step WHERE pick IS NOT NULL)",
     "young": """young AS (SELECT q.qid, i.tag_id, p.id FROM interest i JOIN person p ON p.id = i.person_id
         JOIN ([YOUNG]) q ON p.birthday >= q.d)""",
     "young_edges": """young_edges AS (SELECT (a.qid * 100000000 + a.tag_id) * 1000000000 + k.src AS src,
@@ -433,13 +443,15 @@ def _(spark, sf_dir, net):
     return paths.hop_distance(_weights(net), params(spark, sf_dir, PAIRS))
 
 
-@query("g6_vertex_cover")
+@query("g6_vertex_cover", "=> SELECT tag_id, id, pick_degree FROM cover")
 def _(spark, sf_dir, net):
     edges, _ = _fan_graph(net)
     return cover.vertex_cover(edges, KEY)
 
 
-@query("g6_vertex_cover_share")
+@query("g6_vertex_cover_share", """=> SELECT tag_id, id, pick_degree FROM (SELECT c.*, n, ROW_NUMBER() OVER (PARTITION BY c.tag_id
+    ORDER BY pick_degree DESC, id) AS "rank" FROM cover c JOIN (SELECT tag_id, COUNT(DISTINCT src) AS n FROM fan_edges GROUP BY 1) v
+    ON v.tag_id = c.tag_id) WHERE "rank" <= GREATEST(1, FLOOR(n * 0.25))""")
 def _(spark, sf_dir, net):
     edges, _ = _fan_graph(net)
     return cover.vertex_cover(edges, KEY, limit=0.25)

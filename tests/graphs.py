@@ -1,11 +1,9 @@
 """Plain Python answers on small graphs, and makers of small tables."""
 
+import hashlib
 import random
-import struct
 from collections import defaultdict, deque
 
-import xxhash
-
 
 def both_ways(pairs):
     pairs = list(pairs)
@@ -36,8 +34,8 @@ def distances(edges, start):
 
 
 def greedy_cover(edges):
-    """One vertex at a time: the largest residual degree, ties by the smallest hash of the id, as Spark hashes longs."""
-    mixed = lambda x: struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", x), 42)))[0]
+    """One vertex at a time: the largest residual degree, ties by the smallest MD5 of the id."""
+    mixed = lambda x: hashlib.md5(str(x).encode()).hexdigest()
     near, cover = {v: set(ws) for v, ws in neighbours(edges).items()}, {}
     while any(near.values()):
         v = min(near, key=lambda x: (-len(near[x]), mixed(x), x))

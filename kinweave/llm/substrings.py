@@ -16,8 +16,8 @@ the next windows continue it, and what it covers starts no other.  Of several do
 the smallest serves as reference for each block; so where two share its parts, two factors stand
 for one, and every window is judged as if all pairs of documents had been compared.
 
-Hashes only choose what may be equal.  The texts concerned are read again, and blocks and
-windows are equal if the BLAKE2b digests of their words are, as exact copies are by SHA-256.
+Rolling hashes only choose the anchors.  Blocks and windows are equal if the BLAKE2b digests of their
+words are, as exact copies are by SHA-256; texts with boundary blocks are read again for their windows.
 
 Scale: an anchor falls on about every 21st word, so the index has one short row per 21
 words; blocks that are alike are reduced to their smallest document before they are joined;
@@ -47,8 +47,8 @@ from .text import BROADCAST_BYTES, PIECE_BYTES, as_bytes, pieces, schema_of, sli
 #: Words in a window that counts as repeated, and in an anchor.
 WINDOW, GRAM = 50, 10
 
-#: Odd multipliers of the rolling hashes over grams and blocks.
-_GRAM, _WIDE = 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+#: Fixed value: odd multiplier of the rolling hash over grams.
+_GRAM = 0xC2B2AE3D27D4EB4F
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,17 +77,20 @@ def _range_hash(rolling: tuple[np.ndarray, np.ndarray], start: np.ndarray, end:
     return _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def blocks(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, first window, windows, anchor hash and content hash of each block.
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def blocks(words: list[bytes], counts: np.ndarray) -> list[np.ndarray]:
+    """Text number, first window, windows, anchor hash and the two halves of the content digest of each block.
 
     ``words`` are those of all texts, ``counts`` how many each text has.
     """
     n = len(words)
-    none = np.zeros(0, np.int64)
+    none = [np.zeros(0, np.int64)] * 6
     if n < WINDOW:
-        return none, none, none, none, none
+        return none
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    wide = _rolling(hashes, _WIDE)
     grams = _range_hash(_rolling(hashes, _GRAM), np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
     best, width, reach = np.arange(len(grams)), 1, WINDOW - GRAM + 1
     while width < reach:  # leftmost smallest gram of the next `width` grams
@@ -98,14 +101,15 @@ def blocks(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     owner = np.repeat(np.arange(len(counts)), counts)
     starts = np.nonzero(owner[: n - WINDOW + 1] == owner[WINDOW - 1 :])[0]
     if not len(starts):
-        return none, none, none, none, none
+        return none
     anchor, text = best[starts], owner[starts]
     begins = np.nonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))[0]
     size = np.diff(np.concatenate([begins, [len(starts)]]))
     first = starts[begins]
-    content = _range_hash(wide, first, first + size - 1 + WINDOW)
+    contents = b"".join(_digest(words[a:b]) for a, b in zip(first.tolist(), (first + size - 1 + WINDOW).tolist()))
+    halves = np.frombuffer(contents, "<i8").reshape(-1, 2)
     place = np.concatenate([[0], np.cumsum(counts)])[text[begins]]
-    return text[begins], first - place, size, grams[anchor[begins]].view(np.int64), content.view(np.int64)
+    return [text[begins], first - place, size, grams[anchor[begins]].view(np.int64), halves[:, 0].copy(), halves[:, 1].copy()]
 
 
 def _indexed(texts: list[bytes]) -> tuple[list[int], list[str], list[np.ndarray]]:
@@ -117,7 +121,7 @@ def _indexed(texts: list[bytes]) -> tuple[list[int], list[str], list[np.ndarray]
     lists = [t.split() for t in texts]
     counts = [len(w) for w in lists]
     found = blocks([w for words in lists for w in words], np.array(counts, np.int64))
-    return counts, [hashlib.sha256(b" ".join(w)).hexdigest() for w in lists], list(found)
+    return counts, [hashlib.sha256(b" ".join(w)).hexdigest() for w in lists], found
 
 
 def _indexed_in_parts(text: bytes) -> tuple[list[int], list[str], list[np.ndarray]]:
@@ -125,9 +129,9 @@ def _indexed_in_parts(text: bytes) -> tuple[list[int], list[str], list[np.ndarra
     digest, n, held, found = hashlib.sha256(), 0, [], []
 
     def add(last: bool) -> None:
-        owner, start, size, anchor, content = blocks(held, np.array([len(held)]))
+        owner, start, *more = blocks(held, np.array([len(held)]))
         done = len(owner) if last else max(0, len(owner) - 1)
-        found.append([owner[:done], start[:done] + n - len(held), size[:done], anchor[:done], content[:done]])
+        found.append([owner[:done], start[:done] + n - len(held), *(m[:done] for m in more)])
         if not last and len(owner):
             del held[: int(start[-1])]
 
@@ -142,23 +146,23 @@ def _indexed_in_parts(text: bytes) -> tuple[list[int], list[str], list[np.ndarra
 
 
 def _index(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, text_hash, n_words, digest, anchors, contents, starts, sizes)`` of every row."""
+    """``(id, text_hash, n_words, digest, anchors, lefts, rights, starts, sizes)`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text):
-            counts, digests, (owner, start, size, anchor, content) = _indexed(as_bytes(piece.column(text)))
+            counts, digests, (owner, start, size, anchor, left, right) = _indexed(as_bytes(piece.column(text)))
             cuts = pa.array(np.searchsorted(owner, np.arange(piece.num_rows + 1)).astype(np.int32))
             lists = [
                 pa.ListArray.from_arrays(cuts, pa.array(v))
-                for v in (anchor, content, start.astype(np.int32), size.astype(np.int32))
+                for v in (anchor, left, right, start.astype(np.int32), size.astype(np.int32))
             ]
             yield pa.RecordBatch.from_arrays(
                 [piece.column(id_col), piece.column("__hash"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), *lists],
-                names=[id_col, "text_hash", "n_words", "digest", "anchors", "contents", "starts", "sizes"],
+                names=[id_col, "text_hash", "n_words", "digest", "anchors", "lefts", "rights", "starts", "sizes"],
             )
 
     ddl = (
-        "text_hash long, n_words long, digest string, anchors array<long>, contents array<long>, "
+        "text_hash long, n_words long, digest string, anchors array<long>, lefts array<long>, rights array<long>, "
         "starts array<int>, sizes array<int>"
     )
     rows = df.select(id_col, text, F.xxhash64(text).alias("__hash"))
@@ -175,37 +179,30 @@ def _ranges(text: bytes, starts: list[int], stops: list[int]) -> Iterator[list[b
         yield words[start - base : stop - base]
 
 
-def _spans(df: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, text_hash, key, start, size)``: digests of the words of the wanted blocks and windows.
+def _windows(df: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``(id, text_hash, key, start)``: digests of the words of each window of the wanted blocks.
 
-    ``wanted`` has ``(__id, __hash, starts, sizes, whole, parted)``, one row for each text concerned:
-    of each block whether it is wanted as a whole, and whether each of its windows is.
+    ``wanted`` has ``(__id, __hash, starts, sizes)``, one row for each text concerned.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text):
-            rows, keys, at, windows = [], [], [], []
-            columns = [as_bytes(piece.column(text)), *(piece.column(c).to_pylist() for c in ("starts", "sizes", "whole", "parted"))]
-            for row, (content, starts, sizes, whole, parted) in enumerate(zip(*columns)):
-                before = len(keys)
+            rows, keys, at = [], [], []
+            columns = (as_bytes(piece.column(text)), piece.column("starts").to_pylist(), piece.column("sizes").to_pylist())
+            for row, (content, starts, sizes) in enumerate(zip(*columns)):
                 stops = [a + n - 1 + WINDOW for a, n in zip(starts, sizes)]
-                for words, a, n, w, p in zip(_ranges(content, starts, stops), starts, sizes, whole, parted):
-                    some = [(0, n)] if w else []
-                    if p and not (w and n == 1):
-                        some += [(k, 1) for k in range(n)]
-                    for k, size in some:
-                        keys.append(hashlib.blake2b(b" ".join(words[k : k + size - 1 + WINDOW]), digest_size=16).digest())
-                        at.append(a + k)
-                        windows.append(size)
-                rows += [row] * (len(keys) - before)
+                for words, a, n in zip(_ranges(content, starts, stops), starts, sizes):
+                    keys += [_digest(words[k : k + WINDOW]) for k in range(n)]
+                    at += range(a, a + n)
+                    rows += [row] * n
             picked = piece.select([id_col, "__hash"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [picked.column(0), picked.column(1), pa.array(keys, pa.binary()), pa.array(at, pa.int32()), pa.array(windows, pa.int32())],
-                names=[id_col, "text_hash", "key", "start", "size"],
+                [picked.column(0), picked.column(1), pa.array(keys, pa.binary()), pa.array(at, pa.int32())],
+                names=[id_col, "text_hash", "key", "start"],
             )
 
     joined = _with_runs(df, wanted, id_col, text)
-    return joined.mapInArrow(run, schema_of(df, [id_col], "text_hash long, key binary, start int, size int"))
+    return joined.mapInArrow(run, schema_of(df, [id_col], "text_hash long, key binary, start int"))
 
 
 def parse(matches: list[tuple]) -> list[list]:
@@ -237,44 +234,41 @@ def factors(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
     known = index.where(F.col(id_col).isNotNull() & (F.col("n_words") >= WINDOW))
     first = known.groupBy("digest").agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("n"))
     first = checkpoint(first.where("n > 1").select("digest", "__first"))
-    marked = index.join(first, "digest", "left")
+    marked = index.join(small(first, 128), "digest", "left")
     copy = F.coalesce(F.col("__first") < F.col(id_col), F.lit(False)) & (F.col("n_words") >= WINDOW)
     marked = marked.withColumn("copy", copy).drop("__first")
     rows = (
         marked.where(~F.col("copy") & F.col(id_col).isNotNull() & (F.size("anchors") > 0))
-        .select(id_col, "text_hash", F.explode(F.arrays_zip("anchors", "contents", "starts", "sizes")).alias("b"))
+        .select(id_col, "text_hash", F.explode(F.arrays_zip("anchors", "lefts", "rights", "starts", "sizes")).alias("b"))
         .select(
             id_col,
             "text_hash",
             F.col("b.anchors").alias("anchor"),
-            F.col("b.contents").alias("content"),
+            F.col("b.lefts").alias("left"),
+            F.col("b.rights").alias("right"),
             F.col("b.starts").alias("start"),
             F.col("b.sizes").alias("size"),
         )
     )
-    distinct = rows.groupBy("anchor", "content").agg(F.min(id_col).alias("low"), F.max(id_col).alias("high"))
-    shared = distinct.groupBy("anchor").agg(
-        F.min("low").alias("anchor_low"), F.max("high").alias("anchor_high"), F.count(F.lit(1)).alias("variants")
-    )
-    shared = checkpoint(shared.where("anchor_low < anchor_high").drop("anchor_low", "anchor_high"))
+    shared = rows.groupBy("anchor").agg(F.min(id_col).alias("low"), F.max(id_col).alias("high")).where("low < high")
+    near = checkpoint(rows.join(small(checkpoint(shared.select("anchor")), 24), "anchor"))
+    block = ["anchor", "left", "right"]
+    low = F.min(F.struct(F.col(id_col).alias("ref"), F.col("start").alias("ref_start"))).alias("low")
+    distinct = checkpoint(near.groupBy(*block).agg(low, F.max(id_col).alias("high")))
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = small(checkpoint(several.select("anchor", F.lit(True).alias("several"))), 24)
     # one row for each different block that more than one document may hold, whole or in part
-    reference = checkpoint(distinct.join(shared, "anchor").where("low < high OR variants > 1"))
-    held = rows.join(reference, ["anchor", "content"]).select(
-        id_col,
-        "text_hash",
-        "start",
-        "size",
-        (F.col("low") < F.col("high")).alias("whole"),
-        ((F.col("low") == F.col(id_col)) & (F.col("variants") > 1)).alias("parted"),
-    )
-    wanted = _of_texts(held.where("whole OR parted"), id_col, ["start", "size", "whole", "parted"])
-    wanted = wanted.select("__id", "__hash", *(F.col(f"runs.{a}").alias(b) for a, b in (("start", "starts"), ("size", "sizes"), ("whole", "whole"), ("parted", "parted"))))
-    spans = checkpoint(_spans(df, checkpoint(wanted), id_col, text))
-    earliest = spans.groupBy("key").agg(F.min(F.struct(id_col, "start")).alias("first"), F.max(id_col).alias("high"))
-    earliest = checkpoint(
-        earliest.where(F.col(f"first.{id_col}") < F.col("high")).select("key", F.col(f"first.{id_col}").alias("ref"), F.col("first.start").alias("ref_start"))
-    )
-    matches = spans.join(earliest, "key").where(F.col("ref") < F.col(id_col))
+    reference = distinct.join(several, "anchor", "left").where("low.ref < high OR several")
+    reference = checkpoint(reference.select(*block, "low.*", F.coalesce("several", F.lit(False)).alias("several")))
+    held = checkpoint(near.join(reference, block).drop(*block))
+    whole = held.where(F.col("ref") < F.col(id_col)).select(id_col, "text_hash", "start", "size", "ref", "ref_start")
+    parted = _of_texts(held.where((F.col("ref") == F.col(id_col)) & F.col("several")), id_col, ["start", "size"])
+    parted = checkpoint(parted.select("__id", "__hash", F.col("runs.start").alias("starts"), F.col("runs.size").alias("sizes")))
+    windows = checkpoint(_windows(df, parted, id_col, text))
+    earliest = windows.groupBy("key").agg(low, F.max(id_col).alias("high"))
+    earliest = checkpoint(earliest.where("low.ref < high").select("key", "low.*"))
+    parts = windows.join(earliest, "key").where(F.col("ref") < F.col(id_col))
+    matches = whole.union(parts.select(id_col, "text_hash", "start", F.lit(1).alias("size"), "ref", "ref_start"))
     return marked, checkpoint(_parsed(_of_texts(matches, id_col, ["start", "size", "ref", "ref_start"])))
 
 
@@ -305,7 +299,7 @@ def _with_runs(df: DataFrame, runs: DataFrame, id_col: str, text: str) -> DataFr
     Runs of a few MB are broadcast.  Else their keys alone may fit; they then drop the texts
     without runs before the others are shuffled.  Beyond that all texts are shuffled.
     """
-    rows, held = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(64) + F.size("starts") * 24), F.lit(0))).first()
+    rows, held = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(64) + F.size("starts") * 8), F.lit(0))).first()
     texts = df.select(id_col, text, F.xxhash64(text).alias("__text_hash"))
     keys = (F.col(id_col) == F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
     if held <= BROADCAST_BYTES:

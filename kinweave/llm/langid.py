@@ -26,6 +26,7 @@ from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,8 @@ MIN_SCORE = 0.35
 #: Runs of letters; the few numeric characters that \w also holds do no harm.
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
-#: Values in the table of unseen words that a task fills before it starts afresh.
-CACHE_VALUES = 4_000_000
+#: Unseen words, and values of theirs, that a task remembers before it starts afresh.
+CACHE_WORDS, CACHE_VALUES = 100_000, 4_000_000
 
 #: Resolution of the sampling hash.
 _STEPS = 1 << 30
@@ -59,11 +60,11 @@ _STEPS = 1 << 30
 class Table:
     """Log frequencies by value and language; only pairs that were seen have an entry.
 
-    Entries of value i are ``begin[i]`` to ``begin[i + 1]``: language numbers, and how much
+    Words are known by 64-bit hashes, so that a task holds no string for each.  Entries of value i are ``begin[i]`` to ``begin[i + 1]``: language numbers, and how much
     more than the language's smallest value each is.
     """
 
-    values: list[str]
+    values: list[str] | np.ndarray
     begin: np.ndarray
     languages: np.ndarray
     more: np.ndarray
@@ -128,11 +129,15 @@ def fit(
     languages = sorted(counted[0].column("lang").unique().to_pylist())
     lengths = np.array([len(g) for g in counted[1].column("word").to_pylist()], np.int64)
     split = [counted[0], *(counted[1].filter(pa.array(lengths == n)) for n in range(1, LONGEST + 1))]
-    tables, least = zip(*(_table(languages, t) for t in split))
+    tables, least = zip(*(_table(languages, t, not k) for k, t in enumerate(split)))
     return Model(languages, list(tables), list(least))
 
 
-def _table(languages: list[str], counts: pa.Table) -> tuple[Table, np.ndarray]:
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _table(languages: list[str], counts: pa.Table, hashed: bool) -> tuple[Table, np.ndarray]:
     """Smoothed log frequencies of one kind of value."""
     at = {k: i for i, k in enumerate(languages)}
     counts = counts.sort_by("word")
@@ -143,32 +148,56 @@ def _table(languages: list[str], counts: pa.Table) -> tuple[Table, np.ndarray]:
     begin = [i for i, w in enumerate(words) if not i or w != words[i - 1]]
     values = [words[i] for i in begin]
     more = np.log((n + 0.1) / 0.1)
-    table = Table(values, np.array([*begin, len(words)], np.int64), lang.astype(np.int32), more.astype(np.float32))
+    table = Table(_hashes(values) if hashed else values, np.array([*begin, len(words)], np.int64), lang.astype(np.int32), more.astype(np.float32))
     return table, np.log(0.1 / totals)
 
 
-class _Scorer(dict):
-    """Known word to its number; unseen word to -1 less its row in a table that backoff fills."""
+class _Places:
+    """Places of hashes in an array, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.slots = np.full(1 << (2 * len(keys) + 1).bit_length(), -1, np.int32)
+        self.last = np.uint64(len(self.slots) - 1)
+        todo, self.steps = np.arange(len(keys), dtype=np.int32), 0
+        while len(todo):
+            slot = (keys[todo] + np.uint64(self.steps)) & self.last
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = todo[free]
+            todo = todo[self.slots[slot] != todo]
+            self.steps += 1
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out, todo = np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
+        for step in range(self.steps):
+            place = self.slots[(hashes[todo] + np.uint64(step)) & self.last]
+            todo, place = todo[place >= 0], place[place >= 0]
+            if not len(todo):
+                break
+            same = self.keys[place] == hashes[todo]
+            out[todo[same]] = place[same]
+            todo = todo[~same]
+        return out
+
+
+class _Scorer:
+    """What words say: known ones by their table, unseen ones by backoff, which is remembered for a while."""
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
-        self.words = model.tables[0]
+        self.words = _Places(model.tables[0].values)
         self.grams = [{g: i for i, g in enumerate(t.values)} for t in model.tables[1:]]
-        self.room = max(1000, CACHE_VALUES // max(1, len(model.languages)))
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.update((w, i) for i, w in enumerate(self.words.values))
-        self.unseen = np.zeros((self.room, len(self.model.languages)), np.float32)
-        self.used = 0
+        self.room = max(1000, min(CACHE_WORDS, CACHE_VALUES // max(1, len(model.languages))))
+        self.unseen = np.zeros((self.room, len(model.languages)), np.float32)
+        self.rows: dict[str, int] = {}
 
-    def __missing__(self, word: str) -> int:
-        self.unseen[self.used] = self.backoff(word)
-        self.used += 1
-        self[word] = -self.used
-        return -self.used
+    def row(self, word: str) -> int:
+        """The row of ``unseen`` with what backoff says about a word."""
+        if (at := self.rows.get(word)) is None:
+            at = self.rows[word] = len(self.rows)
+            self.unseen[at] = self.backoff(word)
+        return at
 
     def backoff(self, word: str) -> np.ndarray:
         marked = f"^{word}$"
@@ -190,19 +219,20 @@ class _Scorer(dict):
         """Language and score of each text."""
         languages = self.model.languages
         total, count = np.zeros((len(texts), len(languages))), np.zeros(len(texts), np.int64)
-        held: list[np.ndarray] = []
-        owners: list[int] = []
+        held: list[str] = []
+        owners: list[tuple[int, int]] = []
 
         def add() -> None:
             """Add what the words held say to their texts."""
-            if not held:
-                return
-            numbers = np.concatenate(held)
-            owner = np.repeat(owners, [len(h) for h in held])
-            known = numbers >= 0
-            total[:] += self.sums(0, numbers[known], owner[known], len(texts))
+            owner = np.repeat([row for row, _ in owners], [n for _, n in owners])
+            places = self.words.find(_hashes(held))
+            known, rest = places >= 0, np.nonzero(places < 0)[0]
+            total[:] += self.sums(0, places[known], owner[known], len(texts))
             total[:] += np.bincount(owner[known], minlength=len(texts))[:, None] * self.model.least[0]
-            np.add.at(total, owner[~known], self.unseen[-1 - numbers[~known]])
+            if len(self.rows) + len(rest) > self.room:
+                self.rows.clear()
+            rows = np.fromiter((self.row(held[i]) for i in rest.tolist()), np.int64, len(rest))
+            np.add.at(total, owner[rest], self.unseen[rows])
             held.clear()
             owners.clear()
 
@@ -211,15 +241,15 @@ class _Scorer(dict):
             for part in slices(text or ""):
                 words = _WORDS(part.lower())
                 lettered[row] |= any(c.isalpha() for w in words for c in w)
+                count[row] += len(words)
                 for begin in range(0, len(words), self.room // 2):
                     some = words[begin : begin + self.room // 2]
-                    if self.used + len(some) > self.room:
+                    held += some
+                    owners.append((row, len(some)))
+                    if len(held) > self.room // 2:
                         add()
-                        self.reset()
-                    held.append(np.fromiter(map(self.__getitem__, some), np.int64, len(some)))
-                    owners.append(row)
-                    count[row] += len(some)
-        add()
+        if held:
+            add()
         out = [(UNDETERMINED, 0.0)] * len(texts)
         for row in np.nonzero(lettered)[0].tolist():
             mean = total[row] / count[row]

@@ -43,8 +43,8 @@ LONGEST = 4
 
 UNDETERMINED = "und"
 
-#: A score below this tells no language; four languages that a text says nothing about get 0.25 each.
-MIN_SCORE = 0.35
+#: How far a score must be on the way from chance, 1 in the number of languages, to 1 for a language to be told.
+MARGIN = 0.13
 
 #: Runs of letters; the few numeric characters that \w also holds do no harm.
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -285,14 +285,19 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     return df.select(id_col, text, F.xxhash64(text).alias("__hash")).mapInArrow(run, schema)
 
 
-def keep_identified(df: DataFrame, model: Model, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``df`` whose language can be told: not ``und`` and a score of ``min_score`` or more."""
-    shared = df.sparkSession.sparkContext.broadcast(astuple(model))
+def bar(languages: int, margin: float = MARGIN) -> float:
+    """The least score that tells one of so many languages."""
+    return 1 / languages + margin * (1 - 1 / languages) if languages else 0.0
+
+
+def keep_identified(df: DataFrame, model: Model, text: str = "text", margin: float = MARGIN) -> DataFrame:
+    """The rows of ``df`` whose language can be told: not ``und`` and a score that is by ``margin`` above chance."""
+    shared, least = df.sparkSession.sparkContext.broadcast(astuple(model)), bar(len(model.languages), margin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(_model(shared))
         for piece in pieces(batches, text):
             found = scorer.predict(piece.column(text).to_pylist())
-            yield piece.filter(pa.array([language != UNDETERMINED and score >= min_score for language, score in found], pa.bool_()))
+            yield piece.filter(pa.array([language != UNDETERMINED and score >= least for language, score in found], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

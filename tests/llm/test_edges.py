@@ -249,7 +249,7 @@ def test_language_against_a_plain_version(spark):
         assert r.lang_pred == expected[r.doc_id][0] and abs(r.score - expected[r.doc_id][1]) < 1e-4
     scores = sorted(s for _, s in expected.values())
     bar = (scores[len(scores) // 2] + scores[len(scores) // 2 + 1]) / 2
-    kept = sorted(r.doc_id for r in langid.keep_identified(df, model, min_score=bar).collect())
+    kept = sorted(r.doc_id for r in langid.keep_identified(df, model, margin=(bar - 1 / 3) / (2 / 3)).collect())
     assert kept == sorted(d for d, _, _ in rows if expected[d][1] >= bar) and 0 < len(kept) < len(rows)
 
 
@@ -549,7 +549,7 @@ def test_pipeline_against_a_plain_version(spark, tmp_path, vocabulary, reference
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     predict = plain_language(*zip(*[(t, k) for d, t, k in rows if t is not None and k is not None and zlib.crc32(str(d).encode()) % 5]))
-    stay = [(d, t, k) for d, t, k in rows if predict(t)[0] != "und" and predict(t)[1] >= langid.MIN_SCORE]
+    stay = [(d, t, k) for d, t, k in rows if predict(t)[0] != "und" and predict(t)[1] >= langid.bar(2)]
     groups = dict(zip([(d, t) for d, t, _ in stay], [g[2] for g in brute.simhash_groups([(d, t) for d, t, _ in stay])]))
     stay = list({(d, t): (d, t, k) for d, t, k in stay if groups[d, t] == d}.values())
     leaky = {r[0] for r in brute.leaks([(d, t) for d, t, _ in stay], [(1, item)]) if r[-1]}

@@ -83,6 +83,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+WARC = """SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN again THEN first_id END AS refers_to
+FROM (SELECT page_id, first_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+        strlen(payload) >= 100 AND first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id AS again
+    FROM (SELECT page_id, COALESCE(html, '') AS payload, MIN(page_id) OVER (PARTITION BY COALESCE(html, '')) AS first_id FROM pages))
+"""
+
 ORACLES = {
     "op3_substring_dedup": SUBSTRINGS,
     "op4_chat": CHAT,
@@ -90,4 +97,5 @@ ORACLES = {
     "op8_quality": QUALITY.format(share=MAX_SHARE),
     "op8_quality_any_host": QUALITY.format(share=0.0),
     "op8_quality_by_share": QUALITY.format(share=BY_SHARE),
+    "op12_warc": WARC,
 }

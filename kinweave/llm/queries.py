@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, pii, quality, sharding, simhash, substrings
+from . import bpe, chat, decontaminate, langid, licenses, pii, quality, sharding, simhash, spelling, substrings, warc, whitening
 from .oracles import ORACLES
 from .text import table
 
@@ -94,6 +94,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whole_entries(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license": op1_license,
     "op2_pii": op2_pii,
@@ -107,6 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_by_share": op8_quality_by_share,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
+    "op12_warc": op12_warc,
+    "op13_whitening": op13_whitening,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from .loop import RoundLimitReached, checkpoint, checkpoint_counted, fingerprint
 
-#: Edges of a graph that is solved inside one task.
+#: Edges of one of many keyed graphs that is solved inside one task.
 SMALL_EDGES = 200_000
 
+#: Edges that a task gathers before it reduces them to a forest.
+FOREST_EDGES = 1 << 20
+
 
 def connected_components(
     edges: DataFrame,
@@ -28,31 +31,33 @@ def connected_components(
 ) -> DataFrame:
     """``(*key, id, comp)`` with ``comp`` the smallest id reachable from ``id``.
 
-    Graphs of up to ``small`` edges, of which a keyed run usually has many, are solved whole inside
-    tasks (ids must be whole numbers), several at a time.  For larger ones the loop alternates large-star and small-star steps (Kiveris et al., 2014), which need O(log^2 n) rounds on any graph and only ``min`` aggregations that combine on
-    the map side, so a hub or a chain is no special case.  Edges are taken as
+    Where ids are whole numbers, each task first reduces its edges to a forest with the same components, and again after
+    each round, so that no more than a few edges for each vertex are ever shuffled.  The loop alternates large-star and small-star steps
+    (Kiveris et al., 2014), which need O(log^2 n) rounds on any graph and only ``min`` aggregations that combine on
+    the map side, so a hub or a chain is no special case.  Of many keyed graphs those of up to ``small`` edges are solved whole inside
+    tasks, several at a time; a graph without a key always lies in many tasks.  Edges are taken as
     undirected; self loops and rows with a null end are ignored.  A vertex without
     edges is its own component.  Raises :class:`RoundLimitReached` if
     ``max_rounds`` is not enough.
     """
     key = list(key)
     u, v = F.col("u"), F.col("v")
-    pairs = (
-        edges.select(*key, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-        .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (u != v))
-        .distinct()
+    pairs = edges.select(*key, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(
+        F.col(src).isNotNull() & F.col(dst).isNotNull() & (u != v)
     )
+    whole = pairs.schema["u"].dataType.typeName() == "long"
+    reduced = (lambda some: _forests(some, key)) if whole else (lambda some: some)
     sign = {"n": F.count(F.lit(1)), "s": fingerprint(*key, "u", "v")}
-    pairs, before = checkpoint_counted(pairs, **sign)
+    pairs, before = checkpoint_counted(reduced(pairs).distinct(), **sign)
     solved = None
-    if before["n"] and pairs.schema["u"].dataType.typeName() == "long":
-        little, pairs = _by_size(pairs, key, before["n"], small)
+    if key and whole and before["n"]:
+        little, pairs = _by_size(pairs, key, small)
         solved = _solved_in_tasks(little, key)
         pairs, before = checkpoint_counted(pairs, **sign)
     for _ in range(max_rounds):
         if not before["n"]:
             break
-        pairs, now = checkpoint_counted(_small_star(_large_star(pairs, key), key), **sign)
+        pairs, now = checkpoint_counted(reduced(_small_star(_large_star(pairs, key), key)), **sign)
         if now == before:
             break
         before = now
@@ -68,20 +73,36 @@ def connected_components(
     )
 
 
-def _by_size(pairs: DataFrame, key: list[str], n: int, small: int) -> tuple[DataFrame, DataFrame]:
+def _by_size(pairs: DataFrame, key: list[str], small: int) -> tuple[DataFrame, DataFrame]:
     """The edges of graphs with up to ``small`` edges, and those of the others."""
-    if not key:
-        none = pairs.where("false")
-        return (pairs, none) if n <= small else (none, pairs)
     sizes = checkpoint(pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
     of = lambda some: pairs.join(sizes.where(some).select(*key), key, "left_semi")
     return of(F.col("n") <= small), of(F.col("n") > small)
 
 
+def _forests(pairs: DataFrame, key: list[str]) -> DataFrame:
+    """Of each task's edges a forest that connects the same vertices: everybody linked to the smallest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(map(len, held)) < FOREST_EDGES:
+                continue
+            held = [_stars(pa.concat_tables(held), key)]
+            if len(held[0]) > FOREST_EDGES // 2:  # there is little left to reduce
+                yield from held.pop().to_batches()
+        if held:
+            yield from _stars(pa.concat_tables(held), key).to_batches()
+
+    names = [*key, "u", "v"]
+    return pairs.select(*names).mapInArrow(run, pairs.select(*names).schema)
+
+
 def _solved_in_tasks(pairs: DataFrame, key: list[str]) -> DataFrame:
     """``(*key, u, v)`` with ``v`` the smallest id that ``u`` is connected to; each keyed graph lies in one task."""
     group = F.xxhash64(F.lit(0), *key)
-    dealt = pairs.select(group.alias("__group"), *key, "u", "v").repartition("__group").sortWithinPartitions("__group", *key)
+    dealt = pairs.select(group.alias("__group"), *key, "u", "v").repartition("__group").sortWithinPartitions("__group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -91,32 +112,33 @@ def _solved_in_tasks(pairs: DataFrame, key: list[str]) -> DataFrame:
             numbers = held.column("__group").to_numpy()
             ends = np.nonzero(numbers[1:] != numbers[:-1])[0]
             if len(ends):  # the last graph may go on in the next batch
-                yield from solve(held.slice(0, int(ends[-1]) + 1))
+                yield from _stars(held.slice(0, int(ends[-1]) + 1), key).to_batches()
                 held = held.slice(int(ends[-1]) + 1)
         if held is not None:
-            yield from solve(held)
-
-    def solve(edges: pa.Table) -> Iterator[pa.RecordBatch]:
-        # a vertex is a pair of its graph's number and its id; pairs sort by graph, then id
-        edges = edges.combine_chunks()
-        fields = [edges.column(c) for c in ("__group", *key)]
-        changed = np.zeros(len(edges), bool)
-        for column in fields:
-            codes = column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            changed[1:] |= codes[1:] != codes[:-1]
-        graph = np.cumsum(changed)
-        ids, at = np.unique(np.concatenate([edges.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
-        vertices, number = np.unique(np.concatenate([graph, graph]) * len(ids) + at, return_inverse=True)
-        label = _smallest_reachable(number[: len(edges)], number[len(edges) :], len(vertices))
-        linked = np.nonzero(label != np.arange(len(vertices)))[0]
-        first = np.searchsorted(graph, vertices[linked] // len(ids))
-        picked = edges.select(key).take(pa.array(first)) if key else None
-        columns = [*(picked.columns if key else []), pa.array(ids[vertices[linked] % len(ids)]), pa.array(ids[vertices[label[linked]] % len(ids)])]
-        yield from pa.table(columns, names=[*key, "u", "v"]).to_batches()
+            yield from _stars(held, key).to_batches()
 
     return dealt.mapInArrow(run, pairs.select(*key, "u", "v").schema)
 
 
+def _stars(edges: pa.Table, key: list[str]) -> pa.Table:
+    """``(*key, u, v)`` with ``v`` the smallest id that these edges connect ``u`` to, for all ids but the smallest ones."""
+    graph = np.zeros(len(edges), np.int64)
+    for name in key:
+        column = edges.column(name).combine_chunks().dictionary_encode()
+        codes = column.indices.fill_null(len(column.dictionary)).to_numpy(zero_copy_only=False)
+        graph = np.unique(graph * (len(column.dictionary) + 1) + codes, return_inverse=True)[1]
+    # a vertex is a pair of its graph's number and its id; pairs sort by graph, then id
+    ids, at = np.unique(np.concatenate([edges.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+    vertices, number = np.unique(np.concatenate([graph, graph]) * len(ids) + at, return_inverse=True)
+    label = _smallest_reachable(number[: len(edges)], number[len(edges) :], len(vertices))
+    linked = np.nonzero(label != np.arange(len(vertices)))[0]
+    columns = [pa.array(ids[vertices[linked] % len(ids)]), pa.array(ids[vertices[label[linked]] % len(ids)])]
+    if key:
+        first = np.unique(graph, return_index=True)[1]
+        columns = [*edges.select(key).take(pa.array(first[vertices[linked] // len(ids)])).columns, *columns]
+    return pa.table(columns, names=[*key, "u", "v"])
+
+
 def _smallest_reachable(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """The smallest vertex that each of the vertices from 0 to n - 1 is connected to."""
     label = np.arange(n)

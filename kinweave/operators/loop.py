@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes up to which a table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
 class RoundLimitReached(RuntimeError):
     """A loop hit its round cap before it converged; its answer would be wrong."""
 
@@ -46,3 +50,8 @@ def checkpoint_counted(df: DataFrame, **aggregates) -> tuple[DataFrame, dict]:
 def fingerprint(*cols: str):
     """An order-independent aggregate: equal row sets give equal values."""
     return F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
+
+
+def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """``df``, which has been counted to have so many rows, marked for broadcast if these are few enough."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -23,12 +23,14 @@ def reply_counts(reply_of: DataFrame, comment_creator: DataFrame, knows: DataFra
 
     Replies to oneself and replies with an unknown author do not count.  Counting comes
     before the semi-join, so that only one row for each pair is joined with the friendships.
+    Replies of a store have their author as ``src`` and are joined once, bucket by bucket.
     """
-    author = comment_creator.select(F.col("comment_id"), F.col("person_id").alias("src"))
+    authored = reply_of
+    if "src" not in reply_of.columns:
+        authored = reply_of.join(comment_creator.select("comment_id", F.col("person_id").alias("src")), "comment_id")
     parent = comment_creator.select(F.col("comment_id").alias("parent_id"), F.col("person_id").alias("dst"))
     counts = (
-        reply_of.select("comment_id", "parent_id")
-        .join(author, "comment_id")
+        authored.select("parent_id", "src")
         .join(parent, "parent_id")
         .where("src != dst")
         .groupBy("src", "dst")

@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import prepare
-from ..operators.centrality import SMALL, centrality, distance_sums, geodesics, level_sizes, prune_by_bound, with_bound
-from ..operators.components import connected_components, largest_component
+from ..operators.centrality import BLOCK, SMALL, bit_distance_sums, centrality, geodesics, prune_by_bound, walk_bounds
+from ..operators.components import SMALL_EDGES, connected_components
 from ..operators.loop import checkpoint, checkpoint_counted
-from ..functions.scalars import common_tags
-from ..operators.paths import hop_distance, near_pairs, similar_pairs
-from ..operators.topk import largest, pairs_worth_scoring, top_k, top_k_by_part
+from ..operators.nested import nested_ranges
+from ..operators.paths import hop_distance, similar_pairs
+from ..operators.topk import largest, top_k, top_k_by_part
 from ..sources.io import format_answers, read_queries
 from ..sources.schema import Network
 
@@ -23,24 +23,35 @@ def shortest_paths(net: Network, params: DataFrame) -> DataFrame:
     return hop_distance(prepare.edge_weights(net.knows, counts), params)
 
 
+def date_numbers(dates: DataFrame, days: DataFrame) -> DataFrame:
+    """``(day, since)`` for different ``days`` (one column): how many of the different ``dates`` (one column) are not after it.
+
+    Both are days of the calendar, so what is ordered in one place has a row for each day at most.
+    """
+    asked = dates.toDF("day").where("day IS NOT NULL").distinct().withColumn("date", F.lit(1))
+    every = asked.union(days.toDF("day").where("day IS NOT NULL").distinct().withColumn("date", F.lit(0)))
+    merged = every.groupBy("day").agg(F.max("date").alias("date"))
+    return merged.select("day", F.sum("date").over(W.orderBy("day")).alias("since"))
+
+
 def audiences(net: Network, params: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(tag_id, person_id, since)``, and ``(qid, tag_id, since, size)`` of every query and tag with an audience.
+    """``(tag_id, person_id, since)``, and ``(qid, tag_id, since, own, size)`` of every query and tag with an audience.
 
     ``since`` numbers the different dates of the parameter table from 1; a person with number n was
     born on or after the first n dates, so people and queries meet by numbers and nobody is copied for each query.
+    ``own`` is the number of the oldest person of the audience, by which all dates with the same audience are known.
     """
-    dates = sorted(r.d for r in params.select("d").distinct().collect() if r.d is not None)
-    born = net.person.select(F.col("id").alias("person_id"), "birthday")
-    since = F.size(F.filter(F.lit(dates).cast("array<date>"), lambda d: d <= F.col("birthday")))
-    people = net.interest.select("person_id", "tag_id").distinct().join(born, "person_id").select("tag_id", "person_id", since.alias("since"))
-    people = checkpoint(people.where("since > 0"))
+    numbers = checkpoint(date_numbers(params.select("d"), net.person.select("birthday").union(params.select("d"))))
+    born = net.person.select(F.col("id").alias("person_id"), F.col("birthday").alias("day")).join(numbers.where("since > 0"), "day")
+    people = net.interest.select("person_id", "tag_id").distinct().join(born.select("person_id", "since"), "person_id")
+    people = checkpoint(people.select("tag_id", "person_id", "since"))
     later = W.partitionBy("tag_id").orderBy(F.desc("since"))  # one row for each date
     counted = people.groupBy("tag_id", "since").agg(F.count(F.lit(1)).alias("n"))
     # born on or after the k-th date: those of the smallest number from k on, and all beyond
-    reached = counted.select("tag_id", "since", F.sum("n").over(later).alias("size"), F.coalesce(F.lead("since").over(later), F.lit(0)).alias("below"))
-    spread = reached.select("tag_id", F.explode(F.sequence(F.col("below") + 1, F.col("since"))).alias("since"), "size")
-    number = params.select("qid", F.size(F.filter(F.lit(dates).cast("array<date>"), lambda d: d <= F.col("d"))).alias("since"))
-    return people, number.where("since > 0").join(spread, "since").select("qid", "tag_id", "since", "size")
+    reached = counted.select("tag_id", F.col("since").alias("own"), F.sum("n").over(later).alias("size"), F.coalesce(F.lead("since").over(later), F.lit(0)).alias("below"))
+    spread = reached.select("tag_id", "own", "size", F.explode(F.sequence(F.col("below") + 1, F.col("own"))).alias("since"))
+    number = params.select("qid", F.col("d").alias("day")).join(numbers, "day").select("qid", "since")
+    return people, number.join(spread, "since").select("qid", "tag_id", "since", "own", "size")
 
 
 def audience_members(people: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -50,42 +61,27 @@ def audience_members(people: DataFrame, wanted: DataFrame) -> DataFrame:
     return members.select("qid", "tag_id", F.col("person_id").alias("id"))
 
 
-def _ranges(net: Network, people: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(qid, tag_id, range)`` for the wanted ``(qid, tag_id, since)``."""
-    key = ["qid", "tag_id"]
-    members = checkpoint(audience_members(people, wanted))
-    edges = prepare.induced_edges(net.knows, members, key)
-    return largest_component(connected_components(edges, members, key), key)
-
-
-def tag_ranges(net: Network, params: DataFrame) -> DataFrame:
+def tag_ranges(net: Network, params: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     """``(qid, tag_id, range)``: the largest connected young audience of every tag.
 
-    Tags nobody born on or after ``d`` is interested in do not appear.
+    Tags nobody born on or after ``d`` is interested in do not appear.  A friendship counts from the earlier of its two birthdays
+    on, so the graphs of a tag contain one another and are solved together, however many dates are asked for.
     """
-    return _ranges(net, *audiences(net, params))
-
+    people, sizes = audiences(net, params)
+    end = lambda name: people.select("tag_id", F.col("person_id").alias(name), F.col("since").alias(f"since_{name}"))
+    edges = net.knows.where("src < dst").join(end("src"), "src").join(end("dst"), ["tag_id", "dst"])
+    edges = edges.select("tag_id", "src", "dst", F.least("since_src", "since_dst").alias("weight"))
+    vertices = people.select("tag_id", F.col("person_id").alias("id"), F.col("since").alias("weight"))
+    ranges = nested_ranges(edges, vertices, ["tag_id"], small).withColumnRenamed("weight", "own")
+    return sizes.join(ranges, ["tag_id", "own"]).select("qid", "tag_id", "range")
 
-def top_tags(net: Network, params: DataFrame) -> DataFrame:
-    """``(qid, rank, tag, range)`` for ``params`` ``(qid, k, d)``: range descending, name ascending (Q2).
 
-    No range exceeds its audience.  So each query's ``k`` largest audiences are searched first, and of
-    the other tags only those whose audience reaches the k-th range.
-    """
+def top_tags(net: Network, params: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
+    """``(qid, rank, tag, range)`` for ``params`` ``(qid, k, d)``: range descending, name ascending (Q2)."""
     params, order = checkpoint(params), [F.desc("range"), F.asc("tag"), F.asc("tag_id")]
-    most, asked = largest(params), params.select("qid", "k")
-    people, sizes = audiences(net, params)
-    sizes = checkpoint(sizes.join(asked, "qid"))
-    head = checkpoint(top_k(sizes, ["qid"], [F.desc("size"), F.asc("tag_id")], "k", most))
-    found = checkpoint(_ranges(net, people, head))
-    kth = found.join(asked, "qid").withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("range"))))
-    kth = kth.where("n = k").select("qid", F.col("range").alias("floor"))
-    rest = sizes.join(head, ["qid", "tag_id"], "left_anti").join(kth, "qid").where("size >= floor")
-    rest, seen = checkpoint_counted(rest.select("qid", "tag_id", "since"), n=F.count(F.lit(1)))
-    if seen["n"]:
-        found = found.union(_ranges(net, people, rest))
     names = net.tag.select(F.col("id").alias("tag_id"), F.col("name").alias("tag"))
-    return top_k(found.join(names, "tag_id").join(asked, "qid"), ["qid"], order, "k", most).select("qid", "rank", "tag", "range")
+    found = tag_ranges(net, params, small).join(names, "tag_id").join(params.select("qid", "k"), "qid")
+    return top_k(found, ["qid"], order, "k", largest(params)).select("qid", "rank", "tag", "range")
 
 
 def place_members(net: Network, wanted: DataFrame) -> DataFrame:
@@ -98,38 +94,34 @@ def place_members(net: Network, wanted: DataFrame) -> DataFrame:
     return prepare.people_in_place(closure, at).join(roots, "root").select("place", "person_id")
 
 
-#: Pairs for each one wanted that are scored to set a floor for the others.
-HEAD = 4
+#: Members of a place who are searched first: so many for each pair wanted.
+HEAD = 32
 
 
 def similar_pairs_in_place(net: Network, params: DataFrame) -> DataFrame:
     """``(qid, rank, a, b, common)`` for ``params`` ``(qid, k, h, place)`` (Q3).
 
-    Two people have at most as many tags in common as either has.  So some pairs of each query for whom that is most
-    are scored first, and of the others only those who can reach the k-th score.
+    Two people have at most as many tags in common as either has.  So the members with the most tags are searched first, and
+    the k-th score among them is the least number of tags that another member must have to matter: pairs near each
+    other are sought only among those who do.  Where the first have fewer than k pairs, everybody is searched.
     """
     params = checkpoint(params)
     most, asked = largest(params), params.select("qid", "k")
-    members = place_members(net, params).join(params, "place").select("qid", "h", F.col("person_id").alias("id"))
     tags = checkpoint(prepare.person_tags(net.interest, net.person))
-    n_tags = lambda end: tags.select(F.col("person_id").alias(end), F.col("n_tags").alias(f"n_tags_{end}"))
-    pairs = near_pairs(net.knows, members).join(n_tags("a"), "a").join(n_tags("b"), "b").join(asked, "qid")
-    pairs = checkpoint(pairs)
+    members = place_members(net, params).join(params, "place").select("qid", "k", "h", "person_id")
+    members = checkpoint(members.join(tags.select("person_id", "n_tags"), "person_id").withColumn("head", F.col("k") * HEAD))
     best = [F.desc("common"), F.asc("a"), F.asc("b")]
-    bound = [F.desc(F.least("n_tags_a", "n_tags_b")), F.asc("a"), F.asc("b")]
-    head = checkpoint(top_k(pairs.withColumn("head", F.col("k") * HEAD), ["qid"], bound, "head", most * HEAD).drop("rank", "head"))
-    scored = checkpoint(_scored(head, tags))
-    kth = top_k(scored, ["qid"], best, "k", most).where("rank = k").select("qid", F.col("common").alias("kth"))
-    rest = pairs.join(head.select("qid", "a", "b"), ["qid", "a", "b"], "left_anti").join(kth, "qid")
-    found = scored.union(_scored(pairs_worth_scoring(rest, "kth").drop("kth"), tags))
-    return top_k(found, ["qid"], best, "k", most).select("qid", "rank", "a", "b", "common")
+    head = top_k(members, ["qid"], [F.desc("n_tags"), F.asc("person_id")], "head", most * HEAD)
+    first = _best_pairs(net, head, tags, asked, best, most)
+    floor = first.where("rank = k").select("qid", F.col("common").alias("floor"))
+    worth = members.join(floor, "qid", "left").where(F.col("n_tags") >= F.coalesce("floor", F.lit(0)))
+    return _best_pairs(net, checkpoint(worth), tags, asked, best, most).select("qid", "rank", "a", "b", "common")
 
 
-def _scored(pairs: DataFrame, tags: DataFrame) -> DataFrame:
-    """``(qid, k, a, b, common)`` of some pairs."""
-    of = lambda end: tags.select(F.col("person_id").alias(end), F.col("tags").alias(f"tags_{end}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.select("qid", "k", "a", "b", common_tags("tags_a", "tags_b").alias("common"))
+def _best_pairs(net: Network, members: DataFrame, tags: DataFrame, asked: DataFrame, best: list, most: int) -> DataFrame:
+    """The ``k`` best of the near pairs of some members."""
+    found = similar_pairs(net.knows, members.select("qid", "h", F.col("person_id").alias("id")), tags).join(asked, "qid")
+    return checkpoint(top_k(found, ["qid"], best, "k", most))
 
 
 def tag_people(net: Network, wanted: DataFrame) -> DataFrame:
@@ -140,12 +132,13 @@ def tag_people(net: Network, wanted: DataFrame) -> DataFrame:
     return people.join(chosen, "tag_id").select("tag", F.col("person_id").alias("id"))
 
 
-def central_people(net: Network, params: DataFrame, prune: bool = True) -> DataFrame:
+def central_people(net: Network, params: DataFrame, prune: bool = True, small: int = SMALL, wave: int = BLOCK) -> DataFrame:
     """``(qid, rank, id, r, s, centrality)`` for ``params`` ``(qid, k, tag)`` (Q4).
 
     Each wanted tag is searched once, however many queries name it.  With ``prune``, members of
-    components too large for one task are searched in waves, those with the best bounds first; after each, the k-th
-    best score so far drops all whose bound does not reach it; the result is the same.
+    components of more than ``small`` people are searched in waves, those with the best bounds first; after each, the k-th
+    best score so far drops all whose bound does not reach it, and searches that can no longer reach it break off; the
+    result is the same.
     """
     key = ["tag"]
     members = checkpoint(tag_people(net, params))
@@ -153,36 +146,39 @@ def central_people(net: Network, params: DataFrame, prune: bool = True) -> DataF
     comp = checkpoint(connected_components(edges, members, key))
     sizes = comp.groupBy("tag", "comp").agg(F.count(F.lit(1)).alias("n"))
     placed = comp.join(sizes, ["tag", "comp"])
-    large = checkpoint(placed.where(F.col("n") > SMALL).select("tag", "id", "comp"))
+    large = checkpoint(placed.where(F.col("n") > small).select("tag", "id", "comp"))
     if not prune or large.isEmpty():
-        found = centrality(geodesics(edges, members, key, comp), members, key)
+        found = centrality(geodesics(edges, members, key, comp, small), members, key)
     else:
         rest = comp.join(large, ["tag", "id"], "left_anti")
-        found = centrality(geodesics(edges, rest, key, rest), rest, key).union(_pruned(edges, large, params, key))
+        found = centrality(geodesics(edges, rest, key, rest, small), rest, key)
+        found = found.union(search_in_waves(edges, large, params, key, wave))
     placed = found.join(comp, ["tag", "id"]).join(params, "tag")
     ranked = top_k_by_part(placed, ["qid"], "comp", [F.desc("centrality"), F.asc("id")], "k", largest(params))
     return ranked.select("qid", "rank", "id", "r", "s", "centrality")
 
 
-def _pruned(edges: DataFrame, large: DataFrame, params: DataFrame, key: list[str], growth: int = 4) -> DataFrame:
-    """Scores of the members of large components who can be among the best of their tag.
+def search_in_waves(edges: DataFrame, large: DataFrame, params: DataFrame, key: list[str], wave: int = BLOCK, growth: int = 4) -> DataFrame:
+    """Scores of the members ``(*key, id, comp)`` of large components who can be among the best of their tag.
 
     A wave takes of each tag the candidates with the best bounds, ``growth`` times as many as the one before, so there are
-    few waves and a wave is not much larger than what a search one by one would have tried.
+    few waves and a wave is not much larger than what a search one by one would have tried.  Bounds come from counts of walks;
+    what a search has seen so far takes their place once it runs.
     """
     wanted = checkpoint(params.groupBy(*key).agg(F.max("k").alias("most")))
-    left = checkpoint(with_bound(level_sizes(edges, large, key), large, key).where("r > 0"))
+    left = checkpoint(walk_bounds(edges, large, key).where("r > 0"))
     promising = [F.desc(F.col("r") * F.col("r") / F.col("bound")), F.asc("id")]
-    size, most, found = largest(wanted, "most"), largest(wanted, "most"), None
+    size, most = max(wave, largest(wanted, "most")), largest(wanted, "most")
+    floors, found = wanted.select(*key, F.lit(None).cast("double").alias("floor")), None
     while True:
-        wave, seen = checkpoint_counted(top_k(left, key, promising, size).select(*key, "id"), n=F.count(F.lit(1)))
+        tried, seen = checkpoint_counted(top_k(left, key, promising, size).select(*key, "id", "r"), n=F.count(F.lit(1)))
         if not seen["n"]:
-            return found if found is not None else centrality(distance_sums(edges, wave, key), wave, key)
-        scored = centrality(distance_sums(edges, wave, key), wave, key)
+            return found if found is not None else centrality(bit_distance_sums(edges, tried, key), tried, key)
+        scored = centrality(bit_distance_sums(edges, tried, key, tried.join(floors, key, "left")), tried, key)
         found = checkpoint(scored if found is None else found.union(scored))
         best = top_k(found.join(wanted, key), key, [F.desc("centrality"), F.asc("id")], "most", most)
-        kth = best.where("rank = most").select(*key, F.col("centrality").alias("floor"))
-        left = checkpoint(prune_by_bound(left.join(wave, [*key, "id"], "left_anti"), kth, key))
+        floors = checkpoint(best.where("rank = most").select(*key, F.col("centrality").alias("floor")))
+        left = checkpoint(prune_by_bound(left.join(tried, [*key, "id"], "left_anti"), floors, key))
         size *= growth
 
 

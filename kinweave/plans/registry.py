@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import centrality, components, cover, paths, prepare, sketch, topk
 from ..operators.loop import checkpoint, ensure_checkpoint_dir
-from ..sources import bindings, io
+from ..sources import bindings, io, store
 from ..sources.schema import FILES, Network
 from . import queries as plans
 
@@ -173,6 +173,36 @@ def _through_files(spark: SparkSession, net: Network) -> Network:
     return io.read_network(spark, folder)
 
 
+def _stored(spark: SparkSession, net: Network) -> str:
+    """The network written into a store."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    store.write(net, folder, buckets=8)
+    return folder
+
+
+@query("a1_store_profile", _COUNTS.join(["=> ", ""]))
+def _(spark, sf_dir, net):
+    """The relations of a store, by its manifest and by what is read from it."""
+    folder = _stored(spark, net)
+    counted = io.profile(store.read_store(spark, folder))
+    return counted.join(store.manifest(spark, folder).select("name", "rows"), ["name", "rows"])
+
+
+@query("a1_quarantine", """=> SELECT 'person' AS name, COUNT(*) FILTER (id % 7 <> 0) AS "rows", COUNT(*) FILTER (id % 7 = 0) AS bad_rows FROM person
+    UNION ALL SELECT 'knows', COUNT(*) FILTER (src % 7 <> 0), COUNT(*) FILTER (src % 7 = 0) FROM knows""")
+def _(spark, sf_dir, net):
+    """People without a birthday and friendships of nobody known are set aside and counted."""
+    person = net.person.select(F.col("id").cast("string"), F.when(F.col("id") % 7 != 0, F.col("birthday").cast("string")).otherwise("1970-13-01").alias("birthday"))
+    knows = net.knows.select(F.when(F.col("src") % 7 != 0, F.col("src").cast("string")).otherwise("x").alias("src"), F.col("dst").cast("string"))
+    counted = []
+    for name, raw in (("person", person), ("knows", knows)):
+        good, bad = store.typed(raw, name)
+        rows = good.select(F.lit(True).alias("good")).union(bad.select(F.lit(False)))
+        counted.append(rows.agg(F.count_if("good").alias("rows"), F.count_if(~F.col("good")).alias("bad_rows")).select(F.lit(name).alias("name"), "*"))
+    return counted[0].union(counted[1])
+
+
 @query("a1_read_network", _COUNTS.join(["=> ", ""]))
 def _(spark, sf_dir, net):
     return io.profile(_through_files(spark, net))
@@ -269,6 +299,13 @@ def _(spark, sf_dir, net):
     return prepare.reply_counts(net.reply_of, net.comment_creator, net.knows)
 
 
+@query("c2_reply_counts_from_store", "=> SELECT r.* FROM replies r JOIN knows k ON k.src = r.src AND k.dst = r.dst")
+def _(spark, sf_dir, net):
+    """Replies with their authors, in buckets: no shuffle before the counting."""
+    kept = store.read_store(spark, _stored(spark, net))
+    return prepare.reply_counts(kept.reply_of, kept.comment_creator, kept.knows)
+
+
 @query("c3_edge_weights", "=> SELECT * FROM weights")
 def _(spark, sf_dir, net):
     return _weights(net)
@@ -438,6 +475,12 @@ def _(spark, sf_dir, net):
     return plans.tag_ranges(net, params(spark, sf_dir, YOUNG))
 
 
+@query("g4_tag_largest_component_halved", '=> SELECT qid, tag_id, "range" FROM young_range')
+def _(spark, sf_dir, net):
+    """The way of tags with more friendships than one task shall hold, for all tags."""
+    return plans.tag_ranges(net, params(spark, sf_dir, YOUNG), small=0)
+
+
 @query("g5_hop_distance", "=> SELECT qid, CAST(hops AS BIGINT) AS hops FROM hops")
 def _(spark, sf_dir, net):
     return paths.hop_distance(_weights(net), params(spark, sf_dir, PAIRS))
@@ -531,6 +574,11 @@ def _(spark, sf_dir, net):
     return centrality.distance_sums(*_fan_graph(net), KEY)
 
 
+@query("g9_geodesics_by_bits", "=> SELECT tag_id, id, r, s FROM fan_levels")
+def _(spark, sf_dir, net):
+    return centrality.bit_distance_sums(*_fan_graph(net), KEY)
+
+
 @query("g10_closeness", "=> SELECT tag_id, id, r, s, r * r * 1.0::DOUBLE / s AS centrality FROM fan_levels WHERE r > 0")
 def _(spark, sf_dir, net):
     return centrality.closeness(*_fan_graph(net), KEY)
@@ -679,6 +727,12 @@ def _(spark, sf_dir, net):
     return plans.central_people(net, params(spark, sf_dir, TOPICS))
 
 
+@query("q4_central_people_by_waves", "=> SELECT * FROM best_people")
+def _(spark, sf_dir, net):
+    """Every component of more than eight people is searched in waves, beginning with its tag's eight best bounds."""
+    return plans.central_people(net, params(spark, sf_dir, TOPICS), small=8, wave=8)
+
+
 def _batch(spark: SparkSession, sf_dir: str) -> str:
     """A batch file with the parameters of all four kinds."""
     ensure_checkpoint_dir(spark)
@@ -722,11 +776,20 @@ def _(spark, sf_dir, net):
     return io.format_answers(net.person.select(F.col("id").alias("qid")), (ranked, F.col("dst")))
 
 
-@query("q5_answer_batch", """=> SELECT CAST(ROW_NUMBER() OVER (ORDER BY kind, qid) - 1 AS BIGINT) AS qid, answer FROM (
+_ANSWERS = """=> SELECT CAST(ROW_NUMBER() OVER (ORDER BY kind, qid) - 1 AS BIGINT) AS qid, answer FROM (
     SELECT 1 AS kind, qid, CAST(hops AS VARCHAR) AS answer FROM hops
     UNION ALL SELECT 2, qid, COALESCE(answer, '') FROM ([YOUNG]) LEFT JOIN (SELECT qid, string_agg(tag, ' ' ORDER BY "rank") AS answer FROM best_tags GROUP BY 1) USING (qid)
     UNION ALL SELECT 3, qid, COALESCE(answer, '') FROM ([NEARBY]) LEFT JOIN (SELECT qid, string_agg(a || '|' || b, ' ' ORDER BY "rank") AS answer FROM best_pairs GROUP BY 1) USING (qid)
-    UNION ALL SELECT 4, qid, COALESCE(answer, '') FROM ([TOPICS]) LEFT JOIN (SELECT qid, string_agg(id, ' ' ORDER BY "rank") AS answer FROM best_people GROUP BY 1) USING (qid))""")
+    UNION ALL SELECT 4, qid, COALESCE(answer, '') FROM ([TOPICS]) LEFT JOIN (SELECT qid, string_agg(id, ' ' ORDER BY "rank") AS answer FROM best_people GROUP BY 1) USING (qid))"""
+
+
+@query("q5_answer_batch", _ANSWERS)
 def _(spark, sf_dir, net):
     """A batch file with the parameters of all four kinds, written, read and answered."""
     return plans.answer_batch(spark, net, _batch(spark, sf_dir))
+
+
+@query("q5_answer_batch_from_store", _ANSWERS)
+def _(spark, sf_dir, net):
+    """All four reports read the same stored relations."""
+    return plans.answer_batch(spark, store.read_store(spark, _stored(spark, net)), _batch(spark, sf_dir))

@@ -13,21 +13,27 @@ from .schema import FILES, Network
 _TYPES = {"long": LongType(), "string": StringType(), "date": DateType()}
 
 
-def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One relation of a CSV network: ``|`` between fields, one header line, columns by position.
+def raw_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """The columns of one relation of a CSV network as text: ``|`` between fields, one header line, columns by position.
 
     Files may have more columns than are read; the reader drops what the schema does not name.
-    A field that is no number or date where one belongs is an error under Spark's ANSI mode, the default.
     """
     file, columns = FILES[name]
-    at = {position: (column, kind) for column, kind, position in columns}
-    layout = [
-        StructField(at[i][0] if i in at else f"_ignored{i}", StringType()) for i in range(max(at) + 1)
-    ]
+    at = {position: column for column, _, position in columns}
+    layout = [StructField(at.get(i, f"_ignored{i}"), StringType()) for i in range(max(at) + 1)]
     raw = spark.read.csv(
         f"{directory}/{file}", schema=StructType(layout), sep="|", header=True, enforceSchema=True, quote="", mode="PERMISSIVE"
     )
-    return raw.select(*[F.col(column).cast(_TYPES[kind]).alias(column) for column, kind, _ in columns])
+    return raw.select(*[column for column, _, _ in columns])
+
+
+def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """As :func:`raw_table`, typed.
+
+    A field that is no number or date where one belongs is an error under Spark's ANSI mode, the default;
+    a store (``store.ingest``) sets such rows aside instead.
+    """
+    return raw_table(spark, directory, name).select(*[F.col(column).cast(_TYPES[kind]).alias(column) for column, kind, _ in FILES[name][1]])
 
 
 def read_network(spark: SparkSession, directory: str, fmt: str = "csv", symmetrize: bool = True) -> Network:

@@ -23,7 +23,7 @@ def keyed(spark, graphs):
 
 @pytest.fixture(scope="module")
 def graphs():
-    return {seed: random_graph(seed, N, 30 + 5 * seed) for seed in range(4)} | {9: both_ways([(i, i + 1) for i in range(30)])}
+    return {seed: random_graph(seed, N, 30 + 5 * seed) for seed in range(4)} | {9: both_ways([(i, i + 1) for i in range(14)])}
 
 
 @pytest.mark.parametrize("small", [components.SMALL_EDGES, 40, 0])

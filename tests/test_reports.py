@@ -91,11 +91,11 @@ def test_central_people(spark, net):
     assert rows(plans.central_people(net, params, prune=False)) == found
 
 
-def test_pruned_search_of_large_components(spark, net, monkeypatch):
+def test_pruned_search_of_large_components(spark, net):
     params = spark.createDataFrame([(0, 2, "alpha"), (1, 3, "beta")], "qid long, k int, tag string")
     plain = rows(plans.central_people(net, params))
-    monkeypatch.setattr(plans, "SMALL", 1)
-    assert rows(plans.central_people(net, params)) == plain
+    for wave in (1, 8):
+        assert rows(plans.central_people(net, params, small=1, wave=wave)) == plain
 
 
 def test_batch(spark, net, tmp_path):

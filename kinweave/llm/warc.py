@@ -43,9 +43,10 @@ from .text import BROADCAST_BYTES, pieces
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 100
 
-#: Bytes of a WARC member, of one read, and of the tail that is read for the end record.
+#: Bytes of a WARC member, of one read, of what a task reads, and of the tail that is read for the end record.
 MEMBER_BYTES = 8 << 20
-READ_BYTES = 4 << 20
+READ_BYTES = 1 << 20
+TASK_BYTES = 256 << 20
 TAIL_BYTES = 22 + 65535 + 20
 
 #: Shares into which pages with equal payloads are dealt when their digests are joined by a shuffle.
@@ -306,7 +307,10 @@ def read_packages(spark: SparkSession, folder: str, payloads: bool = True) -> Da
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         files = files.select("path", "length", "content")
     chunks = files.mapInArrow(_chunks, "path string, content binary, at long, length long, places array<struct<at: long, length: long>>")
-    dealt = chunks.repartition(F.xxhash64("path", "at"))
+    # what a task reads is not what the chunks weigh, so Spark is told how many tasks that takes
+    held = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_BYTES))
+    dealt = chunks.repartition(tasks, "path", "at")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

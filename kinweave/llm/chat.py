@@ -9,10 +9,8 @@ in common.  Spans of a template that rewrites would belong to outputs that no lo
 none are returned; its texts are looked for in the final output, by probes there, and those
 that it has dropped are in no loss span.
 
-Rendering every prefix of a conversation of n turns takes O(n^2) characters.  A template
-may promise a ``reach``: what it writes for a turn depends on so many turns before it and no
-others.  Its prefixes are then rendered from there on, and the whole is rendered once and must be
-what the pieces make; if it is not, the promise is broken and all prefixes are rendered.
+Every prefix is rendered whole, as a template may rewrite history for some lengths only; for a conversation of n turns that takes
+O(n^2) characters.
 
 A template needs its whole conversation, so one conversation must fit in a task.
 
@@ -58,10 +56,6 @@ def chatml(messages: list[Message]) -> str:
     return "".join(f"{START}{escape(role, True)}\n{escape(text)}{END}\n" for role, text in messages)
 
 
-#: What :func:`chatml` writes for a turn depends on no other turn; one before it is rendered to compare with.
-CHATML_REACH = 1
-
-
 def parse_chatml(formatted: str) -> list[tuple[str, int, int]]:
     """``(role, start, end)`` of each text in the output of :func:`chatml`."""
     found, at = [], 0
@@ -99,14 +93,10 @@ def _text_span(messages: list[Message], k: int, end: int, whole: str, render) ->
     return (head, stop) if same else None
 
 
-def turn_spans(
-    messages: list[Message], render: Callable[[list[Message]], str], reach: int | None = None
-) -> tuple[str, list[tuple[int, int]], list[tuple[int, int] | None], bool]:
+def turn_spans(messages: list[Message], render: Callable[[list[Message]], str]) -> tuple[str, list[tuple[int, int]], list[tuple[int, int] | None], bool]:
     """The whole output, the span of each turn (of none, if the template rewrites history), the
     span of each text or None, and whether the template rewrites history."""
     whole = render(messages) if messages else ""
-    if reach is not None and (found := _by_reach(messages, render, reach)) is not None and found[0] == whole:
-        return whole, found[1], found[2], False
     spans, texts, before = [], [], ""
     for k in range(len(messages)):
         after = render(messages[: k + 1])
@@ -118,26 +108,9 @@ def turn_spans(
     return whole, spans, texts, False
 
 
-def _by_reach(messages: list[Message], render, reach: int):
-    """The pieces of all turns, each rendered with ``reach`` turns before it; None if one rewrites these."""
-    pieces, spans, texts, at = [], [], [], 0
-    for k in range(len(messages)):
-        near = messages[max(0, k - reach) : k + 1]
-        before, after = render(near[:-1]) if len(near) > 1 else "", render(near)
-        if not after.startswith(before):
-            return None
-        shift, text = at - len(before), _text_span(near, len(near) - 1, len(near), after, render)
-        pieces.append(after[len(before) :])
-        spans.append((at, at + len(pieces[-1])))
-        texts.append(text and (text[0] + shift, text[1] + shift))
-        at = spans[-1][1]
-    return "".join(pieces), spans, texts
-
-
 def format_conversations(
     df: DataFrame,
     render: Callable[[list[Message]], str] = chatml,
-    reach: int | None = None,
     conv: str = "conv_id",
     turn: str = "turn",
     role: str = "role",
@@ -147,8 +120,7 @@ def format_conversations(
     """``(conv, formatted, spans, loss, rewrites)`` of each conversation.
 
     ``spans`` are the turns' starts and ends in ``formatted``, ``loss`` those of the
-    texts of ``loss_role``, both flat lists in order.  ``reach`` is what ``render`` promises, ``CHATML_REACH``
-    for the template of this module; with None, which suits any, every prefix is rendered whole.
+    texts of ``loss_role``, both flat lists in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +135,7 @@ def format_conversations(
             )
 
         def close() -> None:
-            whole, spans, texts, rewrites = turn_spans(messages, render, reach)
+            whole, spans, texts, rewrites = turn_spans(messages, render)
             loss = [x for (r, _), s in zip(messages, texts) if r == loss_role and s for x in s]
             out.append((current, whole, [x for s in spans for x in s], loss, rewrites))
 

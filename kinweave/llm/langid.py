@@ -80,18 +80,22 @@ class Model:
 
 
 def sample(df: DataFrame, id_col: str, text: str, lang: str, max_rows: int, max_bytes: int) -> DataFrame:
-    """``(lang, text)`` of the labelled rows to fit on: a like share of all rows of a language."""
+    """``(lang, text)`` of the labelled rows to fit on: a like share of all rows of a language, and at least one of each.
+
+    Rows are taken by a hash of theirs; the first one in that order is taken whatever the bounds are, a text beyond ``max_bytes``
+    letters in part.
+    """
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(_STEPS))
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(id_col).alias("id")
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), place.alias("place")
     )
-    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("held"))
+    found = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("held"), F.min("place").alias("first"))
     found = found.limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} different labels")
-    shares = [(r.lang, int(_STEPS * min(1, max_rows / r.n, max_bytes / max(r.held, 1)))) for r in found]
+    shares = [(r.lang, max(r.first + 1, int(_STEPS * min(1, max_rows / r.n, max_bytes / max(r.held, 1))))) for r in found]
     steps = F.broadcast(df.sparkSession.createDataFrame(shares, "lang string, steps long"))
-    chosen = F.pmod(F.xxhash64("id", "text"), F.lit(_STEPS)) < F.col("steps")
-    return labelled.join(steps, "lang").where(chosen).select("lang", "text")
+    return labelled.join(steps, "lang").where("place < steps").select("lang", F.substring("text", 1, max_bytes).alias("text"))
 
 
 def fit(

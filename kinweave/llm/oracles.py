@@ -90,6 +90,9 @@ FROM (SELECT page_id, first_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes
     FROM (SELECT page_id, COALESCE(html, '') AS payload, MIN(page_id) OVER (PARTITION BY COALESCE(html, '')) AS first_id FROM pages))
 """
 
+#: Documents that may hold a line where the limit shall be exceeded in small tables, too.
+LOW_LIMIT = 5
+
 ORACLES = {
     "op3_substring_dedup": SUBSTRINGS,
     "op4_chat": CHAT,
@@ -97,5 +100,6 @@ ORACLES = {
     "op8_quality": QUALITY.format(share=MAX_SHARE),
     "op8_quality_any_host": QUALITY.format(share=0.0),
     "op8_quality_by_share": QUALITY.format(share=BY_SHARE),
+    "op8_quality_low_limit": QUALITY.format(share=MAX_SHARE).replace(f"> {MIN_DOCS} AND", f"> {LOW_LIMIT} AND"),
     "op12_warc": WARC,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, langid, licenses, pii, quality, sharding, simhash, spelling, substrings, warc, whitening
-from .oracles import ORACLES
+from .oracles import LOW_LIMIT, ORACLES
 from .text import table
 
 
@@ -39,7 +39,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT -1L AS conv_id, t AS turn, IF(t = 0, 'user', 'assistant') AS role, :text AS text FROM range(2) AS r(t)",
         args={"text": CONTROL},
     )
-    return chat.read_back(chat.format_conversations(rows.unionByName(more), reach=chat.CHATML_REACH))
+    return chat.read_back(chat.format_conversations(rows.unionByName(more)))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,11 @@ def op8_quality_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), max_share=quality.BY_SHARE)
 
 
+def op8_quality_low_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a limit that lines exceed in small tables, too."""
+    return quality.judge(table(spark, sf_dir, "documents"), min_docs=LOW_LIMIT)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op8_quality_any_host": op8_quality_any_host,
     "op8_quality_by_share": op8_quality_by_share,
+    "op8_quality_low_limit": op8_quality_low_limit,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
     "op11_spelling": op11_spelling,

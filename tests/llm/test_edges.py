@@ -176,15 +176,12 @@ def test_chat_spans_in_the_final_output(n):
         (numbers, n > 1, lambda i: True),
         (hides, n > 33, lambda i: True),
     ):
-        for reach in (None, 1):
-            whole, spans, texts, found = chat.turn_spans(messages, render, reach)
-            assert whole == render(messages)
-            if render is not hides or reach is None:
-                assert found == rewrites
-            assert [whole[s[0] : s[1]] if s else None for s in texts] == [t if there(i) else None for i, (_, t) in enumerate(messages)]
-            assert (spans == []) == found
-            if spans:
-                assert "".join(whole[a:b] for a, b in spans) == whole and len(spans) == n
+        whole, spans, texts, found = chat.turn_spans(messages, render)
+        assert whole == render(messages) and found == rewrites
+        assert [whole[s[0] : s[1]] if s else None for s in texts] == [t if there(i) else None for i, (_, t) in enumerate(messages)]
+        assert (spans == []) == found
+        if spans:
+            assert "".join(whole[a:b] for a, b in spans) == whole and len(spans) == n
 
 
 def test_chat_loss_of_rewriting_templates(spark):

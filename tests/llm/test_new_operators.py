@@ -13,7 +13,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from kinweave.llm import oracles, queries, spelling, warc, whitening
+from kinweave.llm import langid, oracles, queries, spelling, warc, whitening
 
 from .test_operators import ODD, corpus, frame, same
 
@@ -332,3 +332,23 @@ def test_whitening_on_the_given_table(spark):
     want = np.array([white[i] for i in got.index])[:, :16]
     assert np.abs(got.values * np.sign((got.values * want).sum(axis=0)) - want).max() < 1e-8
     assert found.groupby("component").explained.first().values == pytest.approx(values[:16] / trace, rel=1e-9)
+
+
+def test_every_language_is_learnt(spark):
+    """Languages of a few texts, each longer than all that may be learnt from, are learnt nevertheless."""
+    rows = [(100 * i + j, chr(97 + i) * 3 + " " + f"{chr(97 + i)}b " * 400, f"l{i}") for i in range(20) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taken = {r.lang: r.text for r in langid.sample(df, "doc_id", "text", "lang", 5000, 300).collect()}
+    assert len(taken) == 20 and all(len(t) == 300 for t in taken.values())
+    model = langid.fit(df, max_bytes=300)
+    assert model.languages == sorted(f"l{i}" for i in range(20))
+    assert {r.doc_id // 100: r.lang_pred for r in langid.predict(df, model).collect()} == {i: f"l{i}" for i in range(20)}
+
+
+def test_lines_above_a_low_limit_go(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    found = queries.op8_quality_low_limit(spark, "/root/testdata/sf0.01")
+    columns = sorted(found.columns)
+    same(found.select(columns), con.execute(f"SELECT {', '.join(columns)} FROM ({oracles.ORACLES['op8_quality_low_limit']})").fetchall())
+    assert found.where("n_removed_lines > 0").count() > 0

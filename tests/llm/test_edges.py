@@ -188,7 +188,7 @@ def test_chat_loss_of_rewriting_templates(spark):
     strips = lambda ms: "".join(f"[{r}]{t if i + 1 == len(ms) or r == 'user' else '-'};" for i, (r, t) in enumerate(ms))
     rows = [(1, i, ["user", "assistant"][i % 2], f"turn {i}") for i in range(6)] + [(None, 0, "assistant", "a"), (None, 0, "assistant", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    found = sorted(chat.format_conversations(df, strips, None).collect(), key=lambda r: r.formatted)
+    found = sorted(chat.format_conversations(df, strips).collect(), key=lambda r: r.formatted)
     assert [r.formatted for r in found] == ["[assistant]a;", "[assistant]b;", found[2].formatted]
     assert [r.formatted[a:b] for r in found for a, b in zip(r.loss[::2], r.loss[1::2])] == ["a", "b", "turn 5"]
     assert [r.rewrites for r in found] == [False, False, True] and found[2].spans == []

@@ -7,10 +7,9 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .loop import RoundLimitReached, checkpoint, checkpoint_counted, fingerprint
+from .loop import RoundLimitReached, checkpoint, checkpoint_counted, fingerprint, numbered
 
 #: Edges of one of many keyed graphs that is solved inside one task.
 SMALL_EDGES = 200_000
@@ -189,12 +188,6 @@ def largest_component(comp: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def component_numbers(comp: DataFrame) -> DataFrame:
-    """``(comp, number)``: components numbered from 0 by their smallest member (K4).
-
-    Labels are dealt into ranges; each is numbered by itself, after those of the ranges before it.
-    """
-    ranged = checkpoint(comp.select("comp").distinct().repartitionByRange("comp").withColumn("range", F.spark_partition_id()))
-    before = F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))  # one row for each range
-    offsets = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("offset"))
-    place = F.row_number().over(W.partitionBy("range").orderBy("comp")) - 1
-    return ranged.withColumn("place", place).join(offsets, "range").select("comp", (F.col("place") + F.col("offset")).cast("long").alias("number"))
+    """``(comp, number)``: components numbered from 0 by their smallest member (K4)."""
+    found = numbered(comp.select("comp").distinct(), [], [F.asc("comp")], "number")
+    return found.select("comp", (F.col("number") - 1).alias("number"))

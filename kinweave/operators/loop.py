@@ -8,8 +8,10 @@ whole lineage.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -55,3 +57,18 @@ def fingerprint(*cols: str):
 def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """``df``, which has been counted to have so many rows, marked for broadcast if these are few enough."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def numbered(df: DataFrame, key: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``df`` with the number of each row in its group, from 1, by a total order.
+
+    Rows are dealt into ranges of the order, so that a large group lies in many tasks; each range counts on from those before it.
+    """
+    key = list(key)
+    ranged = checkpoint(df.repartitionByRange(*key, *order).withColumn("__range", F.spark_partition_id()))
+    counts = ranged.groupBy(*key, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*key).orderBy("__range").rowsBetween(W.unboundedPreceding, -1))  # a row for each range
+    offsets = counts.select(*key, "__range", F.coalesce(before, F.lit(0)).alias("__offset"))
+    own = F.row_number().over(W.partitionBy(*key, "__range").orderBy(*order))
+    placed = ranged.withColumn("__own", own).join(offsets, [*key, "__range"])
+    return placed.select(*df.columns, (F.col("__own") + F.col("__offset")).cast("long").alias(name))

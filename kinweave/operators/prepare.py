@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import mutual
-from .loop import RoundLimitReached, checkpoint, checkpoint_counted
+from ..functions.scalars import born_since_in, mutual
+from .loop import RoundLimitReached, checkpoint, checkpoint_counted, numbered
 
 
 def adjacency(knows: DataFrame) -> DataFrame:
@@ -138,6 +138,27 @@ def tag_audience(interest: DataFrame, person: DataFrame, components: DataFrame)
     return grouped.select("tag_id", "comp", members.alias("audience"), "n")
 
 
+def audience_chunks(audience: DataFrame, size: int = 1000) -> DataFrame:
+    """``(tag_id, comp, chunk, youngest, oldest, audience)``: the lists of :func:`tag_audience` in rows of up to ``size`` people.
+
+    ``audience`` is :func:`audience_table`.  Chunks are numbered from 0, youngest first, so a prefix of a list is found in few of them.
+    """
+    placed = numbered(audience, ["tag_id", "comp"], [F.desc("birthday"), F.asc("person_id")])
+    dealt = placed.withColumn("chunk", F.expr(f"(rank - 1) DIV {size}"))
+    listed = dealt.groupBy("tag_id", "comp", "chunk").agg(
+        F.max("birthday").alias("youngest"), F.min("birthday").alias("oldest"), F.sort_array(F.collect_list(F.struct("rank", "birthday", "person_id"))).alias("a")
+    )
+    members = F.transform("a", lambda m: F.struct(m["birthday"].alias("birthday"), m["person_id"].alias("person_id")))
+    return listed.select("tag_id", "comp", "chunk", "youngest", "oldest", members.alias("audience"))
+
+
+def chunks_born_since(chunks: DataFrame, d) -> DataFrame:
+    """``(tag_id, comp, n)``: as :func:`audience_born_since`, from chunks: those that are old as a whole are not opened."""
+    young = chunks.where(F.col("youngest") >= d)
+    whole = F.when(F.col("oldest") >= d, F.size("audience")).otherwise(F.size(born_since_in("audience", d)))
+    return young.groupBy("tag_id", "comp").agg(F.sum(whole).alias("n"))
+
+
 def audience_born_since(audience: DataFrame, d) -> DataFrame:
     """``(tag_id, comp, n)``: how many of each audience were born on or after ``d``."""
     return audience.groupBy("tag_id", "comp").agg(F.count_if(F.col("birthday") >= d).alias("n"))

@@ -383,6 +383,23 @@ def _(spark, sf_dir, net):
     return _audience(net).select("tag_id", "comp", people.alias("people"), "n")
 
 
+def _chunks(net: Network) -> DataFrame:
+    return prepare.audience_chunks(prepare.audience_table(net.interest, net.person, components.connected_components(net.knows, net.person)), 50)
+
+
+@query("c13_audience_chunks", f"""=> SELECT tag_id, comp, chunk, string_agg(id, ',' ORDER BY birthday DESC, id) AS people, COUNT(*) AS n
+    FROM (SELECT *, (ROW_NUMBER() OVER (PARTITION BY tag_id, comp ORDER BY birthday DESC, id) - 1) // 50 AS chunk FROM ({_AUDIENCE})) GROUP BY 1, 2, 3""")
+def _(spark, sf_dir, net):
+    people = F.array_join(F.col("audience.person_id").cast("array<string>"), ",")
+    return _chunks(net).select("tag_id", "comp", "chunk", people.alias("people"), F.size("audience").cast("long").alias("n"))
+
+
+@query("b7_audience_chunks_born_since", f"""=> SELECT tag_id, comp, COUNT(*) AS n FROM ({_AUDIENCE})
+    WHERE birthday >= DATE '1980-01-01' GROUP BY 1, 2""")
+def _(spark, sf_dir, net):
+    return prepare.chunks_born_since(_chunks(net), F.lit("1980-01-01").cast("date"))
+
+
 def _wanted(net: Network) -> DataFrame:
     return scalars.by_name(net.tag, "hot ring").agg(F.min("id").alias("tag_id"))
 
@@ -729,8 +746,8 @@ def _(spark, sf_dir, net):
 
 @query("q4_central_people_by_waves", "=> SELECT * FROM best_people")
 def _(spark, sf_dir, net):
-    """Every component of more than eight people is searched in waves, beginning with its tag's eight best bounds."""
-    return plans.central_people(net, params(spark, sf_dir, TOPICS), small=8, wave=8)
+    """Every component of more than eight people is searched in waves, beginning with its tag's 64 best bounds."""
+    return plans.central_people(net, params(spark, sf_dir, TOPICS), small=8, wave=64)
 
 
 def _batch(spark: SparkSession, sf_dir: str) -> str:

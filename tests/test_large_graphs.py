@@ -6,8 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import centrality, components, nested, paths
-from kinweave.operators.loop import RoundLimitReached
+from kinweave.operators import centrality, components, cover, nested, paths, prepare
+from kinweave.operators.loop import RoundLimitReached, numbered
 
 from .graphs import both_ways, distances, random_graph, rows
 from .test_graph_operators import N, edges_of, keyed
@@ -160,3 +160,44 @@ def test_hundreds_of_dates_take_eight_rounds(spark, monkeypatch):
     vertices = spark.createDataFrame([(7, v, w) for v, w in own.items()], "key int, id long, weight long")
     assert rows(nested.nested_ranges(edges, vertices, ["key"], 0)) == [(7, n, s) for n, s in plain_ranges(weighted, own)]
     assert len(calls) <= 8
+
+
+def test_a_share_of_the_cover_takes_fewer_rounds(spark, monkeypatch):
+    """Stars of falling size first, then a long tail of pairs in a chain that is never picked."""
+    stars = [(1000 * k, 1000 * k + i) for k in range(1, 6) for i in range(1, 30 - 4 * k)]
+    pairs = both_ways([*stars, *[(i, i + 1) for i in range(60)]])
+    edges = edges_of(spark, pairs).withColumn("key", F.lit(1)).union(edges_of(spark, both_ways([(1, 2), (2, 3)])).withColumn("key", F.lit(2)))
+    rounds = []
+    plain = cover.checkpoint_counted
+    monkeypatch.setattr(cover, "checkpoint_counted", lambda df, **a: rounds.append(1) or plain(df, **a))
+    whole = cover.vertex_cover(edges, ["key"])
+    taken, best = len(rounds), {}
+    for key, found in ((k, [r for r in whole.collect() if r.key == k]) for k in (1, 2)):
+        n = len({a for a, _ in pairs}) if key == 1 else 3
+        best[key] = sorted(found, key=lambda r: (-r.pick_degree, r.id))[: max(1, int(n * 0.03))]
+    rounds.clear()
+    part = cover.vertex_cover(edges, ["key"], limit=0.03)
+    assert rows(part.select("key", "id")) == sorted((k, r.id) for k, rs in best.items() for r in rs)
+    assert len(rounds) < taken
+    assert rows(cover.vertex_cover(edges_of(spark, pairs), limit=0.03)) == sorted((r.id, r.pick_degree) for r in best[1])
+
+
+def test_numbered_rows(spark):
+    draw = random.Random(2)
+    values = [(draw.choice("ab"), i, draw.randrange(5)) for i in range(200)]
+    df = spark.createDataFrame(values, "k string, i int, v int").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = rows(numbered(df, ["k"], [F.desc("v"), F.asc("i")]))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ordered = {k: sorted((x for x in values if x[0] == k), key=lambda x: (-x[2], x[1])) for k in "ab"}
+    assert found == sorted((*x, n) for xs in ordered.values() for n, x in enumerate(xs, 1))
+
+
+def test_chunks_of_audiences(spark):
+    people = [(i % 2, 0, f"19{60 + i % 30}-01-01", i) for i in range(100)]
+    table = spark.createDataFrame(people, "tag_id int, comp int, birthday string, person_id int").withColumn("birthday", F.to_date("birthday"))
+    chunks = prepare.audience_chunks(table, 7)
+    assert chunks.agg(F.max(F.size("audience"))).first()[0] == 7 and chunks.count() == 16
+    for day in ("1950-01-01", "1975-01-01", "1989-01-01", "2000-01-01"):
+        want = Counter(t for t, _, b, _ in people if b >= day)
+        assert dict((t, n) for t, _, n in rows(prepare.chunks_born_since(chunks, F.lit(day).cast("date")))) == dict(want)

@@ -169,12 +169,13 @@ def search_in_waves(edges: DataFrame, large: DataFrame, params: DataFrame, key:
     left = checkpoint(walk_bounds(edges, large, key).where("r > 0"))
     promising = [F.desc(F.col("r") * F.col("r") / F.col("bound")), F.asc("id")]
     size, most = max(wave, largest(wanted, "most")), largest(wanted, "most")
-    floors, found = wanted.select(*key, F.lit(None).cast("double").alias("floor")), None
+    floors = found = None
     while True:
         tried, seen = checkpoint_counted(top_k(left, key, promising, size).select(*key, "id", "r"), n=F.count(F.lit(1)))
         if not seen["n"]:
             return found if found is not None else centrality(bit_distance_sums(edges, tried, key), tried, key)
-        scored = centrality(bit_distance_sums(edges, tried, key, tried.join(floors, key, "left")), tried, key)
+        worth = None if floors is None else tried.join(floors, key, "left")
+        scored = centrality(bit_distance_sums(edges, tried, key, worth), tried, key)
         found = checkpoint(scored if found is None else found.union(scored))
         best = top_k(found.join(wanted, key), key, [F.desc("centrality"), F.asc("id")], "most", most)
         floors = checkpoint(best.where("rank = most").select(*key, F.col("centrality").alias("floor")))

@@ -66,49 +66,79 @@ def h_hop_counts(edges: DataFrame, sources: DataFrame, h: int) -> DataFrame:
     return h_hop(edges, sources, h).groupBy("source").agg(F.count_if(F.col("d") > 0).alias("n"))
 
 
-def hop_distance(weighted: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def hop_distance(weighted: DataFrame, pairs: DataFrame, max_rounds: int = 1000, heavy: float = 8.0) -> DataFrame:
     """``(qid, hops)`` for each of the ``pairs`` ``(qid, p1, p2, x)``.
 
     An edge serves a query if both its reply counts exceed the query's ``x``; a negative
-    ``x`` allows every edge.  Both ends search at once, so the number of rounds is half the
-    distance; where the two searches first meet, their depths add up to it.  Equal ends
-    are 0 hops apart, ends without a path and negative ids -1.
+    ``x`` allows every edge.  Both ends search at once, so the number of rounds is about half the
+    distance; where the two searches first meet, their depths add up to it.  A side whose frontier has more
+    than ``heavy`` times the edges of the other side's waits, so a hub is left to the search that comes towards it, and
+    is never expanded if that search ends first.  Equal ends are 0 hops apart, ends without a path and negative ids -1.
     """
-    edges = checkpoint(
-        weighted.select("src", "dst", F.least("in_cnt", "out_cnt").alias("weight")).repartition("src")
-    )
+    edges = checkpoint(_with_degrees(weighted.select("src", "dst", F.least("in_cnt", "out_cnt").alias("weight"))))
     pairs = checkpoint(pairs.select("qid", "p1", "p2", "x"))
     sought = pairs.where("p1 != p2 AND p1 >= 0 AND p2 >= 0")
     ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("p1").alias("v")), F.struct(F.lit(1).alias("side"), F.col("p2").alias("v"))))
-    here = checkpoint(sought.select("qid", "x", ends.alias("e")).select("qid", "x", "e.side", "e.v"))
-    before, met = None, []
-    state = ["qid", "x", "side", "v"]
-    for depth in range(1, max_rounds + 1):
-        step = here.join(edges.withColumnRenamed("src", "v"), "v").where("x < 0 OR weight > x")
-        step = step.select("qid", "x", "side", F.col("dst").alias("v")).distinct().join(here, state, "left_anti")
-        step = step if before is None else step.join(before, state, "left_anti")
-        level, seen = checkpoint_counted(step, n=F.count(F.lit(1)))
+    starts = sought.select("qid", "x", ends.alias("e")).select("qid", "x", "e.side", "e.v")
+    degrees = edges.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
+    front = starts.join(degrees, "v").select("qid", "x", "side", "v", "degree", F.lit(0).alias("d"))
+    state = checkpoint(front.select("*", F.lit(False).alias("behind"), F.lit(True).alias("moved")))
+    status = checkpoint(_frontiers(state).withColumn("hops", F.lit(None).cast("int")))
+    before, met = state.where("false").select(*front.columns), []
+    for _ in range(max_rounds):
+        here, held = (_directed(df.select(*front.columns), status, heavy) for df in (state.where("NOT behind"), before))
+        moving = here.where("moves").drop("moves")
+        marked = lambda df, behind, moved: df.select(*front.columns, F.lit(behind).alias("behind"), F.lit(moved).alias("moved"))
+        step = marked(_next_frontier(moving, held.where("moves"), edges), False, True)
+        step = step.union(marked(here.where("NOT moves"), False, False)).union(marked(held.where("NOT moves"), True, False))
+        state, seen = checkpoint_counted(step, n=F.count_if("moved"))
         if not seen["n"]:
             break
-        near = [(level, level, 2 * depth), (level, here, 2 * depth - 1), (here, level, 2 * depth - 1)]
-        hits = [
-            a.where("side = 0").select("qid", "v").join(b.where("side = 1").select("qid", "v"), ["qid", "v"]).select("qid", F.lit(d).alias("hops"))
-            for a, b, d in near
-        ]
-        hit = reduce(DataFrame.union, hits).groupBy("qid").agg(F.min("hops").alias("hops"))
-        sides = level.groupBy("qid").agg(F.countDistinct("side").alias("sides"))
-        status = checkpoint(sides.join(hit, "qid", "left"))
+        reached = state.where("moved").select("qid", "v", "side", F.col("d").alias("d1"))
+        facing = state.where("NOT behind").select(*front.columns).union(moving)
+        facing = facing.select("qid", "v", (1 - F.col("side")).alias("side"), F.col("d").alias("d2"))
+        hits = reached.join(facing, ["qid", "v", "side"]).groupBy("qid").agg(F.min(F.col("d1") + F.col("d2")).alias("hops"))
+        status = checkpoint(_frontiers(state).join(hits, "qid", "left"))
         met.append(status.where("hops IS NOT NULL").select("qid", "hops"))
-        # a query ends when it is answered or when one of its searches has nowhere to go
-        live = status.where("hops IS NULL AND sides = 2").select("qid")
-        here, before = level.join(live, "qid", "left_semi"), here.join(live, "qid", "left_semi")
+        before = moving.union(state.where("behind").select(*front.columns))
     else:
-        raise RoundLimitReached(f"some paths are longer than {2 * max_rounds} hops")
+        raise RoundLimitReached(f"some paths are not found in {max_rounds} rounds")
     found = reduce(DataFrame.union, met) if met else pairs.select("qid", F.lit(0).alias("hops")).where("false")
     hops = F.when(F.col("p1") == F.col("p2"), 0).otherwise(F.coalesce("hops", F.lit(-1)))
     return pairs.join(found, "qid", "left").select("qid", hops.cast("long").alias("hops"))
 
 
+def _with_degrees(edges: DataFrame) -> DataFrame:
+    """``edges``, dealt by ``src``, with the number of edges that leave their ``dst``."""
+    degrees = edges.groupBy(F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("degree"))
+    return edges.join(degrees, "dst").select("src", "dst", "weight", "degree").repartition("src")
+
+
+def _frontiers(state: DataFrame) -> DataFrame:
+    """``(qid, edges0, edges1)``: the edges that leave the frontier of each side; 0 if it is empty."""
+    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("degree")).otherwise(0)).alias(f"edges{side}")
+    return state.where("NOT behind").groupBy("qid").agg(of(0), of(1))
+
+
+def _directed(rows: DataFrame, status: DataFrame, heavy: float) -> DataFrame:
+    """``rows`` of the queries that go on, with ``moves``: does their side search in this round?
+
+    A query ends when it is answered or when one of its searches has nowhere to go.
+    """
+    own = F.when(F.col("side") == 0, F.col("edges0")).otherwise(F.col("edges1"))
+    live = status.where("hops IS NULL AND edges0 > 0 AND edges1 > 0").drop("hops")
+    return rows.join(live, "qid").select(*rows.columns, (own <= heavy * F.least("edges0", "edges1")).alias("moves"))
+
+
+def _next_frontier(moving: DataFrame, before: DataFrame, edges: DataFrame) -> DataFrame:
+    """What the moving searches reach beyond their last two levels."""
+    arrows = edges.select(F.col("src").alias("v"), "dst", "weight", F.col("degree").alias("further"))
+    step = moving.join(arrows, "v").where("x < 0 OR weight > x")
+    step = step.select("qid", "x", "side", F.col("dst").alias("v"), F.col("further").alias("degree"), (F.col("d") + 1).alias("d"))
+    state = ["qid", "side", "v"]
+    return step.distinct().join(moving, state, "left_anti").join(before, state, "left_anti")
+
+
 def within_hops(edges: DataFrame, pairs: DataFrame, h: int) -> DataFrame:
     """``(qid, within)``: are ``a`` and ``b`` of each pair at most ``h`` hops apart?
 

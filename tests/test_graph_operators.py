@@ -115,6 +115,38 @@ def test_hop_distance_random(spark, graphs):
     assert found == {q: distances(pairs, i).get(j, -1) for q, i, j, _ in asked}
 
 
+@pytest.mark.parametrize("heavy", [1.0, 2.0, 1e9])
+def test_hop_distance_whichever_side_waits(spark, graphs, heavy):
+    pairs = graphs[1]
+    draw = random.Random(5)
+    counts = {frozenset(p): draw.randrange(4) for p in pairs}
+    weighted = spark.createDataFrame([(a, b, counts[frozenset((a, b))], 3) for a, b in pairs], "src long, dst long, out_cnt long, in_cnt long")
+    asked = [(i * N + j, i, j, (i + j) % 4 - 1) for i in range(0, N, 9) for j in range(0, N, 2)]
+    found = dict(rows(paths.hop_distance(weighted, spark.createDataFrame(asked, "qid long, p1 long, p2 long, x int"), heavy=heavy)))
+    open_for = lambda x: [p for p in pairs if x < 0 or counts[frozenset(p)] > x]
+    near = {(i, x): distances(open_for(x), i) for i in range(0, N, 9) for x in range(-1, 3)}
+    assert found == {q: 0 if i == j else near[i, x].get(j, -1) for q, i, j, x in asked}
+
+
+def test_hop_distance_leaves_hubs_to_the_lighter_side(spark, monkeypatch):
+    """A hub of 5,000 with a tail, and a component apart: neither query expands the hub."""
+    star = [(0, i) for i in range(1, 5001)] + [(0, 9001), (9001, 9002), (9002, 9003)]
+    weighted = edges_of(spark, both_ways([*star, (9100, 9101)])).selectExpr("src", "dst", "0L out_cnt", "0L in_cnt")
+    sizes, counted = [], paths.checkpoint_counted
+    def noted(df, **aggregates):
+        out = counted(df, **aggregates)
+        sizes.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(paths, "checkpoint_counted", noted)
+    asked = spark.createDataFrame([(0, 0, 9003, -1), (1, 0, 9101, -1), (2, 7, 8, -1)], "qid long, p1 long, p2 long, x int")
+    assert dict(rows(paths.hop_distance(weighted, asked))) == {0: 3, 1: -1, 2: 2}
+    assert max(sizes) < 20 and len(sizes) <= 4
+    sizes.clear()
+    assert dict(rows(paths.hop_distance(weighted, asked, heavy=1e9))) == {0: 3, 1: -1, 2: 2}
+    assert max(sizes) > 5000
+
+
 def test_h_hop_and_within(spark, graphs):
     pairs = graphs[3]
     edges = edges_of(spark, pairs)
@@ -189,6 +221,30 @@ def test_sketch_is_close(spark, graphs):
         assert abs(r.estimate - exact) <= 1
 
 
+def test_sketches_without_a_limit_and_what_travels(spark, graphs, monkeypatch):
+    """Whole components are counted; a path that hangs on a clique goes on alone once the clique stands still."""
+    pairs = graphs[2]
+    for r in sketch.approx_neighbourhood(edges_of(spark, pairs), None).collect():
+        assert abs(r.estimate - len(distances(pairs, r.id))) <= 2
+    assert rows(sketch.approx_neighbourhood(edges_of(spark, []), 2)) == []
+    with pytest.raises(ValueError):
+        sketch.approx_neighbourhood(edges_of(spark, pairs), 2, lg_k=6)
+    with pytest.raises(RoundLimitReached):
+        sketch.approx_neighbourhood(edges_of(spark, both_ways((i, i + 1) for i in range(9))), None, max_rounds=3)
+
+    grown, counted = [], sketch.checkpoint_counted
+    def noted(df, **aggregates):
+        out = counted(df, **aggregates)
+        grown.append(out[1]["n"])
+        return out
+
+    monkeypatch.setattr(sketch, "checkpoint_counted", noted)
+    apart = both_ways([(i, j) for i in range(30) for j in range(i)] + [(100 + i, 101 + i) for i in range(12)])
+    found = dict(rows(sketch.approx_neighbourhood(edges_of(spark, apart), None)))
+    assert all(abs(n - (30 if i < 100 else 13)) <= 1 for i, n in found.items())
+    assert grown[-1] == 0 and len(grown) == 13 and max(grown[1:]) <= 26 < grown[0]  # the clique grows in the first hop only
+
+
 def test_similar_pairs(spark):
     """Members joined through an outsider; a pair without common tags; ties by id; hop limits by query."""
     edges = edges_of(spark, both_ways([(1, 9), (9, 2), (2, 3)]))

@@ -15,7 +15,7 @@ LOOPS = ["g1_components", "g5_hop_distance", "g10_closeness", "q2_top_tags", "q3
 WHOLE = ["c5_all_friends_by_replies", "c14_forums_for_all_tags", "c15_members_for_all_tags", "g7_within_hops_many", "g8_h_hop_many"]
 WHOLE += ["g8_h_hop_counts_many", "t4_pairs_over_kth"]
 OWN = ["a1_read_values", "a2_read_queries", "a3_format_answers", "b7_audience_born_since", "c13_audience_table", "g1_component_numbers"]
-OWN += ["g3_tag_components", "g4_tag_largest_component", "g6_vertex_cover", "g6_vertex_cover_share", "g6_vertex_cover_checks", "g13_suffix_max", "g14_approx_within_error", "t1_top_tags"]
+OWN += ["g3_tag_components", "g4_tag_largest_component", "g6_vertex_cover", "g6_vertex_cover_share", "g6_vertex_cover_checks", "g13_suffix_max", "g14_approx_within_error", "g14_approx_neighbourhood", "g14_approx_within_reach", "t1_top_tags"]
 OWN += ["t2_top_pairs", "t3_top_people", "g4_tag_largest_component_halved", "g9_geodesics_by_bits", "q4_central_people_by_waves"]
 OWN += ["a1_store_profile", "a1_quarantine", "c2_reply_counts_from_store", "q5_answer_batch_from_store", "c13_audience_chunks", "b7_audience_chunks_born_since"]
 

@@ -21,6 +21,7 @@ than id and text are ignored, whatever they are called.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -325,11 +326,21 @@ class Index:
 
 
 def _best(found: list[tuple[float, str, int, int, float]]) -> list[tuple[str, bool, int, int, float]]:
-    """Matches by place, without those that lie at least half in a match that explains more."""
+    """Matches by place, without those that lie at least half in a match that explains more.
+
+    Kept matches are found by their starts, so a match is compared with those around it alone.
+    """
     kept: list[tuple[float, str, int, int, float]] = []
+    starts: list[int] = []
+    by_start: list[tuple[int, int]] = []
+    longest = max((m[3] - m[2] for m in found), default=0)
     for m in sorted(found, key=lambda m: (-m[0] * m[4], m[2], m[1])):
-        if not any(2 * (min(m[3], o[3]) - max(m[2], o[2])) >= m[3] - m[2] for o in kept):
+        near = range(bisect_right(starts, m[2] - longest), bisect_left(starts, m[3]))
+        if not any(2 * (min(m[3], by_start[i][1]) - max(m[2], by_start[i][0])) >= m[3] - m[2] for i in near):
             kept.append(m)
+            at = bisect_right(starts, m[2])
+            starts.insert(at, m[2])
+            by_start.insert(at, (m[2], m[3]))
     return [(label, False, a, b, score) for _, label, a, b, score in sorted(kept, key=lambda m: (m[2], m[3], m[1]))]
 
 

@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.loop import RoundLimitReached, checkpoint, checkpoint_counted
@@ -288,14 +289,12 @@ def _added(found: DataFrame, id_col: str, telling: int = 7, **options) -> DataFr
     specific = F.col("instance").contains("@") | (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= telling)
     named = marks.where(specific).select(*mark, F.xxhash64("instance").alias("instance")).join(instances, "instance")
     labelled = placed.select(*mark, "kind", "confidence").union(named.select(*mark, "kind", "score"))
-    best = (
-        labelled.groupBy(*mark)
-        .agg(F.max(F.struct("confidence", -F.col("kind"))).alias("best"))
-        .select("__id", "__hash", F.struct((-F.col("best.col2")).cast("int").alias("kind"), "start", "stop").alias("span"))
-    )
-    spans = best.groupBy("__id", "__hash").agg(F.sort_array(F.collect_set("span")).alias("all"))
-    inside = "exists(all, o -> o.start <= s.start AND o.stop >= s.stop AND o.stop - o.start > s.stop - s.start)"
-    return checkpoint(spans.select("__id", "__hash", F.expr(f"filter(all, s -> NOT {inside})").alias("added")))
+    best = labelled.groupBy(*mark).agg(F.max(F.struct("confidence", -F.col("kind"))).alias("best"))
+    # by start, longer ones first, a span lies in an earlier one if any of these ends where it does or later
+    order = W.partitionBy("__id", "__hash").orderBy("start", F.desc("stop")).rowsBetween(W.unboundedPreceding, -1)
+    outer = best.withColumn("reached", F.max("stop").over(order)).where("reached IS NULL OR reached < stop")
+    span = F.struct((-F.col("best.col2")).cast("int").alias("kind"), "start", "stop")
+    return checkpoint(outer.groupBy("__id", "__hash").agg(F.sort_array(F.collect_set(span)).alias("added")))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -573,3 +574,45 @@ def test_pipeline_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
+
+def _best_of_all_pairs(found):
+    kept = []
+    for m in sorted(found, key=lambda m: (-m[0] * m[4], m[2], m[1])):
+        if not any(2 * (min(m[3], o[3]) - max(m[2], o[2])) >= m[3] - m[2] for o in kept):
+            kept.append(m)
+    return [(m[1], False, m[2], m[3], m[4]) for m in sorted(kept, key=lambda m: (m[2], m[3], m[1]))]
+
+
+def test_licence_matches_that_overlap():
+    """Against comparing all pairs; then 10^5 notices in one text."""
+    draw = random.Random(11)
+    for _ in range(200):
+        found = []
+        for _ in range(draw.randrange(30)):
+            start = draw.randrange(60)
+            found.append((float(draw.randrange(1, 9)), draw.choice("abc"), start, start + draw.randrange(1, 25), draw.choice([0.5, 1.0])))
+        assert licenses._best(found) == _best_of_all_pairs(found)
+    many = [(5.0, "a", 20 * i, 20 * i + 15, 1.0) for i in range(100_000)] + [(4.0, "b", 20 * i + 3, 20 * i + 9, 1.0) for i in range(100_000)]
+    began = time.monotonic()
+    assert len(licenses._best(many)) == 100_000
+    assert time.monotonic() - began < 60
+
+
+def test_many_added_spans_in_one_text(spark, monkeypatch):
+    """Nested, equal and overlapping spans of one text, against comparing all pairs; then 10^5 of them."""
+    draw = random.Random(12)
+    crossing = sorted({(a := draw.randrange(300), a + draw.randrange(1, 30)) for _ in range(150)})
+    outer = [(a, b) for a, b in crossing if not any(c <= a and d >= b and (c, d) != (a, b) for c, d in crossing)]
+    long_one = [(10 * i, 10 * i + 8) for i in range(100_000)]
+    patterns = spark.createDataFrame([("p", 3, 0.9)], "pattern string, kind int, confidence double")
+    nobody = spark.createDataFrame([], "instance long, kind int, score double")
+    monkeypatch.setattr(pii, "bootstrap", lambda found, **_: (patterns, nobody))
+    mention = "array<struct<kind:int,start:int,stop:int,instance:string,patterns:array<string>>>"
+    for spans, kept in ((crossing, outer), (long_one, long_one)):
+        places = spark.createDataFrame(spans, "start int, stop int")
+        found = places.selectExpr("struct(-1 AS kind, start, stop, 'x' AS instance, array('p') AS patterns) AS m").groupBy().agg(F.collect_list("m").alias("m"))
+        found = found.select(F.lit(1).alias("doc_id"), F.lit(2).cast("long").alias("text_hash"), F.col("m").cast(mention).alias("mentions"))
+        began = time.monotonic()
+        added = pii._added(found, "doc_id").first()["added"]
+        assert [tuple(s) for s in added] == [(3, a, b) for a, b in kept]
+        assert time.monotonic() - began < 60

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +15,9 @@ from pyspark.sql.types import StructType
 #: Bytes of text that one numpy or word-list step holds at a time.
 PIECE_BYTES = 4 << 20
 
+#: Bytes of record batches after which a task gives freed memory back.
+GIVE_BACK_BYTES = 16 << 20
+
 #: Bytes up to which a table is broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 
@@ -27,11 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory that Arrow's pool and glibc's malloc hold on to.
+
+    Workers live on from stage to stage, and each would keep the most that any of its tasks took.
+    """
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each piece has about ``PIECE_BYTES`` of text.
 
-    A single text is never cut, so a piece is at most one text beyond that.
+    A single text is never cut, so a piece is at most one text beyond that.  What earlier tasks and batches have
+    freed is given back at the start, now and then, and at the end.
     """
+    give_back()
+    since = 0
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         begin = held = 0
@@ -42,6 +60,12 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             held += size
         if begin < batch.num_rows:
             yield batch.slice(begin)
+        since += batch.nbytes
+        if since >= GIVE_BACK_BYTES:
+            del batch
+            give_back()
+            since = 0
+    give_back()
 
 
 def slices(text, size: int = PIECE_BYTES) -> Iterator:

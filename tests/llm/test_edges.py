@@ -2,8 +2,11 @@
 
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -17,6 +20,7 @@ import corpus_pipeline
 from kinweave.llm import bpe, chat, decontaminate, langid, licenses, oracles, pii, quality, queries, sharding, simhash, substrings
 from kinweave.llm.text import PIECE_BYTES, plain_words, slices
 
+from ..conftest import ROOT
 from . import brute
 from .test_operators import ODD, corpus, frame, plain_rows, reference, same, vocabulary  # noqa: F401
 
@@ -616,3 +620,29 @@ def test_many_added_spans_in_one_text(spark, monkeypatch):
         added = pii._added(found, "doc_id").first()["added"]
         assert [tuple(s) for s in added] == [(3, a, b) for a, b in kept]
         assert time.monotonic() - began < 60
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_workers_give_freed_memory_back():
+    """What is freed below a block that stays in use goes back to the system, at the start, between batches and at the end."""
+    code = """
+import re
+import pyarrow as pa
+from kinweave.llm.text import GIVE_BACK_BYTES, pieces
+
+def taken():
+    return int(re.search("Anonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+def litter():
+    held = [b"x" * 100_000 for _ in range(1000)]
+    return b"x" * 100_000
+
+batch = pa.RecordBatch.from_pydict({"text": ["y" * (GIVE_BACK_BYTES + 1)]})
+before, stays, seen = taken(), [litter()], []
+for piece in pieces(iter([batch, batch])):
+    seen.append(taken() - before)
+    stays.append(litter())
+seen.append(taken() - before)
+assert len(seen) == 3 and max(seen) < 60, seen
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"PYTHONPATH": ROOT})

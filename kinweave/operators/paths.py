@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import common_tags
-from .loop import RoundLimitReached, checkpoint, checkpoint_counted
+from .loop import RoundLimitReached, checkpoint, checkpoint_counted, small
 
 
 def levels(
@@ -74,38 +74,32 @@ def hop_distance(weighted: DataFrame, pairs: DataFrame, max_rounds: int = 1000,
     distance; where the two searches first meet, their depths add up to it.  A side whose frontier has more
     than ``heavy`` times the edges of the other side's waits, so a hub is left to the search that comes towards it, and
     is never expanded if that search ends first.  Equal ends are 0 hops apart, ends without a path and negative ids -1.
+
+    Only the edges are joined in a round; what else meets is grouped or semi-joined.  Spark takes the product of both sides for the
+    size of a join and keeps it through checkpoints, so a state joined with what comes of it would multiply the digits of that number in each round.
     """
     edges = checkpoint(_with_degrees(weighted.select("src", "dst", F.least("in_cnt", "out_cnt").alias("weight"))))
     pairs = checkpoint(pairs.select("qid", "p1", "p2", "x"))
+    asked = pairs.count()
     sought = pairs.where("p1 != p2 AND p1 >= 0 AND p2 >= 0")
     ends = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("p1").alias("v")), F.struct(F.lit(1).alias("side"), F.col("p2").alias("v"))))
     starts = sought.select("qid", "x", ends.alias("e")).select("qid", "x", "e.side", "e.v")
     degrees = edges.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
-    front = starts.join(degrees, "v").select("qid", "x", "side", "v", "degree", F.lit(0).alias("d"))
-    state = checkpoint(front.select("*", F.lit(False).alias("behind"), F.lit(True).alias("moved")))
-    status = checkpoint(_frontiers(state).withColumn("hops", F.lit(None).cast("int")))
-    before, met = state.where("false").select(*front.columns), []
+    # of each side its frontier, of age 0, and the level before, of age 1
+    state = checkpoint(starts.join(degrees, "v").select("qid", "x", "side", "v", "degree", F.lit(0).alias("d"), F.lit(0).alias("age")))
+    status = checkpoint(_status(state))
     for _ in range(max_rounds):
-        here, held = (_directed(df.select(*front.columns), status, heavy) for df in (state.where("NOT behind"), before))
-        moving = here.where("moves").drop("moves")
-        marked = lambda df, behind, moved: df.select(*front.columns, F.lit(behind).alias("behind"), F.lit(moved).alias("moved"))
-        step = marked(_next_frontier(moving, held.where("moves"), edges), False, True)
-        step = step.union(marked(here.where("NOT moves"), False, False)).union(marked(held.where("NOT moves"), True, False))
-        state, seen = checkpoint_counted(step, n=F.count_if("moved"))
+        sides = _sides(status, heavy)
+        of = lambda some: state.join(small(sides.where(some).select("qid", "side"), 2 * asked), ["qid", "side"], "left_semi")  # noqa: B023,E731
+        state, seen = checkpoint_counted(_next_state(of("moves"), of("NOT moves"), edges), n=F.count_if("moved"))
+        state = state.drop("moved")
         if not seen["n"]:
             break
-        reached = state.where("moved").select("qid", "v", "side", F.col("d").alias("d1"))
-        facing = state.where("NOT behind").select(*front.columns).union(moving)
-        facing = facing.select("qid", "v", (1 - F.col("side")).alias("side"), F.col("d").alias("d2"))
-        hits = reached.join(facing, ["qid", "v", "side"]).groupBy("qid").agg(F.min(F.col("d1") + F.col("d2")).alias("hops"))
-        status = checkpoint(_frontiers(state).join(hits, "qid", "left"))
-        met.append(status.where("hops IS NOT NULL").select("qid", "hops"))
-        before = moving.union(state.where("behind").select(*front.columns))
+        status = checkpoint(_status(state, status))
     else:
         raise RoundLimitReached(f"some paths are not found in {max_rounds} rounds")
-    found = reduce(DataFrame.union, met) if met else pairs.select("qid", F.lit(0).alias("hops")).where("false")
     hops = F.when(F.col("p1") == F.col("p2"), 0).otherwise(F.coalesce("hops", F.lit(-1)))
-    return pairs.join(found, "qid", "left").select("qid", hops.cast("long").alias("hops"))
+    return pairs.join(status.select("qid", "hops"), "qid", "left").select("qid", hops.cast("long").alias("hops"))
 
 
 def _with_degrees(edges: DataFrame) -> DataFrame:
@@ -114,29 +108,44 @@ def _with_degrees(edges: DataFrame) -> DataFrame:
     return edges.join(degrees, "dst").select("src", "dst", "weight", "degree").repartition("src")
 
 
-def _frontiers(state: DataFrame) -> DataFrame:
-    """``(qid, edges0, edges1)``: the edges that leave the frontier of each side; 0 if it is empty."""
-    of = lambda side: F.sum(F.when(F.col("side") == side, F.col("degree")).otherwise(0)).alias(f"edges{side}")
-    return state.where("NOT behind").groupBy("qid").agg(of(0), of(1))
+def _status(state: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``(qid, hops, edges0, edges1)``: the answer, if there is one, and the edges that leave the frontier of each side.
+
+    The searches of a query have met where both have a row; answers of the status ``before`` are kept.
+    """
+    depth = [F.min(F.when(F.col("side") == side, F.col("d"))).alias(f"d{side}") for side in (0, 1)]
+    leaving = [F.sum(F.when((F.col("side") == side) & (F.col("age") == 0), F.col("degree"))).alias(f"edges{side}") for side in (0, 1)]
+    rows = state.groupBy("qid", "v").agg(*depth, *leaving).selectExpr("qid", "d0 + d1 AS hops", "edges0", "edges1")
+    if before is not None:
+        rows = rows.union(before.where("hops IS NOT NULL").selectExpr("qid", "hops", "0L AS edges0", "0L AS edges1"))
+    return rows.groupBy("qid").agg(F.min("hops").alias("hops"), *[F.coalesce(F.sum(e), F.lit(0)).alias(e) for e in ("edges0", "edges1")])
 
 
-def _directed(rows: DataFrame, status: DataFrame, heavy: float) -> DataFrame:
-    """``rows`` of the queries that go on, with ``moves``: does their side search in this round?
+def _sides(status: DataFrame, heavy: float) -> DataFrame:
+    """``(qid, side, moves)`` of the queries that go on: does a side search in this round?
 
     A query ends when it is answered or when one of its searches has nowhere to go.
     """
-    own = F.when(F.col("side") == 0, F.col("edges0")).otherwise(F.col("edges1"))
-    live = status.where("hops IS NULL AND edges0 > 0 AND edges1 > 0").drop("hops")
-    return rows.join(live, "qid").select(*rows.columns, (own <= heavy * F.least("edges0", "edges1")).alias("moves"))
+    live = status.where("hops IS NULL AND edges0 > 0 AND edges1 > 0")
+    most = heavy * F.least("edges0", "edges1")
+    both = [F.struct(F.lit(side).alias("side"), (F.col(f"edges{side}") <= most).alias("moves")) for side in (0, 1)]
+    return live.select("qid", F.explode(F.array(*both)).alias("s")).select("qid", "s.side", "s.moves")
 
 
-def _next_frontier(moving: DataFrame, before: DataFrame, edges: DataFrame) -> DataFrame:
-    """What the moving searches reach beyond their last two levels."""
+def _next_state(moving: DataFrame, waiting: DataFrame, edges: DataFrame) -> DataFrame:
+    """The state after a round, with ``moved``: has a search come here in it?
+
+    What moving searches reach beyond their last two levels is their frontier; of these two levels the older one goes.
+    """
     arrows = edges.select(F.col("src").alias("v"), "dst", "weight", F.col("degree").alias("further"))
-    step = moving.join(arrows, "v").where("x < 0 OR weight > x")
-    step = step.select("qid", "x", "side", F.col("dst").alias("v"), F.col("further").alias("degree"), (F.col("d") + 1).alias("d"))
-    state = ["qid", "side", "v"]
-    return step.distinct().join(moving, state, "left_anti").join(before, state, "left_anti")
+    step = moving.where("age = 0").join(arrows, "v").where("x < 0 OR weight > x")
+    step = step.selectExpr("qid", "x", "side", "dst AS v", "further AS degree", "d + 1 AS d", "0 AS age", "true AS moved")
+    rows = step.union(moving.selectExpr("qid", "x", "side", "v", "degree", "d", "age + 1 AS age", "false AS moved"))
+    rows = rows.union(waiting.selectExpr("qid", "x", "side", "v", "degree", "d", "age", "false AS moved"))
+    merged = rows.groupBy("qid", "side", "v").agg(
+        F.max("x").alias("x"), F.max("degree").alias("degree"), F.min("d").alias("d"), F.max("age").alias("age"), F.bool_and("moved").alias("moved")
+    )
+    return merged.where("age < 2").select("qid", "x", "side", "v", "degree", "d", "age", "moved")
 
 
 def within_hops(edges: DataFrame, pairs: DataFrame, h: int) -> DataFrame:

@@ -147,6 +147,21 @@ def test_hop_distance_leaves_hubs_to_the_lighter_side(spark, monkeypatch):
     assert max(sizes) > 5000
 
 
+def test_hop_distance_keeps_rounds_alike(spark, monkeypatch):
+    """A line of 61: Spark's estimate of the size of a round's state gets few digits longer, and a state does not lie in more and more partitions."""
+    weighted = edges_of(spark, both_ways([(i, i + 1) for i in range(60)])).selectExpr("src", "dst", "0L out_cnt", "0L in_cnt")
+    bits, counted = [], paths.checkpoint_counted
+    def noted(df, **aggregates):
+        out = counted(df, **aggregates)
+        bits.append(out[0]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        assert bits[-1] <= bits[0] * len(bits) and out[0].rdd.getNumPartitions() <= 4
+        return out
+
+    monkeypatch.setattr(paths, "checkpoint_counted", noted)
+    asked = spark.createDataFrame([(0, 0, 60, -1), (1, 7, 7, 0), (2, 3, 60, 0), (3, 60, 58, -1)], "qid long, p1 long, p2 long, x int")
+    assert dict(rows(paths.hop_distance(weighted, asked))) == {0: 60, 1: 0, 2: -1, 3: 2}
+    assert len(bits) <= 31
+
 def test_h_hop_and_within(spark, graphs):
     pairs = graphs[3]
     edges = edges_of(spark, pairs)

@@ -305,13 +305,15 @@ def suffix_max(sizes: DataFrame, key: Sequence[str]) -> DataFrame:
     """``sizes`` with the largest L1, L2 and L3 from each candidate to the last of its group.
 
     Candidates are dealt into ranges of their order, so that a large group lies in many tasks; each range adds
-    the maxima of those after it.
+    the maxima of those after it.  Maxima run from the last candidate back: a frame that begins with all rows and ends at the own one grows
+    by a row at a time, while Spark goes through all that follow a row anew for each row.
     """
     key = list(key)
     order = [F.desc("reach3"), F.desc("L1"), F.desc("L2"), F.desc("L3"), F.asc("id")]
+    back = [F.asc("reach3"), F.asc("L1"), F.asc("L2"), F.asc("L3"), F.desc("id")]
     ranged = checkpoint(sizes.repartitionByRange(*key, *order).withColumn("__range", F.spark_partition_id()))
-    after = W.partitionBy(*key, "__range").orderBy(*order).rowsBetween(W.currentRow, W.unboundedFollowing)
-    later = W.partitionBy(*key).orderBy("__range").rowsBetween(1, W.unboundedFollowing)
+    after = W.partitionBy(*key, "__range").orderBy(*back).rowsBetween(W.unboundedPreceding, W.currentRow)
+    later = W.partitionBy(*key).orderBy(F.desc("__range")).rowsBetween(W.unboundedPreceding, -1)
     tops = ranged.groupBy(*key, "__range").agg(*[F.max(f"L{d}").alias(f"__top{d}") for d in (1, 2, 3)])
     tops = tops.select(*key, "__range", *[F.max(f"__top{d}").over(later).alias(f"__later{d}") for d in (1, 2, 3)])
     own = ranged.withColumns({f"max_L{d}": F.max(f"L{d}").over(after) for d in (1, 2, 3)}).join(tops, [*key, "__range"])

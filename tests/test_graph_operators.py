@@ -215,6 +215,20 @@ def test_levels_bound_and_suffix(spark, graphs):
             assert (r.max_L1, r.max_L2, r.max_L3) == tuple(max(x[c] for x in group[i:]) for c in ("L1", "L2", "L3"))
 
 
+def test_suffix_maxima_of_a_large_group(spark):
+    """A group of 60,000 and a small one: no frame reaches from a row to the end, as Spark would go through it anew for each row."""
+    numbers = spark.range(60_000).selectExpr("if(id < 59990, 1, 2) AS key", "id", "id * 7919 % 1009 AS L1", "id * 104729 % 2003 AS L2", "id * 31 % 503 AS L3")
+    sizes = numbers.selectExpr("*", "L1 + L2 + L3 AS reach3")
+    found = centrality.suffix_max(sizes, ["key"])
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    order = sorted(found.collect(), key=lambda r: (r.key, -r.reach3, -r.L1, -r.L2, -r.L3, r.id), reverse=True)
+    most, key = [0, 0, 0], None
+    for r in order:
+        most = [max(a, b) for a, b in zip(most if r.key == key else [0, 0, 0], (r.L1, r.L2, r.L3))]
+        key = r.key
+        assert [r.max_L1, r.max_L2, r.max_L3] == most
+    assert len(order) == 60_000
+
 def test_cover_equals_greedy(spark, graphs):
     edges, _ = keyed(spark, graphs)
     found = {}

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .loop import RoundLimitReached, checkpoint, checkpoint_counted
+from .components import connected_components
+from .loop import RoundLimitReached, checkpoint, checkpoint_counted, small
 
 #: Registers in a row.
 WIDTH = 8
@@ -68,6 +69,22 @@ def approx_neighbourhood(edges: DataFrame, h: int | None, lg_k: int = 12, max_ro
     return _estimates(sketches, 1 << lg_k)
 
 
+def approx_reach(edges: DataFrame, lg_k: int = 12) -> DataFrame:
+    """``(id, estimate)``: about how many people are within reach of each, the start included; both directions of each edge are given.
+
+    As :func:`approx_neighbourhood` without ``h``: whoever is within reach of one another has the same sketch, which is that of the
+    component.  It is merged once for each component, from a row for each of its people, and no sketch travels along an edge.
+    """
+    if not 7 <= lg_k <= 16:
+        raise ValueError("lg_k must be 7 to 16")
+    both = checkpoint(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"))
+    comp = checkpoint(connected_components(both, both.select(F.col("src").alias("id"))))
+    own = _own_sketches(both, lg_k).join(comp, "id")
+    merged = own.groupBy("comp", "block").agg(*[F.max(r).alias(r) for r in _REGISTERS])
+    found = checkpoint(_estimates(merged.withColumnRenamed("comp", "id"), 1 << lg_k).withColumnRenamed("id", "comp"))
+    return comp.join(small(found, found.count()), "comp").select("id", "estimate")
+
+
 def _estimates(sketches: DataFrame, registers: int) -> DataFrame:
     """The harmonic mean of the registers, or the share of empty ones where this is surer."""
     filled = sum((F.col(r) > 0).cast("int") for r in _REGISTERS)

@@ -653,7 +653,7 @@ def _(spark, sf_dir, net):
     JOIN comp a ON a.id = f.id JOIN comp b ON b.label = a.label), {_SKETCHED} => {_ESTIMATED}""")
 def _(spark, sf_dir, net):
     """However many hops away."""
-    return sketch.approx_neighbourhood(net.knows, None)
+    return sketch.approx_reach(net.knows)
 
 
 @query("g14_approx_within_error", f"{_MANY} => SELECT s AS id, COUNT(*) AS exact, true AS close FROM many GROUP BY 1")

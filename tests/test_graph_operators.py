@@ -274,6 +274,19 @@ def test_sketches_without_a_limit_and_what_travels(spark, graphs, monkeypatch):
     assert grown[-1] == 0 and len(grown) == 13 and max(grown[1:]) <= 26 < grown[0]  # the clique grows in the first hop only
 
 
+def test_sketches_of_components_equal_those_that_travel(spark, graphs, monkeypatch):
+    """One component, many, and a chain of 300, which takes few rounds as no sketch goes along it."""
+    for seed in (3,):
+        edges = edges_of(spark, graphs[seed])
+        assert rows(sketch.approx_reach(edges)) == rows(sketch.approx_neighbourhood(edges, None))
+    assert rows(sketch.approx_reach(edges_of(spark, []))) == []
+    assert rows(sketch.approx_reach(edges_of(spark, both_ways([(1, 2)]) + [(5, 5), (None, 3)]))) == [(1, 2), (2, 2), (5, 1)]
+    with pytest.raises(ValueError):
+        sketch.approx_reach(edges_of(spark, []), lg_k=17)
+    monkeypatch.setattr(sketch, "checkpoint_counted", None)  # no hop is made
+    for r in sketch.approx_reach(edges_of(spark, both_ways((i, i + 1) for i in range(300)))).collect():
+        assert abs(r.estimate - 301) <= 10
+
 def test_similar_pairs(spark):
     """Members joined through an outsider; a pair without common tags; ties by id; hop limits by query."""
     edges = edges_of(spark, both_ways([(1, 9), (9, 2), (2, 3)]))

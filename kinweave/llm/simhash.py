@@ -160,7 +160,11 @@ def _dealt(level: DataFrame, free: int) -> tuple[DataFrame, int]:
 
 
 def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Links inside each shard by a BK-tree of its own."""
+    """Links inside each shard by a BK-tree of its own.
+
+    Rows are dealt and sorted by a number made from the shard's.  By the shard itself Spark would leave both out after a join by shards, and
+    then, if it turns that join into a broadcast while it runs, shards reach their tasks in parts and out of order, and links are lost.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, prints, found = None, [], []
@@ -182,7 +186,8 @@ def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
         found += _joining_links(prints, radius) if len(prints) > 1 else []
         yield packed()
 
-    return rows.select("shard", "fp").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "src long, dst long")
+    own = rows.select(F.xxhash64(F.lit("tree"), "shard").alias("shard"), "fp")  # two shards of one number are one shard
+    return own.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "src long, dst long")
 
 
 def components(fps: DataFrame, id_col: str = "doc_id", radius: int = 3) -> DataFrame:

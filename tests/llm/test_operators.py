@@ -11,6 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from kinweave.llm import bpe, chat, decontaminate, langid, licenses, pii, quality, queries, sharding, simhash, substrings
+from kinweave.operators.loop import checkpoint
 
 from . import brute
 
@@ -425,3 +426,18 @@ def test_held_out(spark):
     ids = spark.range(100).withColumnRenamed("id", "doc_id")
     held = {r.doc_id for r in ids.where(queries.held_out()).collect()}
     assert held == {i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def test_simhash_shards_reach_their_trees_whole(spark):
+    """40,000 shards of two close prints, of which 2,000 are asked for: Spark broadcasts these once it knows that they are few."""
+    rows_ = spark.range(80_000).selectExpr("xxhash64(id DIV 2) AS shard", "(id DIV 2) * 64 + id % 2 AS fp").orderBy(F.xxhash64("fp"))
+    level = checkpoint(rows_.repartition(40))
+    some = checkpoint(level.where("fp < 2000 * 64").select("shard").distinct())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # not before the join runs, as with tables of unknown size
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "100KB")
+    found = simhash._tree_links(level.join(some, "shard"), 3)
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()  # dealt anew, however the join is run
+    links = found.collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert sorted((min(r), max(r)) for r in links) == [(64 * i, 64 * i + 1) for i in range(2000)]

@@ -164,7 +164,8 @@ def within_hops(edges: DataFrame, pairs: DataFrame, h: int) -> DataFrame:
 def near_pairs(edges: DataFrame, members: DataFrame) -> DataFrame:
     """``(qid, a, b)``: pairs of members, ``a < b``, at most the query's ``h`` hops apart in the whole graph.
 
-    ``members`` is ``(qid, h, id)``.
+    ``members`` is ``(qid, h, id)``.  The last hop, which would reach by far the most, is made along those friendships only that end
+    at a member of the query, and towards larger ids only.
     """
     members = checkpoint(members.select("qid", "h", "id").distinct())
     start = members.select("qid", "h", F.col("id").alias("source"), F.col("id").alias("v"))
@@ -172,10 +173,16 @@ def near_pairs(edges: DataFrame, members: DataFrame) -> DataFrame:
     inside = members.select("qid", F.col("id").alias("b"))
     found = [members.select("qid", F.col("id").alias("a"), F.col("id").alias("b")).where("false")]
     if deepest > 0:
-        for _, level in levels(edges, start, ["qid", "h", "source"], hops=deepest, allowed=lambda d: F.col("h") >= d):
-            near = level.select("qid", F.col("source").alias("a"), F.col("v").alias("b"))
-            found.append(near.where("a < b").join(inside, ["qid", "b"], "left_semi").select("qid", "a", "b"))
-    return reduce(DataFrame.union, found)
+        edges = checkpoint(edges.select("src", "dst").repartition("src"))
+        into = checkpoint(edges.join(inside.withColumnRenamed("b", "dst"), "dst").select("qid", F.col("src").alias("v"), F.col("dst").alias("b")).repartition("qid", "v"))
+        last = lambda level, depth: level.where(F.col("h") == depth + 1).join(into, ["qid", "v"]).where("source < b").select("qid", F.col("source").alias("a"), "b")
+        found.append(last(start, 0))
+        if deepest > 1:
+            for depth, level in levels(edges, start, ["qid", "h", "source"], hops=deepest - 1, allowed=lambda d: F.col("h") > d):
+                near = level.select("qid", F.col("source").alias("a"), F.col("v").alias("b"))
+                found.append(near.where("a < b").join(inside, ["qid", "b"], "left_semi").select("qid", "a", "b"))
+                found.append(last(level, depth))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def similar_pairs(edges: DataFrame, members: DataFrame, tags: DataFrame) -> DataFrame:

@@ -44,5 +44,9 @@ class Network:
             relations[name] = relations[name]()
         return relations[name]
 
+    def but(self, **relations: DataFrame | Callable[[], DataFrame]) -> Network:
+        """The same network with other relations of these names."""
+        return Network(**(self._relations | relations))
+
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in FILES}

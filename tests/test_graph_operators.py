@@ -300,6 +300,26 @@ def test_similar_pairs(spark):
     assert rows(paths.similar_pairs(edges, members.limit(0), tags)) == []
 
 
+def test_near_pairs_make_the_last_hop_to_members_only(spark, graphs, monkeypatch):
+    """Hops of 0 to 4 and their pairs; levels hold balls of one hop less, so a hub of 400 outsiders is not entered."""
+    draw = random.Random(11)
+    pairs, members = graphs[2], [(q, h, i) for q, h in enumerate((0, 1, 2, 3, 4, 2)) for i in draw.sample(range(N), 25)]
+    found = rows(paths.near_pairs(edges_of(spark, pairs), spark.createDataFrame(members, "qid long, h int, id long")))
+    near = {i: distances(pairs, i) for i in range(N)}
+    of = lambda q: [i for p, _, i in members if p == q]
+    assert found == sorted({(q, a, b) for q, h, a in members for b in of(q) if a < b and near[a].get(b, 99) <= h})
+
+    sizes, counted = [], paths.checkpoint_counted
+    def noted(df, **aggregates):
+        out = counted(df, **aggregates)
+        sizes.append(out[1]["n"])
+        return out
+
+    monkeypatch.setattr(paths, "checkpoint_counted", noted)
+    star = edges_of(spark, both_ways([(0, i) for i in range(1, 403)]))
+    members = spark.createDataFrame([(0, 2, 401), (0, 2, 402)], "qid long, h int, id long")
+    assert rows(paths.near_pairs(star, members)) == [(0, 401, 402)] and sizes == [2]
+
 def test_preparation(spark):
     knows = edges_of(spark, both_ways([(1, 2), (2, 3)]))
     author = spark.createDataFrame([(10, 1), (11, 2), (12, 1), (13, 3)], "comment_id long, person_id long")
